@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from ._spark import table
 from .bpe import encode_docs
 from .simhash import simhash_groups
+from .substring import remove_repeated_words
+from .suffix import remove_repeated_bytes
 from .topk import quantise, top_k, usable
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return done.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(usable("embedding")).select("vec_id", quantise("embedding").alias("vec"))
     return top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
@@ -25,12 +32,18 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), window=200)
+    spans = (F.size("spans") / 2).cast("long").alias("n_spans")
+    return done.select("row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_top_k, op8_byte_level_bpe, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_substring_dedup, op7_exact_top_k, op8_byte_level_bpe, op9_suffix_array_dedup, op10_simhash_near_dedup)}
 
 
 OP7_SQL = """
