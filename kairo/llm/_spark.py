@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,15 @@ def row_key(doc_id: str, text: str) -> tuple[Column, Column]:
     """Two longs that name a row by its id and text.  Rows equal in both share a key
     and, by every contract here, a result; so no unstable row number is needed."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k2")
+
+
+def bounded_sample(rows: DataFrame, of: str, key: str, n: int) -> DataFrame:
+    """At most n rows of each value of ``of``: those least by a hash of ``key``.
+
+    The rows are first thinned to about 4 n of each value by that hash, so ranking never
+    sees more; a value of fewer rows keeps them all.
+    """
+    share = rows.groupBy(of).agg(F.least(F.lit(1.0), F.lit(4.0 * n + 64) / F.count(F.lit(1))).alias("__share"))
+    h = F.xxhash64(F.col(key), F.lit("sample"))
+    thin = rows.join(share, of).withColumn("__h", h).filter(F.pmod(F.col("__h"), F.lit(1 << 30)) < F.col("__share") * F.lit(float(1 << 30)))
+    return thin.withColumn("__r", F.row_number().over(Window.partitionBy(of).orderBy("__h", key))).filter(F.col("__r") <= n).drop("__share", "__h", "__r")

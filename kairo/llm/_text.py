@@ -93,11 +93,16 @@ def steps(off: np.ndarray, limit: int = STEP_BYTES):
         a = b
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Separators of letter runs: all ASCII but letters; bytes of longer characters count as letters.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
+
+
+def words(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of each word, and the word offsets of each text (n + 1)."""
     n = len(buf)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~IS_SEP[buf]
+    inside[1:-1] = ~sep[buf]
     start = inside[1:] & ~inside[:-1]
     end = ~inside[1:] & inside[:-1]
     # a text that begins inside what would else be one word with the text before it

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from ._spark import table
 from .bpe import encode_docs
 from .simhash import simhash_groups
@@ -15,11 +16,20 @@ from .suffix import remove_repeated_bytes
 from .topk import quantise, top_k, usable
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return done.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(usable("embedding")).select("vec_id", quantise("embedding").alias("vec"))
     return top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
@@ -43,7 +53,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op7_exact_top_k, op8_byte_level_bpe, op9_suffix_array_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op5_language_id, op7_exact_top_k, op8_byte_level_bpe, op9_suffix_array_dedup, op10_simhash_near_dedup)}
 
 
 OP7_SQL = """
