@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import langid, mixing, quality, rules, toxicity
 from ._spark import table
 from .bpe import encode_docs
 from .simhash import simhash_groups
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return done.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -35,6 +39,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("row.doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(usable("embedding")).select("vec_id", quantise("embedding").alias("vec"))
     return top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
@@ -57,8 +65,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+QUERIES = (
+    op1_toxicity,
+    op2_quality_rules,
+    op3_substring_dedup,
+    op4_quality_classifier,
+    op5_language_id,
+    op6_mixing,
+    op7_exact_top_k,
+    op8_byte_level_bpe,
+    op9_suffix_array_dedup,
+    op10_simhash_near_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op4_quality_classifier, op5_language_id, op7_exact_top_k, op8_byte_level_bpe, op9_suffix_array_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP7_SQL = """
