@@ -1,88 +1,241 @@
 """Repeated windows of a corpus: sieve, deal by anchor, solve per anchor, bring back.
 
-1. Each text's windows are dealt into segments by their anchors (see sieve.py).
-2. Anchors are counted, partially before the shuffle; those found once hold no repeat.
-3. Equal segments collapse to one representative with a weight.  An anchor of a single
-   distinct segment that cannot repeat within itself is settled: all its windows repeat if
-   its weight is two or more.
-4. The representatives' units are fetched from the texts, dealt by anchor, and a kernel
-   finds the repeated window starts among all segments of an anchor.
-5. An anchor of more than ``hot`` distinct segments (a line in very many contexts) isn't
-   gathered into one task: its windows are counted by their digests, each an own key, in a
-   partially aggregated count.  No window is left out either way.
-6. The verdicts return to the texts through joins that adaptive execution can split.
+1. *Sketch.*  Each batch of texts (a *slice*) deals its windows into segments by their anchors
+   (see sieve.py) and keeps a line per distinct anchor: how many segments, how many distinct
+   ones, the digest if there is one only.  Lines travel in packed blocks, a block for each
+   bucket of anchors, so a hot anchor costs a line per slice however often it occurs.
+2. *Verdict.*  A bucket adds up its anchors.  One found once is dropped: it holds no repeat.
+   One whose segments are all equal is *settled*: every window of them repeats.  The others
+   are *open*; those of more than ``hot`` distinct segments (a line in very many contexts)
+   are *hot*.  Codes go back to the slices, and from them to the texts.
+3. *Solve.*  Open segments are dealt by anchor, equal ones of a batch as one with a weight,
+   and a kernel finds the repeated window starts among all segments of an anchor.
+4. A hot anchor isn't gathered into one task: its windows are counted by 128-bit digests in
+   a partially aggregated count.  No window is left out either way.
+5. All marks return to the texts through joins that adaptive execution can split.
+
+Texts must come from a source that yields the same rows when a task is run again, such as a
+table; then a lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import row_key
-from ._text import U64, Rolling, buffers, column_of, repeat_ranges, steps
+from ._spark import ensure_checkpoints, row_key
+from ._text import U64, Rolling, buffers, column_of, mix, repeat_ranges, steps
 from .sieve import runs_of_texts
 
 #: Distinct segments of one anchor that are solved in one task; more are counted by digest.
 HOT = 512
 #: Units that a kernel solves at a time; always whole anchors.
 GROUP = 1 << 18
+#: Buckets of anchors to a shuffle partition.
+BUCKETS = 4
+DROPPED, SETTLED, OPEN, HOTTER = 0, 1, 2, 3
 
+BLOCK = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("base", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+BLOCK_DDL = "bucket int, slice long, base int, a binary, b binary, c binary"
+
+
+def _all_runs(kind, window: int, gram: int, buf: np.ndarray, off: np.ndarray):
+    """The runs of a batch in text order, and how many each text has."""
+    parts = [r for r in runs_of_texts(buf, off, kind, window, gram) if len(r.lo)]
+    if not parts:
+        return None, np.zeros(len(off) - 1, np.int64)
+    r = type(parts[0])(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return r, np.bincount(r.doc, minlength=len(off) - 1)
+
+
+def _sketch(kind, window: int, gram: int, buckets: int):
+    """Blocks of a slice: for each bucket its anchors (a), digests (b) and counts (c); and a
+    directory (base -1): the texts' keys (a), their numbers of runs (b), each run's anchor line (c)."""
 
-def _runs(kind, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (column_of(batch, k).to_numpy() for k in ("k1", "k2"))
-            buf, off = buffers(column_of(batch, "text"))
-            for r in runs_of_texts(buf, off, kind, window, gram):
-                if len(r.lo):
-                    cols = [k1[r.doc], k2[r.doc], r.lo.astype(np.int32), r.hi.astype(np.int32), r.anchor.view(np.int64), r.digest.view(np.int64), r.many]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "lo", "hi", "v", "d", "many"])
+            r, count = _all_runs(kind, window, gram, *buffers(column_of(batch, "text")))
+            if r is None:
+                continue
+            keys = np.concatenate([k1, k2]).tobytes()
+            name = xxhash.xxh64_intdigest(keys + count.tobytes()) >> 1
+            order = np.lexsort((r.digest, r.anchor))
+            v, d, many = r.anchor[order], r.digest[order], r.many[order]
+            new = np.concatenate([[True], v[1:] != v[:-1]])
+            first = np.flatnonzero(new)
+            line = np.empty(len(v), np.uint32)
+            line[order] = np.cumsum(new) - 1
+            n = np.diff(np.concatenate([first, [len(v)]]))
+            forms = np.add.reduceat(np.concatenate([[True], (d[1:] != d[:-1]) | new[1:]]).astype(np.int64), first)
+            some = np.logical_or.reduceat(many, first)
+            # forms in 14 bits, which hold more than is ever called hot; found twice or more; may repeat within itself
+            packed = (np.minimum(forms, 16383) | ((n > 1) | some).astype(np.int64) << 14 | some.astype(np.int64) << 15).astype(np.uint16)
+            v, d = v[first], d[first]
+            bucket = (v >> U64(40)) % U64(buckets)
+            deal = np.argsort(bucket, kind="stable")
+            place = np.empty(len(v), np.uint32)
+            place[deal] = np.arange(len(v))
+            b = bucket[deal]
+            at = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1])
+            end = np.concatenate([at[1:], [len(b)]])
+            v, d, packed = v[deal], d[deal], packed[deal]
+            rows = [(int(b[x]), name, int(x), v[x:y].tobytes(), d[x:y].tobytes(), packed[x:y].tobytes()) for x, y in zip(at.tolist(), end.tolist(), strict=True)]
+            rows.append((name % buckets, name, -1, keys, count.astype(np.int64).tobytes(), place[line].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), BLOCK, strict=True)], schema=BLOCK)
 
     return run
 
 
-SEGMENT = pa.schema([("v", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("starts", pa.int32()), ("units", pa.binary())])
-WINDOW = pa.schema([("v", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("g", pa.int64()), ("at", pa.int32())])
+def _verdicts(hot: int):
+    """Per bucket: a code for each line of each block; directories pass through."""
+
+    def judge(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        v = np.concatenate([np.frombuffer(x[3], U64) for x in blocks])
+        d = np.concatenate([np.frombuffer(x[4], U64) for x in blocks])
+        c = np.concatenate([np.frombuffer(x[5], np.uint16) for x in blocks]).astype(np.int64)
+        order = np.argsort(v, kind="stable")
+        v, d, c = v[order], d[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        lines = np.diff(np.concatenate([first, [len(v)]]))
+        found = (lines > 1) | np.logical_or.reduceat(c >> 14 & 1 > 0, first)
+        least, most = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
+        several = (least != most) | np.logical_or.reduceat((c & 16383) > 1, first) | np.logical_or.reduceat(c >> 15 > 0, first)
+        forms = np.add.reduceat(c & 16383, first)
+        # forms of different slices may be the same; only their sum is known here
+        code = np.where(~found, DROPPED, np.where(~several, SETTLED, np.where(forms <= hot, OPEN, HOTTER)))
+        codes = np.empty(len(v), np.uint8)
+        codes[order] = np.repeat(code, lines)
+        at = 0
+        for x in blocks:
+            n = len(x[3]) // 8
+            mine = codes[at : at + n]
+            at += n
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.array([y], t.type) for y, t in zip((x[0], x[1], x[2], mine.tobytes(), None, None), BLOCK, strict=True)], schema=BLOCK)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = tuple(batch.column(j)[i].as_py() for j in range(6))
+                if x[2] < 0:
+                    yield batch.slice(i, 1)
+                    continue
+                if held and held[0][0] != x[0]:
+                    yield from judge(held)
+                    held = []
+                held.append(x)
+        if held:
+            yield from judge(held)
+
+    return run
 
-def _fetch(kind, window: int, hot: bool):
-    """Of each text with its representatives: their units, or the digests of their windows."""
+
+def _codes_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slice: its directory, which comes first, and its codes, to a code for each run of each text that has any."""
+    state: dict = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if not state or not state["codes"].any():
+            return
+        of_run = state["codes"][state["line"]]
+        at = np.concatenate([[0], np.cumsum(state["count"])])
+        total = np.concatenate([[0], np.cumsum(of_run > 0)])
+        some = np.flatnonzero(total[at[1:]] > total[at[:-1]])
+        raw = [of_run[a:b].tobytes() for a, b in zip(at[some].tolist(), at[some + 1].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(state["k1"][some]), pa.array(state["k2"][some]), pa.array(raw, pa.binary())], names=["k1", "k2", "codes"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            name, base = column_of(batch, "slice")[i].as_py(), column_of(batch, "base")[i].as_py()
+            if base < 0:
+                yield from out()
+                a, b, c = (column_of(batch, x)[i].as_py() for x in "abc")
+                keys, line = np.frombuffer(a, np.int64), np.frombuffer(c, np.uint32)
+                n = len(keys) // 2
+                state = {"name": name, "k1": keys[:n], "k2": keys[n:], "count": np.frombuffer(b, np.int64), "line": line, "codes": np.zeros(int(line.max()) + 1, np.uint8)}
+            else:
+                if not state or state["name"] != name:
+                    raise RuntimeError("a slice's directory is missing: the texts' source is not repeatable")
+                got = np.frombuffer(column_of(batch, "a")[i].as_py(), np.uint8)
+                state["codes"][base : base + len(got)] = got
+    yield from out()
+
+
+#: What a text has to say once its codes are known, by ``kind``.
+MARKS, PLACE, SEGMENT, WINDOWS = 0, 1, 2, 3
+SAID = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("v", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("starts", pa.int32()), ("units", pa.binary())])
+SAID_DDL = "kind int, k1 long, k2 long, lo int, v long, d long, n long, starts int, units binary"
+
+
+def _say(kind, window: int, gram: int):
+    """MARKS: a text's settled ranges of starts (units: int32 pairs).  PLACE: where an open
+    segment is.  SEGMENT: an open segment's units, once a batch, n times found in it.
+    WINDOWS: a hot segment's place, with the two digests of each of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps = column_of(batch, "reps")
-            if isinstance(reps, pa.ChunkedArray):
-                reps = reps.combine_chunks()
-            count = reps.value_lengths().to_numpy(zero_copy_only=False)
-            flat = reps.flatten()
-            v, d, n, lo, hi = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
-            text = np.repeat(np.arange(len(count)), count)
+            k1, k2 = (column_of(batch, k).to_numpy() for k in ("k1", "k2"))
             buf, off = buffers(column_of(batch, "text"))
+            code = np.frombuffer(b"".join(column_of(batch, "codes").to_pylist()), np.uint8)
+            seen = 0
             for a, b in steps(off):
-                units, uo = kind.of(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                x, y = np.searchsorted(text, [a, b])
-                if x == y:
+                part, po = buf[off[a] : off[b]], off[a : b + 1] - off[a]
+                r, count = _all_runs(kind, window, gram, part, po)
+                n = int(count.sum())
+                if not n:
                     continue
-                start = uo[text[x:y] - a] + lo[x:y]
-                many = (hi - lo + 1)[x:y].astype(np.int64)
-                if hot:
-                    roll = Rolling(kind.hashed(units))
-                    at = repeat_ranges(start, many)
-                    which = np.repeat(np.arange(x, y), many)
-                    g = roll.of(at, at + window).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (v[which], d[which], n[which], g, (at - np.repeat(start, many)).astype(np.int32))], schema=WINDOW)
-                else:
-                    end = start + many + window - 1
-                    raw = [units[p:q].tobytes() for p, q in zip(start.tolist(), end.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(v[x:y]), pa.array(d[x:y]), pa.array(n[x:y]), pa.array(many.astype(np.int32)), pa.array(raw, pa.binary())], schema=SEGMENT)
+                c, seen = code[seen : seen + n], seen + n
+                units, uo = kind.of(part, po)
+                out: list[tuple] = []
+                x1, x2 = k1[a:b][r.doc], k2[a:b][r.doc]
+                v, d = r.anchor.view(np.int64), r.digest.view(np.int64)
+                at = np.flatnonzero(c == SETTLED)
+                if len(at):
+                    cut = np.flatnonzero(np.diff(r.doc[at])) + 1
+                    for g in np.split(at, cut):
+                        pairs = np.stack([r.lo[g], r.hi[g]], axis=1).astype(np.int32)
+                        out.append((MARKS, x1[g[0]], x2[g[0]], 0, 0, 0, 0, 0, pairs.tobytes()))
+                at = np.flatnonzero(c == OPEN)
+                if len(at):
+                    many = (r.hi[at] - r.lo[at] + 1).tolist()
+                    out += zip([PLACE] * len(at), x1[at].tolist(), x2[at].tolist(), r.lo[at].tolist(), v[at].tolist(), d[at].tolist(), [1] * len(at), many, [None] * len(at), strict=True)
+                    _, one, times = np.unique(np.stack([v[at], d[at]], axis=1), axis=0, return_index=True, return_counts=True)
+                    for i, t in zip(one.tolist(), times.tolist(), strict=True):
+                        start = int(uo[r.doc[at[i]]] + r.lo[at[i]])
+                        out.append((SEGMENT, 0, 0, 0, v[at[i]], d[at[i]], t, many[i], units[start : start + many[i] + window - 1].tobytes()))
+                at = np.flatnonzero(c == HOTTER)
+                if len(at):
+                    hashed = kind.hashed(units)
+                    one, two = Rolling(hashed), Rolling(mix(hashed))
+                    for i in at.tolist():
+                        s = np.arange(r.lo[i], r.hi[i] + 1) + uo[r.doc[i]]
+                        g = np.stack([one.of(s, s + window), two.of(s, s + window)], axis=1)
+                        out.append((WINDOWS, x1[i], x2[i], int(r.lo[i]), 0, 0, 0, len(s), g.tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*out, strict=True), SAID, strict=True)], schema=SAID)
 
     return run
 
 
+def _spread_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WINDOWS rows to a row per window."""
+    for batch in batches:
+        n = column_of(batch, "starts").to_numpy().astype(np.int64)
+        g = np.frombuffer(b"".join(column_of(batch, "units").to_pylist()), np.int64).reshape(-1, 2)
+        of = np.repeat(np.arange(batch.num_rows), n)
+        lo = column_of(batch, "lo").to_numpy().astype(np.int64)
+        cols = [column_of(batch, "k1").to_numpy()[of], column_of(batch, "k2").to_numpy()[of], repeat_ranges(lo, n).astype(np.int32), g[:, 0], g[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["k1", "k2", "at", "g1", "g2"])
+
+
 def _intervals(hit: np.ndarray) -> list[int]:
     """Inclusive ranges of true, flattened: first, last, first, last, ..."""
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -90,9 +243,11 @@ def _intervals(hit: np.ndarray) -> list[int]:
 
 
 def _solve(kind, window: int, kernel: Callable):
+    """Rows (v, d, n, starts, units), sorted by v and d, to the repeated starts of each (v, d)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held, key = 0, None
+        rows: list[list] = []
+        held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             hits = kernel([np.frombuffer(r[4], kind.dtype) for r in rows], [r[3] for r in rows], [r[2] for r in rows], window)
@@ -103,11 +258,13 @@ def _solve(kind, window: int, kernel: Callable):
 
         for batch in batches:
             for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if r[0] != key and held >= GROUP:
+                if rows and rows[-1][0] == r[0] and rows[-1][1] == r[1]:
+                    rows[-1][2] += r[2]
+                    continue
+                if rows and rows[-1][0] != r[0] and held >= GROUP:
                     yield from out()
                     rows, held = [], 0
-                key = r[0]
-                rows.append(r)
+                rows.append(list(r))
                 held += len(r[4]) // np.dtype(kind.dtype).itemsize
         if rows:
             yield from out()
@@ -115,23 +272,16 @@ def _solve(kind, window: int, kernel: Callable):
     return run
 
 
-def _marked(kind, window: int, finish: Callable, out_schema: pa.Schema):
-    """Of each text with its marks: what is removed and what stays."""
+def _marked(kind, window: int, finish, out_schema: pa.Schema):
+    """Of each text with its marks (int32 pairs, ranges of starts): what is removed and what stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = column_of(batch, "marks")
-            if isinstance(marks, pa.ChunkedArray):
-                marks = marks.combine_chunks()
-            count = marks.value_lengths().to_numpy(zero_copy_only=False)
-            count = np.nan_to_num(count).astype(np.int64)
-            flat = marks.flatten()
-            lo, hits = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1)
-            pairs = hits.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) // 2
-            edge = hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            text = np.repeat(np.repeat(np.arange(len(count)), count), pairs)
-            first = edge[0::2] + np.repeat(lo, pairs)
-            end = edge[1::2] + np.repeat(lo, pairs) + window
+            marks = [b"".join(x or ()) for x in column_of(batch, "marks").to_pylist()]
+            pairs = np.array([len(m) // 8 for m in marks], np.int64)
+            edge = np.frombuffer(b"".join(marks), np.int32).astype(np.int64)
+            text = np.repeat(np.arange(len(marks)), pairs)
+            first, end = edge[0::2], edge[1::2] + window
             buf, off = buffers(column_of(batch, "text"))
             for a, b in steps(off):
                 part, po = buf[off[a] : off[b]], off[a : b + 1] - off[a]
@@ -148,6 +298,14 @@ def _marked(kind, window: int, finish: Callable, out_schema: pa.Schema):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, lo, hits) to (k1, k2, mark): int32 pairs of starts in the text."""
+    for batch in batches:
+        lo = column_of(batch, "lo").to_pylist()
+        raw = [(np.array(h, np.int32) + np.int32(s)).tobytes() for h, s in zip(column_of(batch, "hits").to_pylist(), lo, strict=True)]
+        yield pa.RecordBatch.from_arrays([column_of(batch, "k1"), column_of(batch, "k2"), pa.array(raw, pa.binary())], names=["k1", "k2", "mark"])
+
+
 def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callable, finish, doc_id: str, text: str, hot: int = HOT) -> DataFrame:
     """``docs`` as struct column ``row`` and the columns of ``finish``, a row per row of docs.
 
@@ -156,35 +314,33 @@ def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callab
     spark = docs.sparkSession
     if not 1 <= gram <= window:
         raise ValueError("the gram must be no longer than the window")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k1, k2 = row_key(doc_id, text)
     base = docs.select(k1, k2, F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    runs = base.select("k1", "k2", "text").mapInArrow(_runs(kind, window, gram), "k1 long, k2 long, lo int, hi int, v long, d long, many boolean")
-
-    weight = F.sum(F.when(F.col("many"), 2).otherwise(1))
-    anchors = runs.select("v", "many").groupBy("v").agg(weight.alias("found")).filter("found > 1").select("v")
-    shared = runs.join(anchors, "v")
-    distinct = shared.groupBy("v", "d").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("rep"))
-    per_anchor = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("forms"), F.max("many").alias("any_many"))
-    judged = distinct.join(per_anchor, "v")
-
-    settled = judged.filter("forms = 1 and not any_many").select("v", "d", F.array(F.lit(0), F.col("rep.hi") - F.col("rep.lo")).alias("hits"))
-    open_ = judged.filter("forms > 1 or any_many").select("rep.k1", "rep.k2", F.struct("v", "d", "n", "rep.lo", "rep.hi").alias("x"), (F.col("forms") > hot).alias("is_hot"))
-    per_text = open_.groupBy("k1", "k2").agg(F.collect_list(F.when(~F.col("is_hot"), F.col("x"))).alias("cold"), F.collect_list(F.when(F.col("is_hot"), F.col("x"))).alias("hot"))
-    with_text = base.select("k1", "k2", "text").join(per_text.hint("shuffle_hash"), ["k1", "k2"])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments = with_text.filter("size(cold) > 0").select("text", F.col("cold").alias("reps")).mapInArrow(_fetch(kind, window, False), "v long, d long, n long, starts int, units binary")
-    solved = segments.repartition(parts, "v").sortWithinPartitions("v").mapInArrow(_solve(kind, window, kernel), "v long, d long, hits array<int>")
-
-    windows = with_text.filter("size(hot) > 0").select("text", F.col("hot").alias("reps")).mapInArrow(_fetch(kind, window, True), "v long, d long, n long, g long, at int")
-    twice = windows.groupBy("v", "g").agg(F.sum("n").alias("times")).filter("times > 1").select("v", "g")
-    counted = windows.join(twice, ["v", "g"]).groupBy("v", "d").agg(F.sort_array(F.collect_set("at")).alias("s")).select("v", "d", F.flatten(F.transform("s", lambda a: F.array(a, a))).alias("hits"))
-
-    verdicts = settled.unionByName(solved).unionByName(counted)
-    marks = shared.select("k1", "k2", "lo", "v", "d").join(verdicts, ["v", "d"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hits")).alias("marks"))
-    marked = base.join(marks.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", F.coalesce("marks", F.array().cast("array<struct<lo:int,hits:array<int>>>")).alias("marks"))
-    row_type = base.schema["row"].dataType.simpleString()
-    return marked.mapInArrow(_marked(kind, window, finish, finish.schema), f"row {row_type}, {finish.ddl}")
+    bare = base.select("k1", "k2", "text")
+
+    blocks = bare.mapInArrow(_sketch(kind, window, gram, BUCKETS * parts), BLOCK_DDL)
+    judged = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(hot), BLOCK_DDL)
+    codes = judged.repartition(parts, "slice").sortWithinPartitions("slice", "base").mapInArrow(_codes_of_texts, "k1 long, k2 long, codes binary")
+
+    folder = f"{ensure_checkpoints(spark)}/repeats-{uuid.uuid4().hex}"
+    bare.join(codes.dropDuplicates(["k1", "k2"]).hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_say(kind, window, gram), SAID_DDL).write.partitionBy("kind").parquet(folder)
+    said = spark.read.schema(SAID_DDL).parquet(folder)
+
+    segments = said.filter(F.col("kind") == SEGMENT).select("v", "d", "n", "starts", "units")
+    solved = segments.repartition(parts, "v").sortWithinPartitions("v", "d").mapInArrow(_solve(kind, window, kernel), "v long, d long, hits array<int>")
+    places = said.filter(F.col("kind") == PLACE).select("k1", "k2", "lo", "v", "d")
+    opened = places.join(solved, ["v", "d"]).select("k1", "k2", "lo", "hits").mapInArrow(_packed, "k1 long, k2 long, mark binary")
+
+    windows = said.filter(F.col("kind") == WINDOWS).select("k1", "k2", "lo", "starts", "units").mapInArrow(_spread_windows, "k1 long, k2 long, at int, g1 long, g2 long")
+    twice = windows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("g1", "g2")
+    counted = windows.join(twice, ["g1", "g2"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
+    heated = counted.select("k1", "k2", F.lit(0).alias("lo"), F.flatten(F.transform("at", lambda a: F.array(a, a))).alias("hits")).mapInArrow(_packed, "k1 long, k2 long, mark binary")
+
+    marks = said.filter(F.col("kind") == MARKS).select("k1", "k2", F.col("units").alias("mark")).unionByName(opened).unionByName(heated)
+    per_text = marks.groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks"))
+    marked = base.join(per_text.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "marks")
+    return marked.mapInArrow(_marked(kind, window, finish, finish.schema), f"row {base.schema['row'].dataType.simpleString()}, {finish.ddl}")
 
 
 class ByteFinish:
