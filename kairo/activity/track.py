@@ -25,7 +25,7 @@ EARTH, CLIMB, MOVING, PAUSE = 6_371_008.8, 3.0, 0.5, 10.0
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lng2) - F.radians(lng1)) / 2), 2)
-    return F.lit(2 * EARTH) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.lit(2 * EARTH) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # least() would pass over a null
 
 
 def seconds(s: Series) -> Column:
@@ -125,7 +125,7 @@ def _per_track(s: Series, cols: list[str], schema: str, fn) -> DataFrame:
             out[c] = df[c].iloc[0]
         return out[[*by, *[c for c in out.columns if c not in by]]]
 
-    return src.groupBy(*(by or (F.lit(1),))).applyInPandas(run, ", ".join([*(f"`{c}` {s.types[c]}" for c in by), schema]))
+    return src.groupBy(*(by or (F.lit("all"),))).applyInPandas(run, ", ".join([*(f"`{c}` {s.types[c]}" for c in by), schema]))
 
 
 def best_efforts(s: Series, distances: list[float]) -> DataFrame:
@@ -179,7 +179,7 @@ def with_weight(s: Series) -> Series:
 def power_summary(s: Series, power: str = "power", ftp: float | None = None) -> DataFrame:
     """average, max, work (kJ), normalized power; with ftp also intensity and load."""
     w = with_weight(s)
-    df = over_range(w, 30_000_000 - 1, 0, {"__roll": F.avg(F.col(power))})
+    df = over_range(w, 30_000_000 - 1, 0, {"__roll": lambda x: F.avg(F.col(power)).over(x)})
     work, time = F.sum(F.col(power) * F.col("dt")), F.sum(F.when(F.col(power).isNotNull(), F.col("dt")))
     out = (df.groupBy(*s.by) if s.by else df.groupBy()).agg((work / time).alias("average"), F.max(power).alias("max"), (work / 1000).alias("work_kj"), F.pow(F.avg(F.pow("__roll", F.lit(4))), F.lit(0.25)).alias("normalized"), time.alias("__time"))
     if ftp:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 Reducer = str | Callable[[Column], Column]
@@ -53,41 +54,43 @@ def by_frequency(values: Column, n: int) -> Column:
     return F.transform(F.slice(F.array_sort(counted), 1, n), lambda s: s["v"])
 
 
-def reduce(name: Reducer, col: Column, dtype: str, order: Column) -> Column:
-    """An aggregate of ``col``; ``order`` is the struct that says which row is first."""
+def reduce(name: Reducer, col: Column, dtype: str, order: Column, window: WindowSpec | None = None) -> Column:
+    """An aggregate of ``col``, over a window if one is given; ``order`` says which row is first."""
+    over = (lambda a: a.over(window)) if window is not None else (lambda a: a)
     if callable(name):  # the user's own aggregate sees the cells as they are
-        return name(col)
+        return over(name(col))
     check(name)
     c = finite(col, dtype)
     number = c.cast("double") if dtype in NUMERIC else c
     if name == "count":
-        return F.count(c)
+        return over(F.count(c))
     if name == "sum":
-        return F.coalesce(F.sum(number), F.lit(0.0))
+        return F.coalesce(over(F.sum(number)), F.lit(0.0))
     if name in ("avg", "mean"):
-        return F.avg(number)
+        return over(F.avg(number))
     if name in ("min", "max"):
-        return F.min(number) if name == "min" else F.max(number)
+        return over(F.min(number) if name == "min" else F.max(number))
     if name in ("first", "last"):
         at = F.when(c.isNotNull(), order)
-        return F.min_by(c, at) if name == "first" else F.max_by(c, at)
+        return over(F.min_by(c, at) if name == "first" else F.max_by(c, at))
     if name == "stdev":
-        return F.stddev_pop(number)
+        return over(F.stddev_pop(number))
     if name == "difference":
-        return F.max(number) - F.min(number)
+        return over(F.max(number)) - over(F.min(number))
     if name == "keep":
-        return F.when(F.min(c) == F.max(c), F.min(c))
+        low = over(F.min(c))
+        return F.when(low == over(F.max(c)), low)
     if name == "samples":
-        rows = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(order.alias("o"), c.alias("v")))))
+        rows = F.array_sort(over(F.collect_list(F.when(c.isNotNull(), F.struct(order.alias("o"), c.alias("v"))))))
         return _flat(F.transform(rows, lambda r: r["v"]), dtype)
     if name == "unique":
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))) if dtype.startswith("array") else F.array_sort(F.collect_set(c))
+        return F.array_sort(F.array_distinct(F.flatten(over(F.collect_list(c)))) if dtype.startswith("array") else over(F.collect_set(c)))
     if name == "median":
-        return F.percentile(number, F.lit(0.5))
+        return over(F.percentile(number, F.lit(0.5)))
     q = percentile_rank(name)
     if q is not None:
-        return F.percentile(number, F.lit(q))
-    return by_frequency(_flat(F.collect_list(c), dtype), top_size(name))
+        return over(F.percentile(number, F.lit(q)))
+    return by_frequency(_flat(over(F.collect_list(c)), dtype), top_size(name))
 
 
 def of_nothing(name: Reducer, col: Column) -> Column:

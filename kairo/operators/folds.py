@@ -123,7 +123,7 @@ def loess(s: Series, column: str, span: float, missing: str = "bridge", output:
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in s.df.schema if f.name != name] + [f"`{name}` double"]
     src = src.drop(name) if name != column else src.drop(column)
-    done = src.groupBy(*s.by).applyInPandas(run, ", ".join(fields)) if s.by else src.groupBy(F.lit(1)).applyInPandas(run, ", ".join(fields))
+    done = src.groupBy(*s.by).applyInPandas(run, ", ".join(fields)) if s.by else src.groupBy(F.lit("all")).applyInPandas(run, ", ".join(fields))
     done = done.withColumn(name, F.when(~F.isnan(name), F.col(name)))
     return s.with_df(done.select(*s.df.columns, *([name] if name not in s.df.columns else [])))
 

@@ -7,12 +7,13 @@ needs from the neighbouring chunk are copied there (about 3 in 100) and dropped
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from ..functions.reducers import Reducer, finite, of_nothing, outputs, reduce
+from ..functions.reducers import finite, of_nothing, outputs, reduce
 from ..functions.time import from_us
 from ..series import Series
 from .aggregate import Mapping_, bounds
@@ -34,7 +35,7 @@ def frame_of(width: int | float, alignment: str, whole: bool = True) -> tuple[in
     raise ValueError(f"not an alignment: {alignment!r}")
 
 
-def over_range(s: Series, back, ahead, columns: Mapping[str, Column], at: Column | None = None) -> DataFrame:
+def over_range(s: Series, back, ahead, columns: Mapping[str, Callable[[WindowSpec], Column]], at: Column | None = None) -> DataFrame:
     """Adds columns, each an aggregate over the rows at most ``back`` before and ``ahead`` after."""
     at = s.at if at is None else at
     size = max(CHUNK * (back + ahead), 1)
@@ -49,10 +50,14 @@ def over_range(s: Series, back, ahead, columns: Mapping[str, Column], at: Column
     else:  # frames take whole bounds: measure the axis in the window's own reach
         reach = max(back, ahead)
         w = Window.partitionBy(*s.by, "__chunk").orderBy(F.col("__at") / F.lit(reach)).rangeBetween(-round(back / reach), round(ahead / reach))
-    out = chunked.withColumns({n: F.when(F.col("__at").isNotNull(), c.over(w)) for n, c in columns.items()})
+    out = chunked.withColumns({n: F.when(F.col("__at").isNotNull(), c(w)) for n, c in columns.items()})
     return out.filter("__chunk <=> __home").drop("__at", "__home", "__chunk")
 
 
+def _reduced(s: Series, outs) -> dict[str, Callable[[WindowSpec], Column]]:
+    return {f"__{o.name}": (lambda w, o=o: reduce(o.reducer, F.col(o.source), s.types[o.source], s.order, w)) for o in outs}
+
+
 def _masked(outs, minimum: int, count: str) -> list[Column]:
     ok = F.col(count) >= minimum
     return [(F.when(ok, F.col(f"__{o.name}")) if minimum else of_nothing(o.reducer, F.col(f"__{o.name}"))).alias(o.name) for o in outs]
@@ -66,12 +71,12 @@ def rolling(s: Series, window: str | int | float | None, mapping: Mapping_, alig
     rows in the window its outputs are missing.
     """
     outs = outputs(mapping, [*s.values, *s.by])
-    cols = {f"__{o.name}": reduce(o.reducer, F.col(o.source), s.types[o.source], s.order) for o in outs} | {"__rows": F.count(F.lit(1))}
+    cols = _reduced(s, outs) | {"__rows": lambda w: F.count(F.lit(1)).over(w)}
     keep = [F.col(c) for c in s.df.columns if c not in s.values]
     if count is not None:
         left = {"trailing": count - 1, "leading": 0, "centered": (count - 1) // 2}[alignment]
         w = s.rows().rowsBetween(-left, count - 1 - left)
-        df = s.df.withColumns({n: c.over(w) for n, c in cols.items()})
+        df = s.df.withColumns({n: c(w) for n, c in cols.items()})
     else:
         df = over_range(s, *frame_of(s.us(window), alignment, s.kind != "value"), cols)
     return s.with_df(df.select(*keep, *_masked(outs, min_samples, "__rows")))
@@ -85,7 +90,7 @@ def rolling_fused(s: Series, windows: Mapping[str, Mapping_], alignment: str = "
     cur, made = s, []
     for width, mapping in windows.items():
         outs = outputs(mapping, [*s.values, *s.by])
-        cols = {f"__{o.name}": reduce(o.reducer, F.col(o.source), s.types[o.source], s.order) for o in outs} | {f"__rows_{width}": F.count(F.lit(1))}
+        cols = _reduced(s, outs) | {f"__rows_{width}": lambda w: F.count(F.lit(1)).over(w)}
         cur = s.with_df(over_range(cur, *frame_of(s.us(width), alignment), cols))
         made += _masked(outs, min_samples, f"__rows_{width}")
     return s.with_df(cur.df.select(*[F.col(c) for c in s.df.columns if c not in s.values], *made))
@@ -115,7 +120,7 @@ def rolling_by_column(s: Series, column: str, radius: float, mapping: Mapping_,
     outs = outputs(mapping, [*s.values, *s.by])
     v = F.col(column).cast("double")
     if at is None:
-        cols = {f"__{o.name}": reduce(o.reducer, F.col(o.source), s.types[o.source], s.order) for o in outs}
+        cols = _reduced(s, outs)
         df = over_range(s, radius, radius, cols, v)
         return df.select(*[c for c in s.df.columns if c not in s.values], column, *[of_nothing(o.reducer, F.col(f"__{o.name}")).alias(o.name) for o in outs])
     size = max(2 * radius, 1e-9)
@@ -187,7 +192,7 @@ def baseline(s: Series, column: str, window: str | int, sigma: float = 2.0, alig
     """Adds the window's mean and deviation and the band between; no band where the deviation is zero."""
     x = finite(F.col(column), s.types[column]).cast("double")
     a, d, up, low = names
-    df = over_range(s, *frame_of(s.us(window), alignment), {"__a": F.avg(x), "__d": F.stddev_pop(x), "__rows": F.count(F.lit(1))})
+    df = over_range(s, *frame_of(s.us(window), alignment), {"__a": lambda w: F.avg(x).over(w), "__d": lambda w: F.stddev_pop(x).over(w), "__rows": lambda w: F.count(F.lit(1)).over(w)})
     ok = F.col("__rows") >= min_samples
     df = df.withColumn(a, F.when(ok, F.col("__a"))).withColumn(d, F.when(ok, F.col("__d")))
     some = F.col(d) > 0
@@ -205,9 +210,7 @@ def outliers(s: Series, column: str, window: str | int, sigma: float = 2.0, alig
 def moving_average(s: Series, column: str, window: str | int, alignment: str = "trailing", missing: str = "bridge", output: str | None = None) -> Series:
     """Mean of the values present in the window, anchored at an extent's midpoint."""
     x = finite(F.col(column), s.types[column]).cast("double")
-    df = over_range(s, *frame_of(s.us(window), alignment, s.kind != "value"), {"__m": F.avg(x)}, s.center)
+    df = over_range(s, *frame_of(s.us(window), alignment, s.kind != "value"), {"__m": lambda w: F.avg(x).over(w)}, s.center)
     m = F.when(x.isNotNull(), F.col("__m")) if missing == "skip" else F.col("__m")
     return s.with_df(df.withColumn(output or column, m).drop("__m"))
 
-
-Reducers = Reducer

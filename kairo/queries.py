@@ -489,7 +489,7 @@ def column_reads(spark, d):
 @query("""
 WITH p AS (SELECT event_id, user_id, ts, value / 10 AS lat, event_id % 90 / 10.0 AS lng FROM events),
 s AS (SELECT user_id, lat, lng, lag(lat) OVER w AS a, lag(lng) OVER w AS b FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, round(coalesce(sum(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin((radians(lng) - radians(b)) / 2), 2))))), 0.0), 2) AS meters FROM s GROUP BY 1
+SELECT user_id, round(coalesce(sum(2 * 6371008.8 * asin(sqrt(CASE WHEN a IS NOT NULL THEN least(1.0, pow(sin((radians(lat) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin((radians(lng) - radians(b)) / 2), 2)) END))), 0.0), 2) AS meters FROM s GROUP BY 1
 """)
 def track_distance(spark, d):
     s = events(spark, d).partition_by("user_id").map({"lat": F.col("value") / 10, "lng": (F.col("event_id") % 90) / 10.0})
