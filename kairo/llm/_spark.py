@@ -39,6 +39,10 @@ def row_key(doc_id: str, text: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k2")
 
 
+#: Values of a column to be sampled that the driver will look at.
+MAX_VALUES = 200
+
+
 def bounded_sample(rows: DataFrame, of: str, key: str, n: int) -> DataFrame:
     """At most n rows of each value of ``of``: those least by a hash of ``key``.
 
@@ -46,6 +50,14 @@ def bounded_sample(rows: DataFrame, of: str, key: str, n: int) -> DataFrame:
     sees more; a value of fewer rows keeps them all.
     """
     share = rows.groupBy(of).agg(F.least(F.lit(1.0), F.lit(4.0 * n + 64) / F.count(F.lit(1))).alias("__share"))
-    h = F.xxhash64(F.col(key), F.lit("sample"))
-    thin = rows.join(share, of).withColumn("__h", h).filter(F.pmod(F.col("__h"), F.lit(1 << 30)) < F.col("__share") * F.lit(float(1 << 30)))
-    return thin.withColumn("__r", F.row_number().over(Window.partitionBy(of).orderBy("__h", key))).filter(F.col("__r") <= n).drop("__share", "__h", "__r")
+    few = share.limit(MAX_VALUES + 1).collect()
+    h = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    rows = rows.withColumn("__h", h)
+    if len(few) <= MAX_VALUES:  # thinned where they are read; else rows would travel to their value first
+        bound = F.lit(0.0)
+        for r in few:
+            bound = F.when(F.col(of).eqNullSafe(F.lit(r[0])), r[1]).otherwise(bound)
+        thin = rows.filter(F.col("__h") < bound)
+    else:
+        thin = rows.join(share, of).filter(F.col("__h") < F.col("__share")).drop("__share")
+    return thin.withColumn("__r", F.row_number().over(Window.partitionBy(of).orderBy("__h", key))).filter(F.col("__r") <= n).drop("__h", "__r")
