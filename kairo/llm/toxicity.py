@@ -28,11 +28,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).filter("id is not null and y is not null").filter(~held_out("id"))
     counts = {int(r.y): r["count"] for r in known.groupBy("y").count().collect()}
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
-    rows = docs.filter(~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null").filter(F.length("text") <= FIT_CHARS)
-    toxic = known.filter("y = 1").select("id").distinct()
+    rows = docs.filter(~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kinds = {}
-    for kind, some, n in (("p", rows.join(toxic, "id"), FIT_POSITIVE), ("u", rows, FIT_UNLABELLED)):
-        picked = bounded_sample(some.withColumn("kind", F.lit(kind)), "kind", "id", n).select("id", "text").orderBy("id", "text")
+    # ids are sampled first and few enough to broadcast, so texts never travel to their labels
+    for kind, ids, n in (("p", known.filter("y = 1").select("id").distinct(), FIT_POSITIVE), ("u", rows.filter("text is not null").select("id"), FIT_UNLABELLED)):
+        few = bounded_sample(ids.withColumn("kind", F.lit(kind)), "kind", "id", n).select("id").distinct()
+        picked = rows.filter("text is not null").filter(F.length("text") <= FIT_CHARS).join(F.broadcast(few), "id").dropDuplicates(["id"]).orderBy("id")
         picked = _extracted(picked).toArrow()
         f = [np.frombuffer(x, np.int32) for x in picked["f"].to_pylist()]
         kinds[kind] = (np.concatenate(f).astype(np.int64) if f else np.zeros(0, np.int64), np.cumsum([0, *map(len, f)]))
