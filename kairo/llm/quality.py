@@ -35,7 +35,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(~held_out("id"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     rows = docs.filter(~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.length("text") <= FIT_CHARS)
-    got = _passages_of(bounded_sample(rows.join(known, "id"), "y", "id", FIT_DOCS).orderBy("id", "text")).toArrow()
+    # ids are sampled first and few enough to broadcast, so texts never travel to their labels
+    few = F.broadcast(bounded_sample(known, "y", "id", FIT_DOCS).dropDuplicates(["id"]))
+    got = _passages_of(rows.join(few, "id").dropDuplicates(["id"]).orderBy("id")).toArrow()
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["x"].to_pylist()]
     y = got["y"].to_numpy().astype(np.float64)
     if not bags:
