@@ -10,8 +10,9 @@
    are *hot*.  Codes go back to the slices, and from them to the texts.
 3. *Solve.*  Open segments are dealt by anchor, equal ones of a batch as one with a weight,
    and a kernel finds the repeated window starts among all segments of an anchor.
-4. A hot anchor isn't gathered into one task: its windows are counted by 128-bit digests in
-   a partially aggregated count.  No window is left out either way.
+4. A hot anchor isn't gathered into one task: its windows are counted by 128-bit digests, in
+   the same packed blocks as the anchors were, a line per slice and distinct window, and
+   the codes come back the same way.  No window is left out either way.
 5. All marks return to the texts through joins that adaptive execution can split.
 
 Texts must come from a source that yields the same rows when a task is run again, such as a
@@ -54,9 +55,30 @@ def _all_runs(kind, window: int, gram: int, buf: np.ndarray, off: np.ndarray):
     return r, np.bincount(r.doc, minlength=len(off) - 1)
 
 
+def _blocks(v: np.ndarray, d: np.ndarray, packed: np.ndarray, line: np.ndarray, keys: bytes, count: np.ndarray, buckets: int, tail: bytes = b"") -> list[tuple]:
+    """Rows of BLOCK for one slice: for each bucket its lines' keys (a), digests (b) and counts
+    (c); and a directory (base -1): the texts' keys (a), their numbers of items (b), and
+    each item's line (c), with whatever ``tail`` the reader wants back."""
+    name = xxhash.xxh64_intdigest(keys + count.tobytes()) >> 1
+    bucket = (v >> U64(40)) % U64(buckets)
+    deal = np.argsort(bucket, kind="stable")
+    place = np.empty(len(v), np.uint32)
+    place[deal] = np.arange(len(v))
+    b = bucket[deal]
+    at = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1])
+    end = np.concatenate([at[1:], [len(b)]])
+    v, d, packed = v[deal], d[deal], packed[deal]
+    rows = [(int(b[x]), name, int(x), v[x:y].tobytes(), d[x:y].tobytes(), packed[x:y].tobytes()) for x, y in zip(at.tolist(), end.tolist(), strict=True)]
+    rows.append((name % buckets, name, -1, keys, count.astype(np.int64).tobytes(), place[line].tobytes() + tail))
+    return rows
+
+
+#: Bits of a line's count: distinct segments in 14, found twice or more in the slice, may repeat within itself.
+FORMS, TWICE, WITHIN = 16383, 14, 15
+
+
 def _sketch(kind, window: int, gram: int, buckets: int):
-    """Blocks of a slice: for each bucket its anchors (a), digests (b) and counts (c); and a
-    directory (base -1): the texts' keys (a), their numbers of runs (b), each run's anchor line (c)."""
+    """A slice's anchors in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,8 +86,6 @@ def _sketch(kind, window: int, gram: int, buckets: int):
             r, count = _all_runs(kind, window, gram, *buffers(column_of(batch, "text")))
             if r is None:
                 continue
-            keys = np.concatenate([k1, k2]).tobytes()
-            name = xxhash.xxh64_intdigest(keys + count.tobytes()) >> 1
             order = np.lexsort((r.digest, r.anchor))
             v, d, many = r.anchor[order], r.digest[order], r.many[order]
             new = np.concatenate([[True], v[1:] != v[:-1]])
@@ -75,43 +95,52 @@ def _sketch(kind, window: int, gram: int, buckets: int):
             n = np.diff(np.concatenate([first, [len(v)]]))
             forms = np.add.reduceat(np.concatenate([[True], (d[1:] != d[:-1]) | new[1:]]).astype(np.int64), first)
             some = np.logical_or.reduceat(many, first)
-            # forms in 14 bits, which hold more than is ever called hot; found twice or more; may repeat within itself
-            packed = (np.minimum(forms, 16383) | ((n > 1) | some).astype(np.int64) << 14 | some.astype(np.int64) << 15).astype(np.uint16)
-            v, d = v[first], d[first]
-            bucket = (v >> U64(40)) % U64(buckets)
-            deal = np.argsort(bucket, kind="stable")
-            place = np.empty(len(v), np.uint32)
-            place[deal] = np.arange(len(v))
-            b = bucket[deal]
-            at = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1])
-            end = np.concatenate([at[1:], [len(b)]])
-            v, d, packed = v[deal], d[deal], packed[deal]
-            rows = [(int(b[x]), name, int(x), v[x:y].tobytes(), d[x:y].tobytes(), packed[x:y].tobytes()) for x, y in zip(at.tolist(), end.tolist(), strict=True)]
-            rows.append((name % buckets, name, -1, keys, count.astype(np.int64).tobytes(), place[line].tobytes()))
+            packed = (np.minimum(forms, FORMS) | ((n > 1) | some).astype(np.int64) << TWICE | some.astype(np.int64) << WITHIN).astype(np.uint16)
+            rows = _blocks(v[first], d[first], packed, line, np.concatenate([k1, k2]).tobytes(), count, buckets)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), BLOCK, strict=True)], schema=BLOCK)
 
     return run
 
 
-def _verdicts(hot: int):
-    """Per bucket: a code for each line of each block; directories pass through."""
-
-    def judge(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
-        v = np.concatenate([np.frombuffer(x[3], U64) for x in blocks])
-        d = np.concatenate([np.frombuffer(x[4], U64) for x in blocks])
-        c = np.concatenate([np.frombuffer(x[5], np.uint16) for x in blocks]).astype(np.int64)
+def _anchor_codes(hot: int):
+    def codes(v: np.ndarray, d: np.ndarray, c: np.ndarray) -> np.ndarray:
         order = np.argsort(v, kind="stable")
         v, d, c = v[order], d[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         lines = np.diff(np.concatenate([first, [len(v)]]))
-        found = (lines > 1) | np.logical_or.reduceat(c >> 14 & 1 > 0, first)
+        found = (lines > 1) | np.logical_or.reduceat(c >> TWICE & 1 > 0, first)
         least, most = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-        several = (least != most) | np.logical_or.reduceat((c & 16383) > 1, first) | np.logical_or.reduceat(c >> 15 > 0, first)
-        forms = np.add.reduceat(c & 16383, first)
+        several = (least != most) | np.logical_or.reduceat((c & FORMS) > 1, first) | np.logical_or.reduceat(c >> WITHIN > 0, first)
         # forms of different slices may be the same; only their sum is known here
+        forms = np.add.reduceat(c & FORMS, first)
         code = np.where(~found, DROPPED, np.where(~several, SETTLED, np.where(forms <= hot, OPEN, HOTTER)))
-        codes = np.empty(len(v), np.uint8)
-        codes[order] = np.repeat(code, lines)
+        out = np.empty(len(v), np.uint8)
+        out[order] = np.repeat(code, lines)
+        return out
+
+    return codes
+
+
+def _window_codes(g: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """1 for windows found twice or more, by both digests."""
+    order = np.lexsort((h, g))
+    g, h, c = g[order], h[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])]))
+    lines = np.diff(np.concatenate([first, [len(g)]]))
+    found = (lines > 1) | np.logical_or.reduceat(c >> TWICE & 1 > 0, first)
+    out = np.empty(len(g), np.uint8)
+    out[order] = np.repeat(found, lines)
+    return out
+
+
+def _verdicts(codes_of: Callable):
+    """Per bucket: a code for each line of each block; directories pass through."""
+
+    def judge(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        v = np.concatenate([np.frombuffer(x[3], U64) for x in blocks])
+        d = np.concatenate([np.frombuffer(x[4], U64) for x in blocks])
+        c = np.concatenate([np.frombuffer(x[5], np.uint16) for x in blocks]).astype(np.int64)
+        codes = codes_of(v, d, c)
         at = 0
         for x in blocks:
             n = len(x[3]) // 8
@@ -138,54 +167,72 @@ def _verdicts(hot: int):
     return run
 
 
-def _codes_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slice: its directory, which comes first, and its codes, to a code for each run of each text that has any."""
-    state: dict = {}
+def _of_slices(out: Callable[[dict], Iterator[pa.RecordBatch]]):
+    """Per slice: its directory, which comes first, and its codes, gathered for ``out``."""
 
-    def out() -> Iterator[pa.RecordBatch]:
-        if not state or not state["codes"].any():
-            return
-        of_run = state["codes"][state["line"]]
-        at = np.concatenate([[0], np.cumsum(state["count"])])
-        total = np.concatenate([[0], np.cumsum(of_run > 0)])
-        some = np.flatnonzero(total[at[1:]] > total[at[:-1]])
-        raw = [of_run[a:b].tobytes() for a, b in zip(at[some].tolist(), at[some + 1].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(state["k1"][some]), pa.array(state["k2"][some]), pa.array(raw, pa.binary())], names=["k1", "k2", "codes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, base = column_of(batch, "slice")[i].as_py(), column_of(batch, "base")[i].as_py()
+                if base < 0:
+                    if state and state["codes"].any():
+                        yield from out(state)
+                    a, b, c = (column_of(batch, x)[i].as_py() for x in "abc")
+                    keys, count = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                    n, items = len(keys) // 2, int(count.sum())
+                    line = np.frombuffer(c, np.uint32, items)
+                    state = {"name": name, "k1": keys[:n], "k2": keys[n:], "count": count, "line": line, "tail": c[4 * items :], "codes": np.zeros(int(line.max()) + 1, np.uint8)}
+                else:
+                    if not state or state["name"] != name:
+                        raise RuntimeError("a slice's directory is missing: the texts' source is not repeatable")
+                    got = np.frombuffer(column_of(batch, "a")[i].as_py(), np.uint8)
+                    state["codes"][base : base + len(got)] = got
+        if state and state["codes"].any():
+            yield from out(state)
+
+    return run
 
-    for batch in batches:
-        for i in range(batch.num_rows):
-            name, base = column_of(batch, "slice")[i].as_py(), column_of(batch, "base")[i].as_py()
-            if base < 0:
-                yield from out()
-                a, b, c = (column_of(batch, x)[i].as_py() for x in "abc")
-                keys, line = np.frombuffer(a, np.int64), np.frombuffer(c, np.uint32)
-                n = len(keys) // 2
-                state = {"name": name, "k1": keys[:n], "k2": keys[n:], "count": np.frombuffer(b, np.int64), "line": line, "codes": np.zeros(int(line.max()) + 1, np.uint8)}
-            else:
-                if not state or state["name"] != name:
-                    raise RuntimeError("a slice's directory is missing: the texts' source is not repeatable")
-                got = np.frombuffer(column_of(batch, "a")[i].as_py(), np.uint8)
-                state["codes"][base : base + len(got)] = got
-    yield from out()
+
+def _items(state: dict):
+    """Each item's code, and the texts that have any with the bounds of their items."""
+    code = state["codes"][state["line"]]
+    at = np.concatenate([[0], np.cumsum(state["count"])])
+    total = np.concatenate([[0], np.cumsum(code > 0)])
+    some = np.flatnonzero(total[at[1:]] > total[at[:-1]])
+    return code, some, list(zip(at[some].tolist(), at[some + 1].tolist(), strict=True))
+
+
+def _codes_of_texts(state: dict) -> Iterator[pa.RecordBatch]:
+    code, some, bounds = _items(state)
+    yield pa.RecordBatch.from_arrays([pa.array(state["k1"][some]), pa.array(state["k2"][some]), pa.array([code[a:b].tobytes() for a, b in bounds], pa.binary())], names=["k1", "k2", "codes"])
+
+
+def _marks_of_windows(state: dict) -> Iterator[pa.RecordBatch]:
+    """A text's repeated windows as int32 pairs of starts; the directory's tail has where each window is."""
+    code, some, bounds = _items(state)
+    at = np.frombuffer(state["tail"], np.int32)
+    raw = [np.repeat(at[a:b][code[a:b] > 0], 2).tobytes() for a, b in bounds]
+    yield pa.RecordBatch.from_arrays([pa.array(state["k1"][some]), pa.array(state["k2"][some]), pa.array(raw, pa.binary())], names=["k1", "k2", "mark"])
 
 
 #: What a text has to say once its codes are known, by ``kind``.
 MARKS, PLACE, SEGMENT, WINDOWS = 0, 1, 2, 3
-SAID = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("v", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("starts", pa.int32()), ("units", pa.binary())])
-SAID_DDL = "kind int, k1 long, k2 long, lo int, v long, d long, n long, starts int, units binary"
+SAID = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("v", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("starts", pa.int32()), ("units", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+SAID_DDL = "kind int, k1 long, k2 long, lo int, v long, d long, n long, starts int, units binary, b binary, c binary"
 
 
-def _say(kind, window: int, gram: int):
+def _say(kind, window: int, gram: int, buckets: int):
     """MARKS: a text's settled ranges of starts (units: int32 pairs).  PLACE: where an open
     segment is.  SEGMENT: an open segment's units, once a batch, n times found in it.
-    WINDOWS: a hot segment's place, with the two digests of each of its windows."""
+    WINDOWS: a batch's windows of hot segments in blocks (n: bucket, v: slice, lo: base)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (column_of(batch, k).to_numpy() for k in ("k1", "k2"))
             buf, off = buffers(column_of(batch, "text"))
             code = np.frombuffer(b"".join(column_of(batch, "codes").to_pylist()), np.uint8)
-            seen = 0
+            seen, heat = 0, []
             for a, b in steps(off):
                 part, po = buf[off[a] : off[b]], off[a : b + 1] - off[a]
                 r, count = _all_runs(kind, window, gram, part, po)
@@ -202,40 +249,41 @@ def _say(kind, window: int, gram: int):
                     cut = np.flatnonzero(np.diff(r.doc[at])) + 1
                     for g in np.split(at, cut):
                         pairs = np.stack([r.lo[g], r.hi[g]], axis=1).astype(np.int32)
-                        out.append((MARKS, x1[g[0]], x2[g[0]], 0, 0, 0, 0, 0, pairs.tobytes()))
+                        out.append((MARKS, x1[g[0]], x2[g[0]], 0, 0, 0, 0, 0, pairs.tobytes(), None, None))
                 at = np.flatnonzero(c == OPEN)
                 if len(at):
                     many = (r.hi[at] - r.lo[at] + 1).tolist()
-                    out += zip([PLACE] * len(at), x1[at].tolist(), x2[at].tolist(), r.lo[at].tolist(), v[at].tolist(), d[at].tolist(), [1] * len(at), many, [None] * len(at), strict=True)
+                    out += zip([PLACE] * len(at), x1[at].tolist(), x2[at].tolist(), r.lo[at].tolist(), v[at].tolist(), d[at].tolist(), [1] * len(at), many, *[[None] * len(at)] * 3, strict=True)
                     _, one, times = np.unique(np.stack([v[at], d[at]], axis=1), axis=0, return_index=True, return_counts=True)
                     for i, t in zip(one.tolist(), times.tolist(), strict=True):
                         start = int(uo[r.doc[at[i]]] + r.lo[at[i]])
-                        out.append((SEGMENT, 0, 0, 0, v[at[i]], d[at[i]], t, many[i], units[start : start + many[i] + window - 1].tobytes()))
+                        out.append((SEGMENT, 0, 0, 0, v[at[i]], d[at[i]], t, many[i], units[start : start + many[i] + window - 1].tobytes(), None, None))
                 at = np.flatnonzero(c == HOTTER)
                 if len(at):
                     hashed = kind.hashed(units)
                     one, two = Rolling(hashed), Rolling(mix(hashed))
-                    for i in at.tolist():
-                        s = np.arange(r.lo[i], r.hi[i] + 1) + uo[r.doc[i]]
-                        g = np.stack([one.of(s, s + window), two.of(s, s + window)], axis=1)
-                        out.append((WINDOWS, x1[i], x2[i], int(r.lo[i]), 0, 0, 0, len(s), g.tobytes()))
+                    many = (r.hi[at] - r.lo[at] + 1).astype(np.int64)
+                    w = repeat_ranges(r.lo[at], many)
+                    x = w + np.repeat(uo[r.doc[at]], many)
+                    heat.append((np.repeat(r.doc[at] + a, many), w.astype(np.int32), one.of(x, x + window), two.of(x, x + window)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*out, strict=True), SAID, strict=True)], schema=SAID)
+            if heat:
+                text, w, g, h = (np.concatenate(x) for x in zip(*heat, strict=True))
+                order = np.lexsort((h, g))
+                new = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (h[order][1:] != h[order][:-1])])
+                first = np.flatnonzero(new)
+                line = np.empty(len(g), np.uint32)
+                line[order] = np.cumsum(new) - 1
+                packed = (1 | (np.diff(np.concatenate([first, [len(g)]])) > 1).astype(np.int64) << TWICE).astype(np.uint16)
+                some, count = np.unique(text, return_counts=True)
+                rows = _blocks(g[order][first], h[order][first], packed, line, np.concatenate([k1[some], k2[some]]).tobytes(), count, buckets, w.tobytes())
+                out = [(WINDOWS, 0, 0, base, name, 0, bucket, 0, x, y, z) for bucket, name, base, x, y, z in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*out, strict=True), SAID, strict=True)], schema=SAID)
 
     return run
 
 
-def _spread_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """WINDOWS rows to a row per window."""
-    for batch in batches:
-        n = column_of(batch, "starts").to_numpy().astype(np.int64)
-        g = np.frombuffer(b"".join(column_of(batch, "units").to_pylist()), np.int64).reshape(-1, 2)
-        of = np.repeat(np.arange(batch.num_rows), n)
-        lo = column_of(batch, "lo").to_numpy().astype(np.int64)
-        cols = [column_of(batch, "k1").to_numpy()[of], column_of(batch, "k2").to_numpy()[of], repeat_ranges(lo, n).astype(np.int32), g[:, 0], g[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["k1", "k2", "at", "g1", "g2"])
-
-
 def _intervals(hit: np.ndarray) -> list[int]:
     """Inclusive ranges of true, flattened: first, last, first, last, ..."""
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -319,12 +367,14 @@ def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callab
     base = docs.select(k1, k2, F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     bare = base.select("k1", "k2", "text")
 
-    blocks = bare.mapInArrow(_sketch(kind, window, gram, BUCKETS * parts), BLOCK_DDL)
-    judged = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(hot), BLOCK_DDL)
-    codes = judged.repartition(parts, "slice").sortWithinPartitions("slice", "base").mapInArrow(_codes_of_texts, "k1 long, k2 long, codes binary")
+    def verdicts(blocks: DataFrame, codes_of: Callable, out: Callable, ddl: str) -> DataFrame:
+        judged = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(codes_of), BLOCK_DDL)
+        return judged.repartition(parts, "slice").sortWithinPartitions("slice", "base").mapInArrow(_of_slices(out), ddl)
+
+    codes = verdicts(bare.mapInArrow(_sketch(kind, window, gram, BUCKETS * parts), BLOCK_DDL), _anchor_codes(hot), _codes_of_texts, "k1 long, k2 long, codes binary")
 
     folder = f"{ensure_checkpoints(spark)}/repeats-{uuid.uuid4().hex}"
-    bare.join(codes.dropDuplicates(["k1", "k2"]).hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_say(kind, window, gram), SAID_DDL).write.partitionBy("kind").parquet(folder)
+    bare.join(codes.dropDuplicates(["k1", "k2"]).hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_say(kind, window, gram, BUCKETS * parts), SAID_DDL).write.partitionBy("kind").parquet(folder)
     said = spark.read.schema(SAID_DDL).parquet(folder)
 
     segments = said.filter(F.col("kind") == SEGMENT).select("v", "d", "n", "starts", "units")
@@ -332,10 +382,8 @@ def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callab
     places = said.filter(F.col("kind") == PLACE).select("k1", "k2", "lo", "v", "d")
     opened = places.join(solved, ["v", "d"]).select("k1", "k2", "lo", "hits").mapInArrow(_packed, "k1 long, k2 long, mark binary")
 
-    windows = said.filter(F.col("kind") == WINDOWS).select("k1", "k2", "lo", "starts", "units").mapInArrow(_spread_windows, "k1 long, k2 long, at int, g1 long, g2 long")
-    twice = windows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("g1", "g2")
-    counted = windows.join(twice, ["g1", "g2"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
-    heated = counted.select("k1", "k2", F.lit(0).alias("lo"), F.flatten(F.transform("at", lambda a: F.array(a, a))).alias("hits")).mapInArrow(_packed, "k1 long, k2 long, mark binary")
+    windows = said.filter(F.col("kind") == WINDOWS).select(F.col("n").cast("int").alias("bucket"), F.col("v").alias("slice"), F.col("lo").alias("base"), F.col("units").alias("a"), "b", "c")
+    heated = verdicts(windows, _window_codes, _marks_of_windows, "k1 long, k2 long, mark binary")
 
     marks = said.filter(F.col("kind") == MARKS).select("k1", "k2", F.col("units").alias("mark")).unionByName(opened).unionByName(heated)
     per_text = marks.groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks"))
