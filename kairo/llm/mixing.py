@@ -145,13 +145,13 @@ def rake_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | No
         goals[margin] = checkpoint(goal.select(margin, (F.col("goal") * F.lit(total / scale)).alias("goal")))
     now = cells.withColumn("m", F.lit(1.0))
     for _ in range(rounds):
-        off = 0.0
         for margin in MARGINS:
             have = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("m")).alias("have"))
-            step = have.join(goals[margin], margin).select(margin, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(1.0).alias("factor"), F.abs(F.col("have") - F.col("goal")).alias("off"))
-            now = checkpoint(now.join(step, margin).withColumn("m", F.col("m") * F.col("factor")).drop("factor"))
-            off = max(off, (now.agg(F.max("off")).first()[0] or 0) / max(total, 1))
-            now = now.drop("off")
+            step = have.join(goals[margin], margin).select(margin, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(1.0).alias("factor"), F.abs(F.col("have") - F.col("goal")).alias(f"off_{margin}"))
+            now = now.join(step, margin).withColumn("m", F.col("m") * F.col("factor")).drop("factor")
+        now = checkpoint(now)
+        off = (now.agg(F.max(F.greatest(*[f"off_{m}" for m in MARGINS]))).first()[0] or 0) / max(total, 1)
+        now = now.drop(*[f"off_{m}" for m in MARGINS])
         if off < CLOSE:
             break
     return now
@@ -170,7 +170,7 @@ def calibrate(sums, budget: float, rounds: int = 60) -> float:
     return s
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", max_cells: int = MAX_CELLS) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", max_cells: int = MAX_CELLS, frame_rounds: int = 30) -> DataFrame:
     """Weights, probabilities and a sample: (row, source, lang, topic, n_tokens, weight, probability, sampled).
 
     Tokens (words) of each source, language and topic are raked until the shares of all
@@ -203,7 +203,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
         table = spark.createDataFrame(local, "source string, lang string, topic string, tokens double, m double")
         table = F.broadcast(table)  # max_cells rows at most
     else:
-        table = rake_frames(cells, targets, temperature)
+        table = rake_frames(cells, targets, temperature, frame_rounds)
         total = cells.agg(F.sum("tokens")).first()[0]
 
         def sums(s: float) -> tuple[float, float]:
