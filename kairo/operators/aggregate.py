@@ -11,6 +11,7 @@ from ..functions.reducers import NUMERIC, Output, Reducer, of_nothing, outputs,
 from ..functions.time import from_us
 from ..series import Series
 from .grid import Calendar, Every, Intervals, Sequence, sample_point, spine, to_us
+from .joins import CELL, interval_join
 
 Mapping_ = Mapping[str, Reducer | tuple[str, Reducer]]
 
@@ -39,11 +40,17 @@ def bucketed(s: Series, seq: Sequence, spans: DataFrame | None = None) -> DataFr
     """
     point = s.kind in ("time", "value")
     if isinstance(seq, Intervals):
-        grid = F.broadcast(seq.frame(s.df.sparkSession))  # an explicit list from the driver
-        hit = (s.at >= F.col("__b")) & (s.at < F.col("__e"))
-        if not point:
-            hit = hit | ((s.at < F.col("__e")) & (s.until > F.col("__b")))
-        return s.df.join(grid, hit).drop("__e")
+        spans = seq.frame(s.df.sparkSession)
+        if point:
+            return interval_join(s.df, s.at, spans, F.col("__b"), F.col("__e"), how="inner").drop("__e")
+        # an extent is listed under every cell it touches, as the spans are, and met once by each span
+        cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / F.lit(CELL)), F.floor(hi / F.lit(CELL))))
+        right = spans.withColumn("__cell", cells(F.col("__b"), F.col("__e")))
+        left = s.df.withColumn("__lo", s.at).withColumn("__hi", s.until).withColumn("__cell", cells(s.at, s.until))
+        lo, hi = F.col("__lo"), F.col("__hi")
+        hit = ((lo >= F.col("__b")) & (lo < F.col("__e"))) | ((lo < F.col("__e")) & (hi > F.col("__b")))
+        first = F.greatest(F.floor(lo / F.lit(CELL)), F.floor(F.col("__b") / F.lit(CELL))) == F.col("__cell")
+        return left.join(right, "__cell").filter(hit & first).drop("__cell", "__lo", "__hi", "__e")
     if point:
         return s.df.withColumn("__b", seq.bucket(s.at))
     last = F.greatest(s.until - 1, s.at)

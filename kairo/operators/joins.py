@@ -63,20 +63,21 @@ def as_of(left: DataFrame, at: Column, right: Series, by: list[str] | None = Non
     return run.withColumn("r", F.last("r", ignorenulls=True).over(w)).filter("__p = 1").select("l.*", *[F.col(f"r.{c}").alias(c) for c in cols if c not in left.columns])
 
 
-def interval_join(rows: DataFrame, at: Column, spans: DataFrame, begin: Column, end: Column, right_closed: bool = False) -> DataFrame:
-    """Rows with the span that holds ``at``: [begin, end), or (begin, end].  Spans must not
-    overlap.  The spans are merged into the rows' order, so neither side is broadcast or multiplied."""
-    cols = spans.columns
-    r = spans.select(begin.alias("__t"), end.alias("__e"), F.struct(*cols).alias("r"))
-    l_ = rows.select(at.alias("__t"), F.struct(*rows.columns).alias("l"))
-    first = 1 if right_closed else 0
-    run = r.select("__t", F.lit(first).alias("__p"), "__e", "r", F.lit(None).cast(l_.schema["l"].dataType).alias("l")).unionByName(
-        l_.select("__t", F.lit(1 - first).alias("__p"), F.lit(None).cast("bigint").alias("__e"), F.lit(None).cast(r.schema["r"].dataType).alias("r"), "l")
-    )
-    w = Window.orderBy("__t", "__p").rowsBetween(Window.unboundedPreceding, 0)
-    got = run.withColumn("__s", F.last(F.when(F.col("r").isNotNull(), F.struct("__e", "r")), ignorenulls=True).over(w)).filter("l is not null")
-    inside = F.col("__t") <= F.col("__s.__e") if right_closed else F.col("__t") < F.col("__s.__e")
-    return got.select("l.*", *[F.when(inside, F.col(f"__s.r.{c}")).alias(c) for c in cols])
+#: Rows and spans meet by equality on cells of this many microseconds (a day).
+CELL = 86_400_000_000
+
+
+def interval_join(rows: DataFrame, at: Column, spans: DataFrame, begin: Column, end: Column, right_closed: bool = False, how: str = "left", cell: int = CELL) -> DataFrame:
+    """Rows with the span that holds ``at``: [begin, end), or (begin, end].  Spans must not overlap.
+
+    A span is listed under each cell that it touches and a row under its own, so the join
+    is an equality that can be shuffled or broadcast, and rows are never multiplied.
+    """
+    right = spans.withColumn("__cell", F.explode(F.sequence(F.floor(begin / F.lit(cell)), F.floor(end / F.lit(cell)))))
+    left = rows.withColumn("__at", at).withColumn("__cell", F.floor(F.col("__at") / F.lit(cell)))
+    t = left["__at"]
+    inside = ((t > begin) & (t <= end)) if right_closed else ((t >= begin) & (t < end))
+    return left.join(right, (left["__cell"] == right["__cell"]) & inside, how).select(*[left[c] for c in rows.columns], *[right[c] for c in spans.columns])
 
 
 def dedupe(s: Series, keep: str | Mapping[str, str] | Callable[[Column], Column] = "last") -> Series:

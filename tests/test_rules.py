@@ -73,6 +73,16 @@ def test_ranged_keys_are_in_every_bucket_they_overlap(spark):
     assert vals(out, "n") == [(1,), (2,), (1,)]
 
 
+def test_explicit_buckets(spark):
+    day = 86_400_000
+    spans = [(ms(0), ms(day // 2)), (ms(day // 2), ms(3 * day)), (ms(3 * day), ms(4 * day))]
+    rows = [(ms(0), ms(day // 2), "a", 1.0), (ms(day), ms(3 * day + 5), "b", 1.0), (ms(day // 4), ms(day), "c", 1.0)]
+    s = tables.from_rows(spark, rows, {"begin": "time", "end": "time", "label": "string", "value": "number"}, begin="begin", end="end", label="label")
+    assert vals(agg.aggregate(s, grid.bounded(spans), {"n": ("value", "count")}).df.orderBy("begin"), "n") == [(2,), (2,), (1,)]
+    p = points(spark, [(0, 1.0), (day // 2, 1.0), (4 * day, 1.0)])
+    assert vals(agg.aggregate(p, grid.bounded(spans), {"n": ("value", "count")}).df.orderBy("begin"), "n") == [(1,), (1,), (0,)]
+
+
 def test_calendar_days_across_a_change_of_the_clock(spark):
     s = tables.from_rows(spark, [(datetime(2024, 3, 9, 5), 1.0), (datetime(2024, 3, 11, 5), 1.0)], {"time": "time", "value": "number"})
     out = agg.aggregate(s, grid.calendar("day", "America/New_York"), {"n": ("value", "count")}).df.orderBy("begin")
