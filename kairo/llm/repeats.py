@@ -355,7 +355,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callable, finish, doc_id: str, text: str, hot: int = HOT) -> DataFrame:
-    """``docs`` as struct column ``row`` and the columns of ``finish``, a row per row of docs.
+    """``docs`` but the text as struct column ``row``, and the columns of ``finish``, a row per row of docs.
 
     Every unit covered by a window whose unit sequence also starts elsewhere is removed.
     """
@@ -364,7 +364,8 @@ def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callab
         raise ValueError("the gram must be no longer than the window")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k1, k2 = row_key(doc_id, text)
-    base = docs.select(k1, k2, F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("_")]
+    base = docs.select(k1, k2, F.col(text).cast("string").alias("text"), F.struct(*others).alias("row"))
     bare = base.select("k1", "k2", "text")
 
     def verdicts(blocks: DataFrame, codes_of: Callable, out: Callable, ddl: str) -> DataFrame:

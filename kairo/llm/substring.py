@@ -15,7 +15,7 @@ def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """Removes each word covered by a ``window`` of words that also starts anywhere else.
 
     Returns (row, n_units, n_removed, spans, kept), a row per row of docs: ``row`` is the
-    row itself as a struct (so no column name can clash), spans the removed word ranges
+    row but its text as a struct (so no column name can clash), spans the removed word ranges
     [start, end, ...], kept the remaining words joined by one space.  Words are runs without
     ASCII white space, unchanged.  Windows never cross documents and are judged on the
     input.  Null, empty and short texts lose nothing.  Rows with a null or repeated id are

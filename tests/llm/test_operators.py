@@ -57,7 +57,7 @@ def removed(seqs, window, join):
 @pytest.mark.parametrize("hot", [512, 1])
 @pytest.mark.parametrize("window", [200, 24])
 def test_bytes(odd, hot, window):
-    got = remove_repeated_bytes(odd, window=window, gram=window // 3, hot=hot).select("n_units", "n_removed", F.sha2("kept", 256), "spans", "row.text").collect()
+    got = remove_repeated_bytes(odd, window=window, gram=window // 3, hot=hot).select("n_units", "n_removed", F.sha2("kept", 256), "spans", "row.doc_id").collect()
     texts = [(r.text or "").encode() for r in odd.collect()]
     assert sorted(tuple(r)[:3] for r in got) == removed(texts, window, bytes)
     assert all(sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed for r in got)
