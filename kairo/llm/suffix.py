@@ -10,13 +10,15 @@ from .repeats import HOT, ByteFinish, remove_repeats
 from .sieve import Bytes
 
 WINDOW, GRAM = 200, 64
+#: Tells null texts from empty ones while their bytes are away.
+WAS_NULL = "__text_was_null"
 
 
 def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Removes each byte covered by a string of ``window`` bytes that also starts anywhere else.
 
     Returns (row, n_units, n_removed, spans, kept), a row per row of docs: ``row`` is the
-    row itself as a struct (so no column name can clash), spans the maximal removed byte
+    row but its text as a struct (so no column name can clash), spans the maximal removed byte
     ranges [start, end, ...], kept the remaining bytes (a cut may split a character).
     Matches never cross documents and are judged on the input.  Null, empty and short texts
     lose nothing.  Rows with a null or repeated id are documents like any other: repeated
@@ -28,12 +30,15 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
     """docs with the repeated bytes taken out of ``text`` and ``n_chars`` brought up to date.
 
-    Bytes of a character that a cut has split are dropped.  Texts that lose nothing stay as
-    they are; a document of which only white space is left goes.
+    Bytes of a character that a cut has split are dropped (and with them, in a text that is
+    cut, any U+FFFD).  Texts that lose nothing stay as they are, null ones null; a document of
+    which only white space is left goes.
     """
-    done = remove_repeated_bytes(docs, doc_id, text, window)
+    flagged = docs.withColumn(WAS_NULL, F.col(text).isNull())
+    done = remove_repeated_bytes(flagged, doc_id, text, window)
     whole = F.col("n_removed") == 0
-    left = F.when(whole, F.col(f"row.{text}")).otherwise(F.expr("decode(unhex(hex(kept)), 'utf-8')"))
+    raw = F.col("kept").cast("string")
+    left = F.when(whole, F.when(~F.col(f"row.{WAS_NULL}"), raw)).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
 
     def value(c: str):
         if c == text:
