@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +23,19 @@ def ensure_checkpoints(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows and bytes of an Arrow batch: texts are long, so the session's defaults would be large.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small, so that workers hold little whatever the texts' length."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        number = re.match(r"-?\d+$", now or "")
+        if not number or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage through a reliable checkpoint in the shared folder."""
     ensure_checkpoints(df.sparkSession)
@@ -61,3 +76,13 @@ def bounded_sample(rows: DataFrame, of: str, key: str, n: int) -> DataFrame:
     else:
         thin = rows.join(share, of).filter(F.col("__h") < F.col("__share")).drop("__share")
     return thin.withColumn("__r", F.row_number().over(Window.partitionBy(of).orderBy("__h", key))).filter(F.col("__r") <= n).drop("__h", "__r")
+
+
+def rest_of_row(docs: DataFrame, text: str) -> Column:
+    """All columns but the text as the struct ``row``, so that texts cross to Python once."""
+    return F.struct(*([F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("_")])).alias("row")
+
+
+def whole_row(docs: DataFrame, text: str) -> list[Column]:
+    """docs' columns again, of ``row`` and ``text``."""
+    return [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_sample, held_out
+from ._spark import bounded_sample, held_out, rest_of_row, whole_row
 from ._text import NOT_LETTER, buffers, column_of, steps
 from .cross_parse import Parser
 
@@ -54,8 +54,8 @@ def _no_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return none
 
 
-def predict(docs: DataFrame, samples: dict[str, bytes], text: str = "text") -> DataFrame:
-    """(row, lang_pred, score), a row per row of docs; ``row`` is the row as a struct."""
+def predict(docs: DataFrame, samples: dict[str, bytes], text: str = "text", with_text: bool = False) -> DataFrame:
+    """(row, lang_pred, score[, text]), a row per row of docs; ``row`` is the row but its text as a struct."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +75,10 @@ def predict(docs: DataFrame, samples: dict[str, bytes], text: str = "text") -> D
                     none[:] = True
                     best, score = np.zeros(b - a, np.int64), np.zeros(b - a)
                 best[none], score[none] = len(p.langs), 0.0
-                yield pa.RecordBatch.from_arrays([column_of(batch, "row").slice(a, b - a), pa.array(names[best], pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([column_of(batch, "row").slice(a, b - a), pa.array(names[best], pa.string()), pa.array(score), *[column_of(batch, "text").slice(a, b - a)] * with_text], names=["row", "lang_pred", "score", "text"][: 3 + with_text])
 
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
-    return base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    base = docs.select(rest_of_row(docs, text), F.col(text).cast("string").alias("text"))
+    return base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, lang_pred string, score double" + ", text string" * with_text)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -97,5 +97,5 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.3) -> DataFrame:
     """docs without those that have no language: ``und``, or a score below ``least``."""
-    done = predict(docs, fit(docs, doc_id, text, lang), text)
-    return done.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    done = predict(docs, fit(docs, doc_id, text, lang), text, with_text=True)
+    return done.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*whole_row(docs, text))

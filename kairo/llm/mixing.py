@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_sample, checkpoint
+from ._spark import bounded_sample, checkpoint, rest_of_row, whole_row
 from ._text import LOWER, NOT_LETTER, U64, buffers, column_of, steps, word_hashes, words
 
 #: Topics are the nearest of so many centres over hashed words; fitted on a bounded hash sample.
@@ -70,8 +70,8 @@ def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> n
     return kmeans(np.array([np.frombuffer(r[1], np.float32) for r in raw], np.float64).reshape(-1, WIDTH))
 
 
-def annotate(docs: DataFrame, centres: np.ndarray, doc_id: str, text: str, source: str, lang: str, seed: int) -> DataFrame:
-    """(row, source, lang, topic, n_tokens, u): null sources and languages under a name of their own."""
+def annotate(docs: DataFrame, centres: np.ndarray, doc_id: str, text: str, source: str, lang: str, seed: int, with_text: bool = False) -> DataFrame:
+    """(row, source, lang, topic, n_tokens, u[, text]): null sources and languages under a name of their own."""
     shared = docs.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +80,13 @@ def annotate(docs: DataFrame, centres: np.ndarray, doc_id: str, text: str, sourc
             for a, b in steps(off):
                 x, n = topic_vectors(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 topic = (x @ shared.value.T).argmax(axis=1)
-                kept = [column_of(batch, c).slice(a, b - a) for c in ("row", "source", "lang", "u")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([f"t{i}" for i in topic]), pa.array(n.astype(np.int64))], names=["row", "source", "lang", "u", "topic", "n_tokens"])
+                kept = [column_of(batch, c).slice(a, b - a) for c in ("row", "source", "lang", "u", *["text"] * with_text)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([f"t{i}" for i in topic]), pa.array(n.astype(np.int64))], names=["row", "source", "lang", "u", *["text"] * with_text, "topic", "n_tokens"])
 
     u = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name(source).alias("source"), name(lang).alias("lang"), u.alias("u"), F.col(text).cast("string").alias("text"))
-    return base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, source string, lang string, u double, topic string, n_tokens long")
+    base = docs.select(rest_of_row(docs, text), name(source).alias("source"), name(lang).alias("lang"), u.alias("u"), F.col(text).cast("string").alias("text"))
+    return base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, source string, lang string, u double{', text string' * with_text}, topic string, n_tokens long")
 
 
 # ---- raking ----------------------------------------------------------------
@@ -170,7 +170,7 @@ def calibrate(sums, budget: float, rounds: int = 60) -> float:
     return s
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", max_cells: int = MAX_CELLS, frame_rounds: int = 30) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", max_cells: int = MAX_CELLS, frame_rounds: int = 30, with_text: bool = False) -> DataFrame:
     """Weights, probabilities and a sample: (row, source, lang, topic, n_tokens, weight, probability, sampled).
 
     Tokens (words) of each source, language and topic are raked until the shares of all
@@ -179,7 +179,8 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     probability is min(1, s * weight) with the one s that makes the expected tokens
     ``budget`` of all; it is sampled if a hash of its id, text and the seed falls below that.
 
-    One row per row of docs, which is the struct ``row``, so no name can clash.  Null
+    One row per row of docs, which but for its text is the struct ``row``, so no name can clash;
+    ``with_text`` adds the text.  Null
     sources and languages are values of their own (shown as null).  Null and empty texts
     have no tokens; they take their cell's weight and are sampled alike.  Repeated rows are
     sampled or not together.  An empty table gives no rows.
@@ -187,7 +188,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     spark = docs.sparkSession
     targets = dict(targets or {})
     centres = fit_topics(docs, doc_id, text)
-    rows = annotate(docs, centres, doc_id, text, source, lang, seed)
+    rows = annotate(docs, centres, doc_id, text, source, lang, seed, with_text)
     light = annotate(docs.select(*dict.fromkeys([doc_id, text, source, lang])), centres, doc_id, text, source, lang, seed)
     cells = checkpoint(light.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("tokens")))
     if cells.count() <= max_cells:
@@ -215,9 +216,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     probability = F.least(F.lit(1.0), F.col("m") * s)
     joined = rows.join(table.drop("tokens"), list(MARGINS))
     shown = [F.when(F.col(c) != NONE, F.col(c)).alias(c) for c in ("source", "lang")]
-    return joined.select("row", *shown, "topic", "n_tokens", F.col("m").alias("weight"), probability.alias("probability"), (F.col("u") < probability).alias("sampled"))
+    return joined.select("row", *["text"] * with_text, *shown, "topic", "n_tokens", F.col("m").alias("weight"), probability.alias("probability"), (F.col("u") < probability).alias("sampled"))
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
+def sample(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The sampled rows of docs."""
-    return mix(docs, **options).filter("sampled").select("row.*")
+    return mix(docs, text=text, with_text=True, **options).filter("sampled").select(*whole_row(docs, text))

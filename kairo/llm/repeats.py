@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import ensure_checkpoints, row_key
+from ._spark import ensure_checkpoints, rest_of_row, row_key
 from ._text import U64, Rolling, buffers, column_of, mix, repeat_ranges, steps
 from .sieve import runs_of_texts
 
@@ -364,8 +364,7 @@ def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callab
         raise ValueError("the gram must be no longer than the window")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k1, k2 = row_key(doc_id, text)
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("_")]
-    base = docs.select(k1, k2, F.col(text).cast("string").alias("text"), F.struct(*others).alias("row"))
+    base = docs.select(k1, k2, F.col(text).cast("string").alias("text"), rest_of_row(docs, text))
     bare = base.select("k1", "k2", "text")
 
     def verdicts(blocks: DataFrame, codes_of: Callable, out: Callable, ddl: str) -> DataFrame:
