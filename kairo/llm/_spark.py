@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._text import give_back
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
@@ -36,6 +39,18 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """mapInArrow whose workers give back what a task has freed, as idle ones stay around."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage through a reliable checkpoint in the shared folder."""
     ensure_checkpoints(df.sparkSession)

@@ -7,6 +7,10 @@ A batch of texts is ``(buf, off)``: all UTF-8 bytes in one ``uint8`` array and
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +35,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i < n."""
     have = _pow_cache.get(0)
     if have is None or len(have[0]) < n:
-        size = max(n, 2 * STEP_BYTES)
+        size = max(n, STEP_BYTES + 4096)
         out = []
         for b in (BASE, BASE_INV):
             p = np.full(size, U64(b), U64)
@@ -148,3 +152,13 @@ def repeat_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def column_of(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Arrow's pool, then the C library's heap where it can be trimmed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

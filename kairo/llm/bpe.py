@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import row_key
+from ._spark import map_arrow, row_key
 from ._text import column_of
 
 CHUNK, OVERLAP = 16384, 512
@@ -111,7 +111,7 @@ def encode_docs(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "d
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out_cols = "ids binary" + ", decoded binary" * decode
     is_long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
-    short = base.filter(~is_long).mapInArrow(_encoded(ranks, pattern, decode, ("doc_id",)), f"doc_id long, {out_cols}")
+    short = base.filter(~is_long).transform(map_arrow, _encoded(ranks, pattern, decode, ("doc_id",)), f"doc_id long, {out_cols}")
     long = base.filter(is_long).select("doc_id", "text", k1, k2)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +135,8 @@ def encode_docs(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "d
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, kind), pa.array(tail, kind)], names=[*batch.schema.names, "head", "tail"])
 
     # rows that are equal are cut alike; one copy of each chunk is enough
-    parts = long.select("k1", "k2", "text").mapInArrow(cut, "k1 long, k2 long, i int, part string").dropDuplicates(["k1", "k2", "i"])
-    marked = parts.mapInArrow(pretokenise, "k1 long, k2 long, i int, part string, head array<int>, tail array<int>")
+    parts = long.select("k1", "k2", "text").transform(map_arrow, cut, "k1 long, k2 long, i int, part string").dropDuplicates(["k1", "k2", "i"])
+    marked = parts.transform(map_arrow, pretokenise, "k1 long, k2 long, i int, part string, head array<int>, tail array<int>")
     by = Window.partitionBy("k1", "k2").orderBy("i")
     met = F.array_min(F.array_intersect("tail", F.lead("head").over(by)))
     linked = marked.select("k1", "k2", "i", "part", met.alias("till"), F.lead("i").over(by).isNull().alias("last"))
@@ -149,7 +149,7 @@ def encode_docs(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "d
         F.expr(f"substring(part, coalesce(start, 0) + 1, case when last then length(part) when till is null then {chunk} else till + {chunk} end - coalesce(start, 0))").alias("part"),
     )
     whole = pieces.groupBy("k1", "k2", "piece").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("x")).select("k1", "k2", "piece", F.concat_ws("", F.col("x.part")).alias("text"))
-    done = whole.mapInArrow(_encoded(ranks, pattern, decode, ("k1", "k2", "piece")), f"k1 long, k2 long, piece long, {out_cols}")
+    done = whole.transform(map_arrow, _encoded(ranks, pattern, decode, ("k1", "k2", "piece")), f"k1 long, k2 long, piece long, {out_cols}")
     outs = ["ids", *["decoded"] * decode]
     glue = [F.unhex(F.concat_ws("", F.transform(F.col(f"x.{c}"), F.hex))).alias(c) for c in outs]
     per_doc = done.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("piece", *outs))).alias("x")).select("k1", "k2", *glue)

@@ -66,7 +66,7 @@ class Parser:
         for lang in self.langs:
             s = symbols(np.frombuffer(samples[lang], np.uint8))
             go = automaton(s)
-            t = np.full((len(go), SYMBOLS), -1, np.int64)
+            t = np.full((len(go), SYMBOLS), -1, np.int32)
             for i, edges in enumerate(go):
                 for c, j in edges.items():
                     t[i, c] = j

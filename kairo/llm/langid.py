@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_sample, held_out, rest_of_row, whole_row
+from ._spark import bounded_sample, held_out, map_arrow, rest_of_row, whole_row
 from ._text import NOT_LETTER, buffers, column_of, steps
 from .cross_parse import Parser
 
@@ -78,7 +78,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes], text: str = "text", with
                 yield pa.RecordBatch.from_arrays([column_of(batch, "row").slice(a, b - a), pa.array(names[best], pa.string()), pa.array(score), *[column_of(batch, "text").slice(a, b - a)] * with_text], names=["row", "lang_pred", "score", "text"][: 3 + with_text])
 
     base = docs.select(rest_of_row(docs, text), F.col(text).cast("string").alias("text"))
-    return base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, lang_pred string, score double" + ", text string" * with_text)
+    return base.transform(map_arrow, run, f"row {base.schema['row'].dataType.simpleString()}, lang_pred string, score double" + ", text string" * with_text)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

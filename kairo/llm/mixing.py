@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_sample, checkpoint, rest_of_row, whole_row
+from ._spark import bounded_sample, checkpoint, map_arrow, rest_of_row, whole_row
 from ._text import LOWER, NOT_LETTER, U64, buffers, column_of, steps, word_hashes, words
 
 #: Topics are the nearest of so many centres over hashed words; fitted on a bounded hash sample.
@@ -65,7 +65,7 @@ def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> n
                 yield pa.RecordBatch.from_arrays([column_of(batch, "id").slice(a, b - a), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["id", "x"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(1).alias("one")).filter("text is not null and text <> ''").filter(F.length("text") <= FIT_CHARS)
-    got = bounded_sample(rows, "one", "id", FIT_DOCS).select("id", "text").orderBy("id", "text").mapInArrow(run, "id long, x binary").toArrow()
+    got = bounded_sample(rows, "one", "id", FIT_DOCS).select("id", "text").orderBy("id", "text").transform(map_arrow, run, "id long, x binary").toArrow()
     raw = sorted(zip(got["id"].to_pylist(), got["x"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r))
     return kmeans(np.array([np.frombuffer(r[1], np.float32) for r in raw], np.float64).reshape(-1, WIDTH))
 
@@ -86,7 +86,7 @@ def annotate(docs: DataFrame, centres: np.ndarray, doc_id: str, text: str, sourc
     u = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     base = docs.select(rest_of_row(docs, text), name(source).alias("source"), name(lang).alias("lang"), u.alias("u"), F.col(text).cast("string").alias("text"))
-    return base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, source string, lang string, u double{', text string' * with_text}, topic string, n_tokens long")
+    return base.transform(map_arrow, run, f"row {base.schema['row'].dataType.simpleString()}, source string, lang string, u double{', text string' * with_text}, topic string, n_tokens long")
 
 
 # ---- raking ----------------------------------------------------------------

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_sample, held_out
+from ._spark import bounded_sample, held_out, map_arrow
 from ._text import buffers, column_of, steps
 from .mil import WIDTH, Attention, passages, train
 
@@ -26,7 +26,7 @@ def _passages_of(rows: DataFrame) -> DataFrame:
                 raw = [x[p:q].tobytes() for p, q in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([column_of(batch, "y").slice(a, b - a), pa.array(raw, pa.binary())], names=["y", "x"])
 
-    return rows.select("y", "text").mapInArrow(run, "y int, x binary")
+    return rows.select("y", "text").transform(map_arrow, run, "y int, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Attention:
@@ -64,5 +64,5 @@ def score(docs: DataFrame, model: Attention, doc_id: str = "doc_id", text: str =
             parts = [m.predict(*passages(buf[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in steps(off)]
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    done = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    done = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).transform(map_arrow, run, "doc_id long, score double")
     return done.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import ensure_checkpoints, rest_of_row, row_key
+from ._spark import ensure_checkpoints, map_arrow, rest_of_row, row_key
 from ._text import U64, Rolling, buffers, column_of, mix, repeat_ranges, steps
 from .sieve import runs_of_texts
 
@@ -368,19 +368,19 @@ def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callab
     bare = base.select("k1", "k2", "text")
 
     def verdicts(blocks: DataFrame, codes_of: Callable, out: Callable, ddl: str) -> DataFrame:
-        judged = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(codes_of), BLOCK_DDL)
-        return judged.repartition(parts, "slice").sortWithinPartitions("slice", "base").mapInArrow(_of_slices(out), ddl)
+        judged = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").transform(map_arrow, _verdicts(codes_of), BLOCK_DDL)
+        return judged.repartition(parts, "slice").sortWithinPartitions("slice", "base").transform(map_arrow, _of_slices(out), ddl)
 
-    codes = verdicts(bare.mapInArrow(_sketch(kind, window, gram, BUCKETS * parts), BLOCK_DDL), _anchor_codes(hot), _codes_of_texts, "k1 long, k2 long, codes binary")
+    codes = verdicts(bare.transform(map_arrow, _sketch(kind, window, gram, BUCKETS * parts), BLOCK_DDL), _anchor_codes(hot), _codes_of_texts, "k1 long, k2 long, codes binary")
 
     folder = f"{ensure_checkpoints(spark)}/repeats-{uuid.uuid4().hex}"
-    bare.join(codes.dropDuplicates(["k1", "k2"]).hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_say(kind, window, gram, BUCKETS * parts), SAID_DDL).write.partitionBy("kind").parquet(folder)
+    bare.join(codes.dropDuplicates(["k1", "k2"]).hint("shuffle_hash"), ["k1", "k2"]).transform(map_arrow, _say(kind, window, gram, BUCKETS * parts), SAID_DDL).write.partitionBy("kind").parquet(folder)
     said = spark.read.schema(SAID_DDL).parquet(folder)
 
     segments = said.filter(F.col("kind") == SEGMENT).select("v", "d", "n", "starts", "units")
-    solved = segments.repartition(parts, "v").sortWithinPartitions("v", "d").mapInArrow(_solve(kind, window, kernel), "v long, d long, hits array<int>")
+    solved = segments.repartition(parts, "v").sortWithinPartitions("v", "d").transform(map_arrow, _solve(kind, window, kernel), "v long, d long, hits array<int>")
     places = said.filter(F.col("kind") == PLACE).select("k1", "k2", "lo", "v", "d")
-    opened = places.join(solved, ["v", "d"]).select("k1", "k2", "lo", "hits").mapInArrow(_packed, "k1 long, k2 long, mark binary")
+    opened = places.join(solved, ["v", "d"]).select("k1", "k2", "lo", "hits").transform(map_arrow, _packed, "k1 long, k2 long, mark binary")
 
     windows = said.filter(F.col("kind") == WINDOWS).select(F.col("n").cast("int").alias("bucket"), F.col("v").alias("slice"), F.col("lo").alias("base"), F.col("units").alias("a"), "b", "c")
     heated = verdicts(windows, _window_codes, _marks_of_windows, "k1 long, k2 long, mark binary")
@@ -388,7 +388,7 @@ def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callab
     marks = said.filter(F.col("kind") == MARKS).select("k1", "k2", F.col("units").alias("mark")).unionByName(opened).unionByName(heated)
     per_text = marks.groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks"))
     marked = base.join(per_text.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "marks")
-    return marked.mapInArrow(_marked(kind, window, finish, finish.schema), f"row {base.schema['row'].dataType.simpleString()}, {finish.ddl}")
+    return marked.transform(map_arrow, _marked(kind, window, finish, finish.schema), f"row {base.schema['row'].dataType.simpleString()}, {finish.ddl}")
 
 
 class ByteFinish:

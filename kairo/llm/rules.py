@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mcd
-from ._spark import checkpoint
+from ._spark import checkpoint, map_arrow
 from ._text import buffers, column_of, steps
 from .stats import text_stats
 
@@ -41,7 +41,7 @@ def doc_stats(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) -
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array(s[c].astype(np.int64)) for c in STATS]], names=["doc_id", "lang", "source", *STATS])
 
     cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")]
-    return docs.select(*cols).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in STATS))
+    return docs.select(*cols).transform(map_arrow, run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in STATS))
 
 
 def _grouped(rows: DataFrame, least: int) -> DataFrame:

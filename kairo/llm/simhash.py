@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpoint
+from ._spark import checkpoint, map_arrow
 from ._text import buffers, column_of, steps
 from .bitsliced import fingerprints, forest
 from .components import star_components
@@ -55,7 +55,7 @@ def fingerprint_docs(docs: DataFrame, doc_id: str, text: str, shingle: int) -> D
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).transform(map_arrow, run, "doc_id long, fp long")
 
 
 def _bucket_links(radius: int):
@@ -107,7 +107,7 @@ def fingerprint_links(fps: DataFrame, radius: int, split_above: int = SPLIT_ABOV
     )
     deal = cold.unionByName(hot)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return deal.repartition(n, "k", "m", "j").sortWithinPartitions("k", "m", "j", "fp").mapInArrow(_bucket_links(radius), "a long, b long")
+    return deal.repartition(n, "k", "m", "j").sortWithinPartitions("k", "m", "j", "fp").transform(map_arrow, _bucket_links(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, split_above: int = SPLIT_ABOVE) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import map_arrow
 from ._text import column_of
 
 #: Candidates and queries of one task's score array: 4096 x 512 longs are 16 MB.
@@ -148,6 +149,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     cand = c.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(nc))).withColumn("qb", blocks(nq)).select(pair, F.lit(False).alias("is_query"), "vec_id", "vec")
     query = q.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nq))).withColumn("cb", blocks(nc)).select(pair, F.lit(True).alias("is_query"), "vec_id", "vec")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(nc * nq, 4096))
-    best = cand.union(query).repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    best = cand.union(query).repartition(n, "pair").sortWithinPartitions("pair").transform(map_arrow, _search(k), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

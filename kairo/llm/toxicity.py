@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_sample, held_out
+from ._spark import bounded_sample, held_out, map_arrow
 from ._text import buffers, column_of, steps
 from .pu import features, margins, sigmoid, train
 
@@ -49,7 +49,7 @@ def _extracted(rows: DataFrame) -> DataFrame:
                 raw = [f[x:y].astype(np.int32).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["f"])
 
-    return rows.select("text").mapInArrow(run, "f binary")
+    return rows.select("text").transform(map_arrow, run, "f binary")
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,5 +68,5 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             parts = [sigmoid(margins(m.weights, m.bias, *features(buf[off[a] : off[b]], off[a : b + 1] - off[a], m.weights))) for a, b in steps(off)]
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    done = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    done = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).transform(map_arrow, run, "doc_id long, score double")
     return done.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
