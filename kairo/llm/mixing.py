@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ._spark import bounded_sample, checkpoint, map_arrow, rest_of_row, whole_row
 from ._text import LOWER, NOT_LETTER, U64, buffers, column_of, steps, word_hashes, words
 
-#: Topics are the nearest of so many centres over hashed words; fitted on a bounded hash sample.
-TOPICS, WIDTH, FIT_DOCS, FIT_CHARS = 8, 512, 2000, 50_000
+#: Topics are the nearest of so many centres over hashed words; fitted on all documents in so many rounds at most.
+TOPICS, WIDTH, TOPIC_ROUNDS, UNIT = 8, 512, 25, 1 << 20
+#: Only where the rounds start is taken from a sample of texts of so many characters at most.
+START_DOCS, START_CHARS = 2000, 50_000
 MARGINS = ("source", "lang", "topic")
 #: Cells (source x language x topic) that the driver rakes itself; more are raked in DataFrames.
 MAX_CELLS = 200_000
@@ -39,24 +41,39 @@ def topic_vectors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, np.diff(words(buf, off)[2])
 
 
-def kmeans(x: np.ndarray, k: int = TOPICS, rounds: int = 25) -> np.ndarray:
-    """Spherical k-means from spread-out starts; deterministic."""
+def spread_starts(x: np.ndarray, k: int = TOPICS) -> np.ndarray:
+    """Rows of x far from each other; deterministic."""
     if not len(x):
         return np.zeros((1, WIDTH))
     centres = [x[0]]
     for _ in range(min(k, len(x)) - 1):
         centres.append(x[int(np.max(x @ np.array(centres).T, axis=1).argmin())])
-    c = np.array(centres)
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
-        for i in range(len(c)):
-            if (near == i).any():
-                m = x[near == i].mean(axis=0)
-                c[i] = m / max(np.sqrt((m * m).sum()), 1e-9)
-    return c
+    return np.array(centres)
 
 
-def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+def pack(x: np.ndarray) -> bytes:
+    """The cells of x that aren't zero, in units of 1 / UNIT."""
+    q = np.rint(x * UNIT).astype(np.uint32)
+    row, col = np.nonzero(q)
+    return np.uint32(len(x)).tobytes() + np.bincount(row, minlength=len(x)).astype(np.uint32).tobytes() + q[row, col].tobytes() + col.astype(np.uint16).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    size = np.frombuffer(raw, np.uint32, n, 4)
+    nnz = int(size.sum())
+    x = np.zeros((n, WIDTH))
+    x[np.repeat(np.arange(n), size), np.frombuffer(raw, np.uint16, nnz, 4 + 4 * n + 4 * nnz)] = np.frombuffer(raw, np.uint32, nnz, 4 + 4 * n)
+    return x
+
+
+def _with_vectors(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.lit(1).alias("one")).filter("text is not null and text <> ''")
+
+
+def start_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Where the rounds start: spread-out documents of a hash sample of bounded texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = buffers(column_of(batch, "text"))
@@ -64,10 +81,47 @@ def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> n
                 x, _ = topic_vectors(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 yield pa.RecordBatch.from_arrays([column_of(batch, "id").slice(a, b - a), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["id", "x"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(1).alias("one")).filter("text is not null and text <> ''").filter(F.length("text") <= FIT_CHARS)
-    got = bounded_sample(rows, "one", "id", FIT_DOCS).select("id", "text").orderBy("id", "text").transform(map_arrow, run, "id long, x binary").toArrow()
+    rows = _with_vectors(docs, doc_id, text).filter(F.length("text") <= START_CHARS)
+    got = bounded_sample(rows, "one", "id", START_DOCS).select("id", "text").orderBy("id", "text").transform(map_arrow, run, "id long, x binary").toArrow()
     raw = sorted(zip(got["id"].to_pylist(), got["x"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r))
-    return kmeans(np.array([np.frombuffer(r[1], np.float32) for r in raw], np.float64).reshape(-1, WIDTH))
+    return spread_starts(np.array([np.frombuffer(r[1], np.float32) for r in raw], np.float64).reshape(-1, WIDTH))
+
+
+def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Spherical k-means over all documents, whole: each round adds up the vectors nearest to each
+    centre, as partial sums of each task.  Vectors are in whole units, so sums are exact in any
+    order.  Rounds end when the sums stay, at TOPIC_ROUNDS at the latest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = buffers(column_of(batch, "text"))
+            packed = [pack(topic_vectors(buf[off[a] : off[b]], off[a : b + 1] - off[a])[0]) for a, b in steps(off)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["x"])
+
+    c = start_topics(docs, doc_id, text)
+    vectors = checkpoint(_with_vectors(docs, doc_id, text).select("text").transform(map_arrow, run, "x binary"))
+    last = None
+    for _ in range(TOPIC_ROUNDS):
+
+        def sums(batches: Iterator[pa.RecordBatch], c: np.ndarray = c) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(c), WIDTH))
+            for batch in batches:
+                for raw in batch.column(0):
+                    x = unpack(raw.as_buffer())
+                    near = (x @ c.T).argmax(axis=1)
+                    total += (near == np.arange(len(c))[:, None]).astype(float) @ x
+            slot = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total.ravel()[slot].astype(np.int64))], names=["slot", "v"])
+
+        got = vectors.transform(map_arrow, sums, "slot long, v long").groupBy("slot").agg(F.sum("v").alias("v")).toArrow()
+        total = np.zeros(c.size)
+        total[got["slot"].to_numpy()] = got["v"].to_numpy()
+        if last is not None and (total == last).all():
+            break
+        last, m = total, total.reshape(c.shape)
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        c = np.where(size > 0, m / np.maximum(size, 1e-9), c)
+    return c
 
 
 def annotate(docs: DataFrame, centres: np.ndarray, doc_id: str, text: str, source: str, lang: str, seed: int, with_text: bool = False) -> DataFrame:
