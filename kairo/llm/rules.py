@@ -18,14 +18,16 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Rows that a group needs for an estimate of its own; smaller ones are pooled by language, then all together.
 LEAST = 50
 #: A row goes if so few normal rows would lie as far out.
-TAIL = 1e-9
-#: The transformed vector and the standard deviations added to each of its columns.
+TAIL = 1e-3
+#: The standard deviation added to each column, only so that one that hardly varies in a group leaves no singular scatter.
+FLOOR = 0.05
+#: The transformed vector.
 VECTOR = {
-    "log of words": ("ln(n_words + 1)", 0.5),
-    "log of characters a word": ("ln((word_chars + 1) / (n_words + 1))", 0.1),
-    "symbols in a hundred words": ("ln(1 + 100.0 * n_symbols / (n_words + 1))", 0.7),
-    "repeated lines in a hundred words": ("ln(1 + 100.0 * n_dup_lines / (n_words + 1))", 0.5),
-    "repeated words in a hundred": ("ln(1 + 100.0 * n_repeat_words / (n_words + 1))", 0.7),
+    "log of words": "ln(n_words + 1)",
+    "log of characters a word": "ln((word_chars + 1) / (n_words + 1))",
+    "symbols in a hundred words": "ln(1 + 100.0 * n_symbols / (n_words + 1))",
+    "repeated lines in a hundred words": "ln(1 + 100.0 * n_dup_lines / (n_words + 1))",
+    "repeated words in a hundred": "ln(1 + 100.0 * n_repeat_words / (n_words + 1))",
 }
 
 
@@ -71,9 +73,9 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     words = F.col("n_words")
     stats = checkpoint(doc_stats(docs, doc_id, text, lang, source).withColumn("base_failed", (words < 20) | (100 * F.col("n_repeat_words") > 30 * words)))
     p = len(VECTOR)
-    passed = stats.filter("not base_failed").select("*", *[F.expr(e).alias(f"f{i}") for i, (e, _) in enumerate(VECTOR.values())])
+    passed = stats.filter("not base_failed").select("*", *[F.expr(e).alias(f"f{i}") for i, e in enumerate(VECTOR.values())])
     vectors = checkpoint(_grouped(passed, least))
-    model = mcd.fit(vectors.select("g", *[f"f{i}" for i in range(p)]), p, [f for _, f in VECTOR.values()])
+    model = mcd.fit(vectors.select("g", *[f"f{i}" for i in range(p)]), p, [FLOOR] * p)
     judged = vectors.join(model.filter(F.col("n") >= least).select("g", "centre", "precision"), "g", "left").withColumn("distance", mcd.distance(p))
     bound = mcd.chi2_quantile(1 - tail, p)
     out = ["doc_id", *STATS, "base_failed"]
