@@ -183,7 +183,7 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]], rounds
     return m
 
 
-def rake_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], temperature: float, rounds: int = 30) -> DataFrame:
+def rake_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], temperature: float, rounds: int = ROUNDS) -> DataFrame:
     """The same where there are too many cells for the driver: a column ``m`` beside the cells."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -224,7 +224,7 @@ def calibrate(sums, budget: float, rounds: int = 60) -> float:
     return s
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", max_cells: int = MAX_CELLS, frame_rounds: int = 30, with_text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", max_cells: int = MAX_CELLS, frame_rounds: int = ROUNDS, with_text: bool = False) -> DataFrame:
     """Weights, probabilities and a sample: (row, source, lang, topic, n_tokens, weight, probability, sampled).
 
     Tokens (words) of each source, language and topic are raked until the shares of all
