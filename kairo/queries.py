@@ -483,7 +483,7 @@ SELECT event_type, count(*) FILTER (value IS NULL) > 0 AS has_missing, count(*)
 def column_reads(spark, d):
     s = gappy(spark, d)
     out = columns.missing(s, "value").join(columns.ends(s, "value").select("event_type", "first_defined"), "event_type")
-    return out.withColumn("unique_count", F.lit(1).cast("bigint"))
+    return out.join(columns.unique_count(s, "event_type"), "event_type")
 
 
 @query("""
