@@ -1,16 +1,17 @@
 """Burrows-Wheeler transforms of shards, merged by iterative interleave refinement.
 
-A shard is a cyclic text.  Its rows are all rotations sorted by their first W units; its
-transform gives for each row the units before it.  To merge two shards no suffix is sorted
-again: an interleave vector says, row by row of the merged order, which shard the next row
-comes from.  It starts as all of the first, then all of the second, and each round deals
-the rows stably by the units before them, after which the interleave is right for one step
-more.  Block numbers travel with the rows: a new block begins where the units or the block
-dealt from change, so after W units two rows share a block exactly if their common prefix
-is W or longer, and the round in which a block begins is the common prefix with the row above.
-
-The transform works on steps of q units at once (the largest q of 8, 4, 2, 1 that divides
-W and whose q-grams here fit 16 bits), which changes neither the order nor the blocks.
+A shard is a cyclic text: the segments that one share of the corpus brought.  Its rows are
+all rotations sorted by their first W units; its transform gives for each row the units
+before it.  To merge shards no suffix is sorted again: an interleave vector says, row by row
+of the merged order, which shard the next row comes from.  It starts as all of the first
+shard, then all of the second, and so on; each round deals the rows stably by the units
+before them, after which the interleave is right for one step more.  Block numbers travel
+with the rows: a new block begins where the units or the block dealt from change, and the
+round in which it begins is the common prefix with the row above.  Repeated intervals are
+the runs of rows whose common prefix reaches W.
+
+The transform works on steps of q units at once, which changes neither the order nor the
+common prefixes in whole steps: q divides W and leaves ROUNDS rounds or more.
 """
 
 from __future__ import annotations
@@ -19,107 +20,107 @@ from typing import NamedTuple
 
 import numpy as np
 
+#: The least number of rounds that steps of several units may leave, and the longest step.
+ROUNDS, LONGEST = 5, 40
+
 
 class Shard(NamedTuple):
     rows: np.ndarray  #: start of each row, in the group's positions
-    before: np.ndarray  #: its transform: the q-gram before each row
-    block: np.ndarray  #: rows with equal first W units have equal numbers
+    before: np.ndarray  #: its transform: the name of the q units before each row
 
 
-def gram_keys(text: np.ndarray, q: int) -> np.ndarray:
-    """Each position's next q bytes of the cyclic text, as one integer."""
-    key = text.astype(np.uint64)
-    span = 1
-    while span < q:
-        key = (key << np.uint64(8 * span)) | np.roll(key, -span)
-        span *= 2
-    return key
+def step_of(window: int) -> int:
+    """Units that the transform moves at once."""
+    return max(q for q in range(1, min(window, LONGEST) + 1) if window % q == 0 and (window // q >= ROUNDS or q == 1))
+
+
+def turned(x: np.ndarray, cuts: list[int], by: int) -> np.ndarray:
+    """Each position's value ``by`` further on in its own cyclic shard."""
+    return np.concatenate([np.roll(x[a:b], -(by % (b - a))) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def ranked(key: np.ndarray) -> np.ndarray:
+    return np.unique(key, return_inverse=True)[1].astype(np.int64)
 
 
-def ranks(text: np.ndarray, window: int) -> np.ndarray:
-    """Rank of each rotation by its first ``window`` bytes; equal ones share a rank."""
-    n, span = len(text), 1
-    while span * 2 <= min(window, 8):
+def gram_names(text: np.ndarray, cuts: list[int], q: int) -> np.ndarray:
+    """Names of each position's next q units, in their order and alike in all shards."""
+    key, span = text.astype(np.uint64), 1
+    while span * 2 <= min(q, 8):
+        key = (key << np.uint64(8 * span)) | turned(key, cuts, span)
         span *= 2
-    rank = np.unique(gram_keys(text, span), return_inverse=True)[1].astype(np.int64)
-    while span < window:
-        step = min(span, window - span)
-        key = rank * n + np.roll(rank, -step % n if n else 0)
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    name = ranked(key)
+    while span < q:
+        step = min(span, q - span)
+        name = ranked(name * len(text) + turned(name, cuts, step))
         span += step
-    return rank
+    return name
 
 
-def shard(text: np.ndarray, at: int, window: int, q: int, gram_id: np.ndarray) -> Shard:
-    rank = ranks(text, window)
+def shard(name: np.ndarray, at: int, window: int, q: int) -> Shard:
+    """Of one cyclic text, by the names of its q-grams; it begins at position ``at`` of the group."""
+    n, rank, span = len(name), name, q
+    while span < window:
+        step = min(span, window - span)
+        rank = ranked(rank * (int(rank.max()) + 1) + np.roll(rank, -(step % n)))
+        span += step
     order = np.argsort(rank, kind="stable")
-    r = rank[order]
-    return Shard(order + at, gram_id[(order - q) % len(text)], r)
+    return Shard(order + at, name[(order - q) % n])
 
 
-def merge(a: Shard, b: Shard, rounds: int) -> tuple[Shard, np.ndarray]:
-    """The shard of both texts, and each row's common prefix with the row above, in steps, up to ``rounds``."""
-    n = len(a.rows) + len(b.rows)
-    z = np.zeros(n, bool)
-    z[len(a.rows) :] = True
+def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged rows, and each one's common prefix with the row above in steps, up to ``rounds``."""
+    size = [len(s.rows) for s in shards]
+    n = sum(size)
+    before = np.concatenate([s.before for s in shards]).astype(np.uint64)
+    z = np.repeat(np.arange(len(shards), dtype=np.uint16), size)
+    lane, low = np.arange(n, dtype=np.uint64), np.uint64(0xFFFFFFFF)
     block = np.zeros(n, np.int32)
     lcp = np.full(n, rounds, np.int32)
-    before = np.empty(n, a.before.dtype)
+    row = np.arange(n)
     blocks = 1
     for t in range(rounds):
-        before[~z] = a.before
-        before[z] = b.before
-        order = np.argsort(before, kind="stable")
-        s, from_block, z = before[order], block[order], z[order]
+        key = (before[row] << np.uint64(32)) | lane
+        key.sort()  # the lane in the lower half makes it stable
+        order = (key & low).astype(np.int64)
+        s, from_block, z = key >> np.uint64(32), block[order], z[order]
         new = np.empty(n, bool)
         new[0] = True
         new[1:] = (s[1:] != s[:-1]) | (from_block[1:] != from_block[:-1])
+        row[np.argsort(z, kind="stable")] = lane.view(np.int64)  # the i-th of a shard here is its i-th row
         lcp[new & (lcp == rounds)] = t
-        block = np.cumsum(new, dtype=np.int32) - 1
-        if block[-1] + 1 == blocks:  # a partition that one round leaves alone stays so
+        block = np.cumsum(new, dtype=np.int32)
+        if block[-1] == blocks:  # a partition that one round leaves alone stays so
             break
-        blocks = int(block[-1]) + 1
-    before[~z] = a.before
-    before[z] = b.before
-    rows = np.empty(n, np.int64)
-    rows[~z] = a.rows
-    rows[z] = b.rows
-    return Shard(rows, before.copy(), block), lcp
+        blocks = int(block[-1])
+    return np.concatenate([s.rows for s in shards])[row], lcp
 
 
-def repeated_starts(segments: list[np.ndarray], starts: list[int], weights: list[int], window: int, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
+def repeated_starts(segments: list[np.ndarray], starts: list[int], weights: list[int], window: int, shards: list[int] | None = None) -> list[np.ndarray]:
     """For each segment, which of its first ``starts`` positions begin a window found twice here.
 
-    A segment of weight w stands for w equal ones.  Segments are gathered into shards, the
-    shards' transforms are merged pairwise, and the blocks of the last are the repeated intervals.
+    A segment of weight w stands for w equal ones.  ``shards`` has the number of the shard
+    that each belongs to (alternating ones where not given).  The shards' transforms are
+    merged, and the intervals whose common prefix reaches the window are the repeats.
     """
-    size = np.array([len(s) for s in segments], np.int64)
-    text = np.concatenate(segments)
+    part = np.arange(len(segments)) % 2 if shards is None else np.asarray(shards)
+    deal = np.argsort(part, kind="stable")
+    size = np.array([len(s) for s in segments], np.int64)[deal]
+    text = np.concatenate([segments[i] for i in deal.tolist()])
     at = np.cumsum(size) - size
     weight = np.zeros(len(text), np.int64)
-    for a, k, w in zip(at, starts, weights, strict=True):
-        weight[a : a + k] = w
-    cuts = [0]
-    for a in at[1:]:
-        if a - cuts[-1] >= shard_bytes:
-            cuts.append(int(a))
-    cuts.append(len(text))
-    if len(cuts) == 2 and len(segments) > 1:  # two shards at least, so that there is a merge
-        cuts.insert(1, int(at[len(at) // 2]))
-    parts = list(zip(cuts, cuts[1:], strict=False))
-    for q in (8, 4, 2, 1):
-        if window % q:
-            continue
-        keys = np.concatenate([gram_keys(text[a:b], q) for a, b in parts])
-        symbols, gram_id = np.unique(keys, return_inverse=True)
-        if len(symbols) <= 1 << 16:
-            break
-    gram_id = gram_id.astype(np.uint16)
-    todo = [shard(text[a:b], a, window, q, gram_id[a:b]) for a, b in parts]
-    while len(todo) > 1:
-        todo = [merge(*todo[i : i + 2], window // q)[0] if i + 1 < len(todo) else todo[i] for i in range(0, len(todo), 2)]
-    last = todo[0]
-    total = np.bincount(last.block, weights=weight[last.rows])
+    for a, i in zip(at.tolist(), deal.tolist(), strict=True):
+        weight[a : a + starts[i]] = weights[i]
+    first = np.flatnonzero(np.concatenate([[True], part[deal][1:] != part[deal][:-1]]))
+    cuts = [*at[first].tolist(), len(text)]
+    q = step_of(window)
+    name = gram_names(text, cuts, q)
+    rows, lcp = merge([shard(name[a:b], a, window, q) for a, b in zip(cuts, cuts[1:], strict=False)], window // q)
+    interval = np.cumsum(lcp < window // q)
+    total = np.bincount(interval, weights=weight[rows])
     hit = np.zeros(len(text), bool)
-    hit[last.rows] = total[last.block] >= 2
-    return [hit[a : a + k] for a, k in zip(at, starts, strict=True)]
+    hit[rows] = total[interval] >= 2
+    out: list = [None] * len(segments)
+    for a, i in zip(at.tolist(), deal.tolist(), strict=True):
+        out[i] = hit[a : a + starts[i]]
+    return out

@@ -55,21 +55,32 @@ def test_kernels_find_what_counting_finds():
             for i in range(k):
                 c[s[i : i + window].tobytes()] += w
         want = [[c[s[i : i + window].tobytes()] >= 2 for i in range(k)] for s, k in zip(segs, starts, strict=True)]
-        assert [x.tolist() for x in bwt.repeated_starts(segs, starts, weights, window, rng.choice([30, 100, 10**6]))] == want
+        assert [x.tolist() for x in bwt.repeated_starts(segs, starts, weights, window, [rng.randrange(rng.choice([1, 2, 9])) for _ in segs])] == want
+        assert [x.tolist() for x in bwt.repeated_starts(segs, starts, weights, window)] == want
         assert [x.tolist() for x in doubling.repeated_starts([s.astype(np.uint64) for s in segs], starts, weights, window)] == want
 
 
-def test_merged_transform_is_the_whole_texts():
-    rng = random.Random(2)
-    a, b = (np.frombuffer(bytes(rng.randrange(3) for _ in range(40)), np.uint8) for _ in range(2))
-    gid = np.concatenate([a, b]).astype(np.uint16)
-    m, lcp = bwt.merge(bwt.shard(a, 0, 8, 1, gid[:40]), bwt.shard(b, 40, 8, 1, gid[40:]), 8)
-    rot = lambda p: bytes(np.roll(a if p < 40 else b, -(p % 40))[:8])
-    keys = [rot(int(p)) for p in m.rows]
-    assert keys == sorted(keys) and sorted(m.rows.tolist()) == list(range(80))
-    for i in range(1, 80):
-        same = next((k for k in range(8) if keys[i][k] != keys[i - 1][k]), 8)
-        assert lcp[i] == same
+@pytest.mark.parametrize("shards", [2, 3, 7])
+@pytest.mark.parametrize("q", [1, 2, 4])
+def test_merged_transform_is_the_whole_texts(shards, q):
+    rng = random.Random(shards)
+    for letters in (1, 2, 3, 30):
+        text = np.frombuffer(bytes(rng.randrange(letters) for _ in range(40 * shards)), np.uint8)
+        cuts = [0, *sorted(rng.sample(range(8, 40 * shards - 8), shards - 1)), 40 * shards]
+        name = bwt.gram_names(text, cuts, q)
+        parts = list(zip(cuts, cuts[1:], strict=False))
+        rows, lcp = bwt.merge([bwt.shard(name[a:b], a, 8, q) for a, b in parts], 8 // q)
+
+        def rot(p, parts=parts, text=text):
+            a, b = next(x for x in parts if x[0] <= p < x[1])
+            return bytes(text[a + (p - a + i) % (b - a)] for i in range(8))
+
+        keys = [rot(int(p)) for p in rows]
+        assert keys == sorted(keys) and sorted(rows.tolist()) == list(range(len(text)))
+        for i in range(1, len(text)):
+            same = next((k for k in range(8) if keys[i][k] != keys[i - 1][k]), 8)
+            # a last round that parts nothing is not run, so common prefixes stand as they were found
+            assert lcp[i] == same // q
 
 
 def test_runs_cover_each_window_once_and_equal_windows_share_anchors():
