@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,13 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of this machine only where none is set (tests)."""
+    """The shared checkpoint folder: the context's own, or the one that spark.checkpoint.dir names.
+
+    Under a local master, where one machine is all there is, it may be left out.  On a cluster
+    that raises: a folder of one machine would lose what other executors need.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
     return sc.getCheckpointDir()
 
 
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for a table that a result is read from; see drop_scratch."""
+    _scratch.append(f"{ensure_checkpoints(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch folders made so far; call it once results that read them have been written."""
+    while _scratch:
+        drop(spark, _scratch.pop())
+
+
 #: Rows and bytes of an Arrow batch: texts are long, so the session's defaults would be large.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 

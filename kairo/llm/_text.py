@@ -10,6 +10,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
+from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +58,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes of any stretch of a sequence of 64-bit units."""
+    """Polynomial hashes, modulo 2**64, of any stretch of a sequence of 64-bit units.
+
+    Texts can be made whose hashes are equal, so these only deal things out and pick anchors;
+    nothing may be held to be equal because of them.
+    """
 
     def __init__(self, units: np.ndarray):
         n = len(units)
@@ -74,6 +80,56 @@ class Rolling:
         return mix((self.s[k:] - self.s[: n - k + 1]) * self.inv[: n - k + 1])
 
 
+P61 = (1 << 61) - 1
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = (x & U64(P61)) + (x >> U64(61))
+    return np.where(x >= U64(P61), x - U64(P61), x)
+
+
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for residues."""
+    ah, al, bh, bl = a >> U64(31), a & U64(0x7FFFFFFF), b >> U64(31), b & U64(0x7FFFFFFF)
+    mid = al * bh + ah * bl
+    return _fold((ah * bh << U64(1)) + (mid >> U64(30)) + ((mid & U64(0x3FFFFFFF)) << U64(31)) + al * bl)
+
+
+def _powers61(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate([out, mul61(out, np.full(1, pow(base, len(out), P61), U64))])
+    return out[:n]
+
+
+class Secret:
+    """Hashes of any stretch as polynomials modulo 2**61 - 1 at a base drawn at random for each run.
+
+    Two different stretches of n units share a hash with a chance of n / 2**61, whatever the
+    texts are, as nobody knows the base when writing them.
+    """
+
+    def __init__(self, units: np.ndarray, base: int):
+        base = base % (P61 - 2) + 2
+        n = len(units)
+        term = mul61(_fold(units), _powers61(base, n))
+        low, high = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+        np.cumsum(term & U64(0x3FFFFFFF), out=low[1:])
+        np.cumsum(term >> U64(30), out=high[1:])
+        high = _fold(high)
+        self.s = _fold(_fold(low) + (((high << U64(30)) & U64(P61)) | (high >> U64(31))))
+        self.inv = _powers61(pow(base, -1, P61), n + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mul61(_fold(self.s[end] + U64(P61) - self.s[start]), self.inv[start])
+
+
+def digests(raw: bytes, start: list[int], end: list[int]) -> np.ndarray:
+    """(n, 2): 128-bit BLAKE2b digests of stretches of bytes."""
+    out = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start, end, strict=True)])
+    return np.frombuffer(out, U64).reshape(-1, 2)
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow string or binary column as (buf, off), without a copy where possible."""
     if isinstance(column, pa.ChunkedArray):
@@ -119,8 +175,29 @@ def words(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = IS_SEP) -> tuple[n
     return ws, we, np.searchsorted(ws, off)
 
 
+def word_ids(buf: np.ndarray, ws: np.ndarray, we: np.ndarray, of_long: Callable[[bytes], int]) -> np.ndarray:
+    """A 64-bit number of each word: its bytes and length up to seven bytes, else what ``of_long`` says."""
+    size = we - ws
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    out = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))[ws].astype(U64)
+    short = np.minimum(size, 7).astype(U64)
+    out = (out & ((U64(1) << (short * U64(8))) - U64(1))) | short << U64(56)
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        raw = buf.tobytes()
+        out[long] = np.fromiter((of_long(raw[a:b]) for a, b in zip(ws[long].tolist(), we[long].tolist(), strict=True)), U64, len(long))
+    return out
+
+
+def word_names(buf: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
+    """Small numbers that are equal exactly where words are."""
+    seen: dict[bytes, int] = {}
+    ids = word_ids(buf, ws, we, lambda w: seen.setdefault(w, len(seen)) | 255 << 56)
+    return np.unique(ids, return_inverse=True)[1].astype(np.int64)
+
+
 def word_hashes(buf: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
+    """64-bit hash of each word's bytes, for features: equal hashes don't prove equal words."""
     return Rolling(buf.astype(U64) + U64(1)).of(ws, we) if len(ws) else np.zeros(0, U64)
 
 

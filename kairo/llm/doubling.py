@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 
-def repeated_starts(segments: list[np.ndarray], starts: list[int], weights: list[int], window: int) -> list[np.ndarray]:
+def repeated_starts(segments: list[np.ndarray], starts: list[int], weights: list[int], window: int, shards: list[int] | None = None) -> list[np.ndarray]:
     """For each segment of units, which of its first ``starts`` positions begin a window found twice here.
 
     Level 1 names every unit.  At each level a position is named by the pair of names at
     itself and one length further, and only if both were repeated at the level before;
     names found once (counting a segment of weight w as w) are candidates no more.  The
     window's own length is reached by a last pair that overlaps.  Ends when no candidate
-    survives or the window is reached; there, only window starts count.
+    survives or the window is reached; there, only window starts count.  ``shards`` is not used.
     """
     size = np.array([len(s) for s in segments], np.int64)
     units = np.concatenate(segments)

@@ -2,7 +2,7 @@
 
 1. *Sketch.*  Each batch of texts (a *slice*) deals its windows into segments by their anchors
    (see sieve.py) and keeps a line per distinct anchor: how many segments, how many distinct
-   ones, the digest if there is one only.  Lines travel in packed blocks, a block for each
+   ones, the digest of one of them.  Lines travel in packed blocks, a block for each
    bucket of anchors, so a hot anchor costs a line per slice however often it occurs.
 2. *Verdict.*  A bucket adds up its anchors.  One found once is dropped: it holds no repeat.
    One whose segments are all equal is *settled*: every window of them repeats.  The others
@@ -10,18 +10,22 @@
    are *hot*.  Codes go back to the slices, and from them to the texts.
 3. *Solve.*  Open segments are dealt by anchor, equal ones of a batch as one with a weight,
    and a kernel finds the repeated window starts among all segments of an anchor.
-4. A hot anchor isn't gathered into one task: its windows are counted by 128-bit digests, in
+4. A hot anchor isn't gathered into one task: its windows are counted by two 61-bit hashes, in
    the same packed blocks as the anchors were, a line per slice and distinct window, and
    the codes come back the same way.  No window is left out either way.
 5. All marks return to the texts through joins that adaptive execution can split.
 
+What is held to be equal without a look at its units is so by 128 bits of BLAKE2b (segments),
+or by polynomials modulo a prime at bases drawn at random for each run (windows of hot
+anchors): no text can be written that collides, and chance does less than once in 2**90.
+
 Texts must come from a source that yields the same rows when a task is run again, such as a
 table; then a lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
 
-import uuid
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import ensure_checkpoints, map_arrow, rest_of_row, row_key
-from ._text import U64, Rolling, buffers, column_of, mix, repeat_ranges, steps
+from ._spark import map_arrow, rest_of_row, row_key, scratch
+from ._text import U64, Secret, buffers, column_of, digests, repeat_ranges, steps
 from .sieve import runs_of_texts
 
 #: Distinct segments of one anchor that are solved in one task; more are counted by digest.
@@ -40,15 +44,17 @@ HOT = 512
 GROUP = 1 << 18
 #: Buckets of anchors to a shuffle partition.
 BUCKETS = 4
+#: Shares of the slices; a kernel that merges sees each as a shard.
+SHARDS = 4
 DROPPED, SETTLED, OPEN, HOTTER = 0, 1, 2, 3
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("base", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 BLOCK_DDL = "bucket int, slice long, base int, a binary, b binary, c binary"
 
 
-def _all_runs(kind, window: int, gram: int, buf: np.ndarray, off: np.ndarray):
+def _all_runs(kind, window: int, gram: int, buf: np.ndarray, off: np.ndarray, digest: bool = True):
     """The runs of a batch in text order, and how many each text has."""
-    parts = [r for r in runs_of_texts(buf, off, kind, window, gram) if len(r.lo)]
+    parts = [r for r in runs_of_texts(buf, off, kind, window, gram, digest=digest) if len(r.lo)]
     if not parts:
         return None, np.zeros(len(off) - 1, np.int64)
     r = type(parts[0])(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -56,8 +62,8 @@ def _all_runs(kind, window: int, gram: int, buf: np.ndarray, off: np.ndarray):
 
 
 def _blocks(v: np.ndarray, d: np.ndarray, packed: np.ndarray, line: np.ndarray, keys: bytes, count: np.ndarray, buckets: int, tail: bytes = b"") -> list[tuple]:
-    """Rows of BLOCK for one slice: for each bucket its lines' keys (a), digests (b) and counts
-    (c); and a directory (base -1): the texts' keys (a), their numbers of items (b), and
+    """Rows of BLOCK for one slice: for each bucket its lines' keys (a), digests of one or two
+    words (b) and counts (c); and a directory (base -1): the texts' keys (a), their numbers of items (b), and
     each item's line (c), with whatever ``tail`` the reader wants back."""
     name = xxhash.xxh64_intdigest(keys + count.tobytes()) >> 1
     bucket = (v >> U64(40)) % U64(buckets)
@@ -86,14 +92,14 @@ def _sketch(kind, window: int, gram: int, buckets: int):
             r, count = _all_runs(kind, window, gram, *buffers(column_of(batch, "text")))
             if r is None:
                 continue
-            order = np.lexsort((r.digest, r.anchor))
+            order = np.lexsort((r.digest[:, 1], r.digest[:, 0], r.anchor))
             v, d, many = r.anchor[order], r.digest[order], r.many[order]
             new = np.concatenate([[True], v[1:] != v[:-1]])
             first = np.flatnonzero(new)
             line = np.empty(len(v), np.uint32)
             line[order] = np.cumsum(new) - 1
             n = np.diff(np.concatenate([first, [len(v)]]))
-            forms = np.add.reduceat(np.concatenate([[True], (d[1:] != d[:-1]) | new[1:]]).astype(np.int64), first)
+            forms = np.add.reduceat(np.concatenate([[True], (d[1:] != d[:-1]).any(axis=1) | new[1:]]).astype(np.int64), first)
             some = np.logical_or.reduceat(many, first)
             packed = (np.minimum(forms, FORMS) | ((n > 1) | some).astype(np.int64) << TWICE | some.astype(np.int64) << WITHIN).astype(np.uint16)
             rows = _blocks(v[first], d[first], packed, line, np.concatenate([k1, k2]).tobytes(), count, buckets)
@@ -104,15 +110,16 @@ def _sketch(kind, window: int, gram: int, buckets: int):
 
 def _anchor_codes(hot: int):
     def codes(v: np.ndarray, d: np.ndarray, c: np.ndarray) -> np.ndarray:
-        order = np.argsort(v, kind="stable")
+        order = np.lexsort((d[:, 1], d[:, 0], v))
         v, d, c = v[order], d[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        new = np.concatenate([[True], v[1:] != v[:-1]])
+        first = np.flatnonzero(new)
         lines = np.diff(np.concatenate([first, [len(v)]]))
         found = (lines > 1) | np.logical_or.reduceat(c >> TWICE & 1 > 0, first)
-        least, most = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-        several = (least != most) | np.logical_or.reduceat((c & FORMS) > 1, first) | np.logical_or.reduceat(c >> WITHIN > 0, first)
-        # forms of different slices may be the same; only their sum is known here
-        forms = np.add.reduceat(c & FORMS, first)
+        # distinct digests of the lines, and what lines have beside theirs: as many forms at most
+        other = np.concatenate([[True], (d[1:] != d[:-1]).any(axis=1)]) | new
+        forms = np.add.reduceat(other.astype(np.int64) + (c & FORMS) - 1, first)
+        several = (forms > 1) | np.logical_or.reduceat(c >> WITHIN > 0, first)
         code = np.where(~found, DROPPED, np.where(~several, SETTLED, np.where(forms <= hot, OPEN, HOTTER)))
         out = np.empty(len(v), np.uint8)
         out[order] = np.repeat(code, lines)
@@ -122,7 +129,8 @@ def _anchor_codes(hot: int):
 
 
 def _window_codes(g: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """1 for windows found twice or more, by both digests."""
+    """1 for windows found twice or more, by both hashes."""
+    h = h[:, 0]
     order = np.lexsort((h, g))
     g, h, c = g[order], h[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])]))
@@ -138,7 +146,7 @@ def _verdicts(codes_of: Callable):
 
     def judge(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
         v = np.concatenate([np.frombuffer(x[3], U64) for x in blocks])
-        d = np.concatenate([np.frombuffer(x[4], U64) for x in blocks])
+        d = np.concatenate([np.frombuffer(x[4], U64).reshape(len(x[3]) // 8, -1) for x in blocks])
         c = np.concatenate([np.frombuffer(x[5], np.uint16) for x in blocks]).astype(np.int64)
         codes = codes_of(v, d, c)
         at = 0
@@ -218,24 +226,24 @@ def _marks_of_windows(state: dict) -> Iterator[pa.RecordBatch]:
 
 #: What a text has to say once its codes are known, by ``kind``.
 MARKS, PLACE, SEGMENT, WINDOWS = 0, 1, 2, 3
-SAID = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("v", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("starts", pa.int32()), ("units", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-SAID_DDL = "kind int, k1 long, k2 long, lo int, v long, d long, n long, starts int, units binary, b binary, c binary"
+SAID = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("v", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("n", pa.int64()), ("starts", pa.int32()), ("units", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+SAID_DDL = "kind int, k1 long, k2 long, lo int, v long, d long, e long, n long, starts int, units binary, b binary, c binary"
 
 
-def _say(kind, window: int, gram: int, buckets: int):
+def _say(kind, window: int, gram: int, buckets: int, bases: tuple[int, int]):
     """MARKS: a text's settled ranges of starts (units: int32 pairs).  PLACE: where an open
-    segment is.  SEGMENT: an open segment's units, once a batch, n times found in it.
-    WINDOWS: a batch's windows of hot segments in blocks (n: bucket, v: slice, lo: base)."""
+    segment is, by its anchor and digest.  SEGMENT: an open segment's units, once a batch, n times
+    found in it, with the batch's shard as lo.  WINDOWS: a batch's windows of hot segments in blocks (n: bucket, v: slice, lo: base)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (column_of(batch, k).to_numpy() for k in ("k1", "k2"))
             buf, off = buffers(column_of(batch, "text"))
             code = np.frombuffer(b"".join(column_of(batch, "codes").to_pylist()), np.uint8)
-            seen, heat = 0, []
+            seen, heat, shard = 0, [], xxhash.xxh64_intdigest(k2.tobytes()) % SHARDS
             for a, b in steps(off):
                 part, po = buf[off[a] : off[b]], off[a : b + 1] - off[a]
-                r, count = _all_runs(kind, window, gram, part, po)
+                r, count = _all_runs(kind, window, gram, part, po, digest=False)
                 n = int(count.sum())
                 if not n:
                     continue
@@ -243,25 +251,27 @@ def _say(kind, window: int, gram: int, buckets: int):
                 units, uo = kind.of(part, po)
                 out: list[tuple] = []
                 x1, x2 = k1[a:b][r.doc], k2[a:b][r.doc]
-                v, d = r.anchor.view(np.int64), r.digest.view(np.int64)
+                v = r.anchor.view(np.int64)
                 at = np.flatnonzero(c == SETTLED)
                 if len(at):
                     cut = np.flatnonzero(np.diff(r.doc[at])) + 1
                     for g in np.split(at, cut):
                         pairs = np.stack([r.lo[g], r.hi[g]], axis=1).astype(np.int32)
-                        out.append((MARKS, x1[g[0]], x2[g[0]], 0, 0, 0, 0, 0, pairs.tobytes(), None, None))
+                        out.append((MARKS, x1[g[0]], x2[g[0]], 0, 0, 0, 0, 0, 0, pairs.tobytes(), None, None))
                 at = np.flatnonzero(c == OPEN)
                 if len(at):
                     many = (r.hi[at] - r.lo[at] + 1).tolist()
-                    out += zip([PLACE] * len(at), x1[at].tolist(), x2[at].tolist(), r.lo[at].tolist(), v[at].tolist(), d[at].tolist(), [1] * len(at), many, *[[None] * len(at)] * 3, strict=True)
-                    _, one, times = np.unique(np.stack([v[at], d[at]], axis=1), axis=0, return_index=True, return_counts=True)
+                    begin = uo[r.doc[at]] + r.lo[at]
+                    end, wide = begin + np.array(many) + window - 1, units.itemsize
+                    said = digests(units.tobytes(), (begin * wide).tolist(), (end * wide).tolist()).view(np.int64)
+                    out += zip([PLACE] * len(at), x1[at].tolist(), x2[at].tolist(), r.lo[at].tolist(), v[at].tolist(), said[:, 0].tolist(), said[:, 1].tolist(), [1] * len(at), many, *[[None] * len(at)] * 3, strict=True)
+                    _, one, times = np.unique(np.column_stack([v[at], said]), axis=0, return_index=True, return_counts=True)
                     for i, t in zip(one.tolist(), times.tolist(), strict=True):
-                        start = int(uo[r.doc[at[i]]] + r.lo[at[i]])
-                        out.append((SEGMENT, 0, 0, 0, v[at[i]], d[at[i]], t, many[i], units[start : start + many[i] + window - 1].tobytes(), None, None))
+                        out.append((SEGMENT, 0, 0, shard, v[at[i]], said[i, 0], said[i, 1], t, many[i], units[begin[i] : end[i]].tobytes(), None, None))
                 at = np.flatnonzero(c == HOTTER)
                 if len(at):
                     hashed = kind.hashed(units)
-                    one, two = Rolling(hashed), Rolling(mix(hashed))
+                    one, two = (Secret(hashed, b) for b in bases)
                     many = (r.hi[at] - r.lo[at] + 1).astype(np.int64)
                     w = repeat_ranges(r.lo[at], many)
                     x = w + np.repeat(uo[r.doc[at]], many)
@@ -277,8 +287,8 @@ def _say(kind, window: int, gram: int, buckets: int):
                 line[order] = np.cumsum(new) - 1
                 packed = (1 | (np.diff(np.concatenate([first, [len(g)]])) > 1).astype(np.int64) << TWICE).astype(np.uint16)
                 some, count = np.unique(text, return_counts=True)
-                rows = _blocks(g[order][first], h[order][first], packed, line, np.concatenate([k1[some], k2[some]]).tobytes(), count, buckets, w.tobytes())
-                out = [(WINDOWS, 0, 0, base, name, 0, bucket, 0, x, y, z) for bucket, name, base, x, y, z in rows]
+                rows = _blocks(g[order][first], h[order][first, None], packed, line, np.concatenate([k1[some], k2[some]]).tobytes(), count, buckets, w.tobytes())
+                out = [(WINDOWS, 0, 0, base, name, 0, 0, bucket, 0, x, y, z) for bucket, name, base, x, y, z in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*out, strict=True), SAID, strict=True)], schema=SAID)
 
     return run
@@ -291,29 +301,29 @@ def _intervals(hit: np.ndarray) -> list[int]:
 
 
 def _solve(kind, window: int, kernel: Callable):
-    """Rows (v, d, n, starts, units), sorted by v and d, to the repeated starts of each (v, d)."""
+    """Rows (v, d, e, n, starts, units, shard), sorted by v, d and e, to the repeated starts of each (v, d, e)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = []
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            hits = kernel([np.frombuffer(r[4], kind.dtype) for r in rows], [r[3] for r in rows], [r[2] for r in rows], window)
-            found = [(r[0], r[1], _intervals(h)) for r, h in zip(rows, hits, strict=True) if h.any()]
+            hits = kernel([np.frombuffer(r[5], kind.dtype) for r in rows], [r[4] for r in rows], [r[3] for r in rows], window, [r[6] for r in rows])
+            found = [(*r[:3], _intervals(h)) for r, h in zip(rows, hits, strict=True) if h.any()]
             if found:
-                a, b, c = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.int32()))], names=["v", "d", "hits"])
+                *key, c = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in key), pa.array(c, pa.list_(pa.int32()))], names=["v", "d", "e", "hits"])
 
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if rows and rows[-1][0] == r[0] and rows[-1][1] == r[1]:
-                    rows[-1][2] += r[2]
+            for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if rows and rows[-1][:3] == list(r[:3]):
+                    rows[-1][3] += r[3]
                     continue
                 if rows and rows[-1][0] != r[0] and held >= GROUP:
                     yield from out()
                     rows, held = [], 0
                 rows.append(list(r))
-                held += len(r[4]) // np.dtype(kind.dtype).itemsize
+                held += len(r[5]) // np.dtype(kind.dtype).itemsize
         if rows:
             yield from out()
 
@@ -363,6 +373,8 @@ def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callab
     if not 1 <= gram <= window:
         raise ValueError("the gram must be no longer than the window")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    secret = os.urandom(32)
+    kind, bases = kind(secret[:16]), (int.from_bytes(secret[16:24], "little"), int.from_bytes(secret[24:], "little"))
     k1, k2 = row_key(doc_id, text)
     base = docs.select(k1, k2, F.col(text).cast("string").alias("text"), rest_of_row(docs, text))
     bare = base.select("k1", "k2", "text")
@@ -373,14 +385,14 @@ def remove_repeats(docs: DataFrame, kind, window: int, gram: int, kernel: Callab
 
     codes = verdicts(bare.transform(map_arrow, _sketch(kind, window, gram, BUCKETS * parts), BLOCK_DDL), _anchor_codes(hot), _codes_of_texts, "k1 long, k2 long, codes binary")
 
-    folder = f"{ensure_checkpoints(spark)}/repeats-{uuid.uuid4().hex}"
-    bare.join(codes.dropDuplicates(["k1", "k2"]).hint("shuffle_hash"), ["k1", "k2"]).transform(map_arrow, _say(kind, window, gram, BUCKETS * parts), SAID_DDL).write.partitionBy("kind").parquet(folder)
+    folder = scratch(spark, "repeats")
+    bare.join(codes.dropDuplicates(["k1", "k2"]).hint("shuffle_hash"), ["k1", "k2"]).transform(map_arrow, _say(kind, window, gram, BUCKETS * parts, bases), SAID_DDL).write.partitionBy("kind").parquet(folder)
     said = spark.read.schema(SAID_DDL).parquet(folder)
 
-    segments = said.filter(F.col("kind") == SEGMENT).select("v", "d", "n", "starts", "units")
-    solved = segments.repartition(parts, "v").sortWithinPartitions("v", "d").transform(map_arrow, _solve(kind, window, kernel), "v long, d long, hits array<int>")
-    places = said.filter(F.col("kind") == PLACE).select("k1", "k2", "lo", "v", "d")
-    opened = places.join(solved, ["v", "d"]).select("k1", "k2", "lo", "hits").transform(map_arrow, _packed, "k1 long, k2 long, mark binary")
+    segments = said.filter(F.col("kind") == SEGMENT).select("v", "d", "e", "n", "starts", "units", F.col("lo").alias("shard"))
+    solved = segments.repartition(parts, "v").sortWithinPartitions("v", "d", "e").transform(map_arrow, _solve(kind, window, kernel), "v long, d long, e long, hits array<int>")
+    places = said.filter(F.col("kind") == PLACE).select("k1", "k2", "lo", "v", "d", "e")
+    opened = places.join(solved, ["v", "d", "e"]).select("k1", "k2", "lo", "hits").transform(map_arrow, _packed, "k1 long, k2 long, mark binary")
 
     windows = said.filter(F.col("kind") == WINDOWS).select(F.col("n").cast("int").alias("bucket"), F.col("v").alias("slice"), F.col("lo").alias("base"), F.col("units").alias("a"), "b", "c")
     heated = verdicts(windows, _window_codes, _marks_of_windows, "k1 long, k2 long, mark binary")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from ._text import U64, Rolling, mix, repeat_ranges, word_hashes, words
+from ._text import repeat_ranges, word_names, words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-#: Words of a window that counts as repeated if found twice in a text.
+#: Words of a window that counts as repeated if found twice in a text; a power of two.
 REPEAT = 8
 
 
@@ -39,15 +39,22 @@ def text_stats(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         with_word = np.searchsorted(ws, ends) > np.searchsorted(ws, starts)
         starts, ends = starts[with_word], ends[with_word]
         text = np.searchsorted(off, starts, side="right") - 1
-        key = mix(Rolling(buf.astype(U64) + U64(1)).of(starts, ends) + text.astype(U64) * U64(0xD6E8FEB86659FD93))
-        _, first = np.unique(key, return_index=True)
-        n_dup = np.bincount(text, minlength=n) - np.bincount(text[first], minlength=n)
+        several = np.bincount(text, minlength=n)[text] > 1
+        raw, seen = buf.tobytes(), set()
+        for t, a, b in zip(text[several].tolist(), starts[several].tolist(), ends[several].tolist(), strict=True):
+            line = (t, raw[a:b])
+            n_dup[t] += line in seen
+            seen.add(line)
 
         count = np.maximum(n_words - REPEAT + 1, 0)
         at = repeat_ranges(wo[:-1], count)
         if len(at):
             of = np.repeat(np.arange(n), count)
-            key = mix(Rolling(word_hashes(buf, ws, we)).grams(REPEAT)[at] + of.astype(U64) * U64(0xD6E8FEB86659FD93))
+            name, span = word_names(buf, ws, we), 1
+            while span < REPEAT:  # windows are named by the names of their halves
+                name = np.unique(name[:-span] * len(ws) + name[span:], return_inverse=True)[1].astype(np.int64)
+                span *= 2
+            key = of * len(ws) + name[at]
             _, inv, times = np.unique(key, return_inverse=True, return_counts=True)
             hit = at[times[inv] > 1]
             delta = np.zeros(len(ws) + 1, np.int64)

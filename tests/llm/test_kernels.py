@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 from kairo.llm import bitsliced, bwt, cross_parse, doubling, mcd, mil, mixing, pu, sieve, stats, topk
-from kairo.llm._text import repeat_ranges, sliding, steps, word_hashes, words
+from kairo.llm._text import Rolling, Secret, digests, repeat_ranges, sliding, steps, word_hashes, word_names, words
 
 
 def batch(texts):
@@ -90,8 +91,9 @@ def test_runs_cover_each_window_once_and_equal_windows_share_anchors():
         texts = [bytes(rng.randrange(97, 97 + rng.choice([1, 2, 9])) for _ in range(rng.randrange(0, 120))) for _ in range(5)]
         buf, off = batch(texts)
         seen, anchor = {}, {}
-        for r in sieve.runs_of_texts(buf, off, sieve.Bytes, window, max(1, window // 3), rng.choice([40, 1000])):
-            for d, lo, hi, v, _, many in zip(*(x.tolist() for x in r), strict=True):
+        for r in sieve.runs_of_texts(buf, off, sieve.Bytes(), window, max(1, window // 3), rng.choice([40, 1000])):
+            for d, lo, hi, v, said, many in zip(*(x.tolist() for x in r), strict=True):
+                assert said == np.frombuffer(hashlib.blake2b(texts[d][lo : hi + window], digest_size=16).digest(), np.uint64).tolist()
                 inside = [texts[d][j : j + window] for j in range(lo, hi + 1)]
                 assert len(set(inside)) == len(inside) or many
                 for j, x in zip(range(lo, hi + 1), inside, strict=True):
@@ -239,3 +241,46 @@ def test_raking_meets_every_margin():
     s = mixing.calibrate(lambda s: (t[m * s >= 1].sum(), (m * t)[m * s < 1].sum()), 30.0)
     assert abs((np.minimum(1, m * s) * t).sum() - 30) < 1e-9
     assert mixing.rake(cells.assign(tokens=0.0), goals).tolist() == [1.0] * 12
+
+
+def thue_morse(n):
+    """Two strings of n letters whose polynomial hashes modulo 2**64 are equal at every odd base, for n >= 1024."""
+    t = [bin(i).count("1") & 1 for i in range(n)]
+    return bytes(97 + x for x in t), bytes(98 - x for x in t)
+
+
+def test_no_equality_rests_on_hashes_that_can_be_made_to_collide():
+    a, b = thue_morse(1024)
+    buf, off = batch([a, b])
+    lo, hi = np.array([0, 1024]), np.array([1024, 2048])
+    h = Rolling(buf.astype(np.uint64) + np.uint64(1)).of(lo, hi)
+    assert h[0] == h[1]  # why it only deals
+    for base in (3, 1 << 60, 2**64 - 1):
+        s = Secret(buf.astype(np.uint64) + np.uint64(1), base).of(lo, hi)
+        assert s[0] != s[1]
+    assert len({tuple(x) for x in digests(buf.tobytes(), lo.tolist(), hi.tolist()).tolist()}) == 2
+    w = sieve.Words(b"k")
+    assert len(set(w.of(buf, off)[0].tolist())) == 2 and w.__reduce__()[1] == (b"k",)
+    got = stats.text_stats(*batch([a + b"\n" + b + b"\n" + a, b" ".join([a] * 4 + [b] * 4 + [a] * 4 + [b] * 8)]))
+    assert got["n_dup_lines"].tolist() == [1, 0]
+    words_ = [b"0", *[a] * 4, *[b] * 4, *[a] * 4, *[b] * 8][1:]
+    c = Counter(tuple(words_[j : j + 8]) for j in range(13))
+    assert got["n_repeat_words"].tolist() == [0, len({i for j in range(13) if c[tuple(words_[j : j + 8])] > 1 for i in range(j, j + 8)})]
+
+
+def test_secret_hashes_are_polynomials_modulo_the_prime():
+    rng, p, base = random.Random(0), (1 << 61) - 1, 987654321987654321
+    units = [rng.randrange(2**64) for _ in range(70)] + [0, 1, p, p - 1, 2**64 - 1]
+    h = Secret(np.array(units, np.uint64), base)
+    for a, b in ((0, 75), (3, 9), (70, 75), (5, 5)):
+        want = sum(u * pow(base + 2, i, p) for i, u in enumerate(units[a:b])) % p
+        assert int(h.of(np.array([a]), np.array([b]))[0]) == want
+
+
+def test_word_numbers():
+    texts = ["a ab abc abcdefg abcdefgh abcdefghi", "abcdefg a", "\0 \0\0 a\0", "é üüü üüüü"]
+    buf, off = batch(texts)
+    ws, we, _ = words(buf, off)
+    names = [buf[a:b].tobytes() for a, b in zip(ws, we, strict=True)]
+    for got in (word_names(buf, ws, we).tolist(), sieve.Words(b"x").of(buf, off)[0].tolist()):
+        assert all((got[i] == got[j]) == (names[i] == names[j]) for i in range(len(names)) for j in range(len(names)))
