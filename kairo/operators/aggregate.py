@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import in_order, join_on
 from ..functions.reducers import NUMERIC, Output, Reducer, of_nothing, outputs, reduce
 from ..functions.time import from_us
 from ..series import Series
@@ -65,12 +66,9 @@ def aggregate(s: Series, seq: Sequence, mapping: Mapping_, span: tuple | None =
     outs = _outs(s, mapping)
     agg = bucketed(s, seq).groupBy(*s.by, "__b").agg(*reducers(s, outs))
     grid = spine(bounds(s, span), list(s.by), seq, sample)
-    on = F.lit(True)
-    for c in (*s.by, "__b"):
-        on = on & grid[c].eqNullSafe(agg[c])
-    got = grid.join(agg, on, "left")
-    cols = [of_nothing(o.reducer, agg[o.name]).alias(o.name) for o in outs]
-    df = got.select(*[grid[c] for c in s.by], from_us(grid["__b"]).alias("begin"), from_us(grid["__e"]).alias("end"), (grid["__b"] / 1000).cast("bigint").alias("label"), *cols)
+    got = join_on(grid, agg.withColumnsRenamed({o.name: f"__o_{o.name}" for o in outs}), [*s.by, "__b"], "left")
+    cols = [of_nothing(o.reducer, F.col(f"__o_{o.name}")).alias(o.name) for o in outs]
+    df = got.select(*s.by, from_us(F.col("__b")).alias("begin"), from_us(F.col("__e")).alias("end"), (F.col("__b") / 1000).cast("bigint").alias("label"), *cols)
     return Series(df, "interval", ("begin", "end", "label"), s.by)
 
 
@@ -91,7 +89,7 @@ def materialize(s: Series, seq: Sequence, select: str = "last", sample: str = "b
         agg = rows.groupBy(*s.by, "__b").agg(F.min_by(row, F.struct(F.abs(s.at - sample_point(sample)), s.order)).alias("r"))
     else:
         agg = rows.groupBy(*s.by, "__b").agg((F.min_by if select == "first" else F.max_by)(row, s.order).alias("r"))
-    got = grid.join(agg, [*s.by, "__b"], "left")
+    got = join_on(grid, agg, [*s.by, "__b"], "left")
     df = got.select(*s.by, from_us(sample_point(sample)).alias("time"), *[F.col(f"r.{c}").alias(c) for c in s.values])
     return Series(df, "time", ("time",), s.by)
 
@@ -99,8 +97,8 @@ def materialize(s: Series, seq: Sequence, select: str = "last", sample: str = "b
 def align(s: Series, seq: Sequence, method: str = "hold", sample: str = "begin", span: tuple | None = None) -> Series:
     """Values at each bucket's sample point, held from the row before or interpolated between two.
 
-    Rows and points are merged into one ordered run per partition and read by window functions:
-    no range join.  At equal times the first row is met exactly; an extent that begins at
+    Rows and points are merged into one ordered run per partition, read once each way (see
+    Series.dealt for long partitions): no range join.  At equal times the first row is met exactly; an extent that begins at
     the point isn't held.
     """
     if method not in ("hold", "linear"):
@@ -116,10 +114,9 @@ def align(s: Series, seq: Sequence, method: str = "hold", sample: str = "begin",
         data = data.withColumn("__p", F.lit(2))
     marks = grid.select(*s.by, "__t", F.lit(1).alias("__p"), F.lit(0).alias("__i"), F.lit(None).cast(data.schema["r"].dataType).alias("r"), "__b", "__e")
     run = data.withColumn("__b", F.lit(None).cast("bigint")).withColumn("__e", F.lit(None).cast("bigint")).unionByName(marks)
-    order = Window.partitionBy(*s.by).orderBy("__t", "__p", "__i")
-    run = run.withColumn("prev", F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    if method == "linear":
-        run = run.withColumn("next", F.first("r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    stretch = None if s.stretch is None else F.floor(F.col("__t") / F.lit(s.us(s.stretch)))
+    seen = {"prev": F.col("r")}, {"next": F.col("r")} if method == "linear" else {}
+    run = in_order(run, s.by, [F.col(c) for c in ("__t", "__p", "__i")], stretch, *seen)
     at = run.filter("__p = 1 and __b is not null")
 
     def cell(c: str) -> Column:
@@ -164,7 +161,7 @@ def by_column(s: Series, column: str, mapping: Mapping_, width: float | None = N
         bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(edges) - 2).cast("bigint"))).alias("__bin")
         grid = s.df.select(*s.by).distinct().select(*s.by, bins) if s.by else s.df.sparkSession.range(1).select(bins)
         start, end = F.get(lit, F.col("__bin").cast("int")), F.get(lit, (F.col("__bin") + 1).cast("int"))
-    got = grid.join(agg, [*s.by, "__bin"], "left")
+    got = join_on(grid, agg, [*s.by, "__bin"], "left")
     return got.select(*s.by, start.alias("start"), end.alias("end"), *[of_nothing(o.reducer, F.col(o.name)).alias(o.name) for o in outs])
 
 

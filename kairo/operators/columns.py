@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import join_on
 from ..functions.reducers import finite, reduce
 from ..series import Series
 
@@ -55,14 +56,13 @@ SHAPES = {
 
 def bin_by_index(s: Series, column: str, bins: int, reducer: str) -> DataFrame:
     """``bins`` stretches of equal numbers of rows, bounds at floor(b * n / bins)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*s.by))
-    df = s.numbered().withColumn("__rows", n)
+    df = s.ordered(number="__n", whole={"__rows": ("count", F.lit(1))})
     # the bin of row i (from 0) is the last b with floor(b * n / bins) <= i
     b = F.floor(((F.col("__n")) * bins - 1) / F.col("__rows"))
     shape = SHAPES[reducer](finite(F.col(column), s.types[column]), s.order) if reducer in SHAPES else reduce(reducer, F.col(column), s.types[column], s.order)
     agg = df.withColumn("bin", b).groupBy(*s.by, "bin").agg(shape.alias("value"))
     grid = _groups(s).agg(F.count(F.lit(1)).alias("__c")).select(*s.by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
-    return grid.join(agg, [*s.by, "bin"], "left")
+    return join_on(grid, agg, [*s.by, "bin"], "left")
 
 
 def bin_by_key(s: Series, column: str, edges: list[float], reducer: str, key=None) -> DataFrame:
@@ -73,7 +73,7 @@ def bin_by_key(s: Series, column: str, edges: list[float], reducer: str, key=Non
     shape = SHAPES[reducer](finite(F.col(column), s.types[column]), s.order) if reducer in SHAPES else reduce(reducer, F.col(column), s.types[column], s.order)
     agg = s.df.withColumn("bin", b.cast("bigint")).filter("bin is not null").groupBy(*s.by, "bin").agg(shape.alias("value"))
     grid = _groups(s).agg(F.count(F.lit(1)).alias("__c")).select(*s.by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(edges) - 2).cast("bigint"))).alias("bin"))
-    return grid.join(agg, [*s.by, "bin"], "left")
+    return join_on(grid, agg, [*s.by, "bin"], "left")
 
 
 def m4(s: Series, column: str, buckets: int, lo=None, hi=None) -> DataFrame:
@@ -81,7 +81,7 @@ def m4(s: Series, column: str, buckets: int, lo=None, hi=None) -> DataFrame:
     line of that many pixels shows.  Empty buckets are there, all missing: a break in the line."""
     c = finite(F.col(column), s.types[column])
     extent = _groups(s).agg(F.min(s.at).alias("__lo"), F.max(s.at).alias("__hi")) if lo is None else _groups(s).agg(F.lit(lo).alias("__lo"), F.lit(hi).alias("__hi"))
-    df = s.df.join(extent, list(s.by)) if s.by else s.df.join(F.broadcast(extent))
+    df = join_on(s.df, extent, s.by) if s.by else s.df.join(F.broadcast(extent))
     at = s.at
     width = F.greatest((F.col("__hi") - F.col("__lo")).cast("double"), F.lit(1e-300))
     b = F.least(F.floor((at - F.col("__lo")) / width * buckets), F.lit(buckets - 1))
@@ -92,7 +92,7 @@ def m4(s: Series, column: str, buckets: int, lo=None, hi=None) -> DataFrame:
         F.min(c).alias("min"), F.min_by(k, F.struct(c, s.order)).alias("min_at"), F.max(c).alias("max"), F.max_by(k, F.struct(c, (-at).alias("k"))).alias("max_at"),
     )
     grid = extent.select(*s.by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("bucket"))
-    return grid.join(agg, [*s.by, "bucket"], "left")
+    return join_on(grid, agg, [*s.by, "bucket"], "left")
 
 
 def stacked(s: Series, columns: list[str]) -> DataFrame:

@@ -8,8 +8,9 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import in_order, join_on
 from ..functions.reducers import Reducer, reduce
-from ..series import Series
+from ..series import MAX_GROUPS, Series
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
@@ -35,7 +36,7 @@ def join(a: Series, b: Series, how: str = "outer", prefixes: tuple[str, str] | N
     left, right = _ordinal(a).drop(*([a.seq] if a.seq else [])), _ordinal(b).drop(*([b.seq] if b.seq else []))
     for c in both:
         left, right = left.withColumnRenamed(c, f"{prefixes[0]}_{c}"), right.withColumnRenamed(c, f"{prefixes[1]}_{c}")
-    out = left.join(right, on, HOW[how])
+    out = join_on(left, right, on, HOW[how])
     return Series(out.withColumnRenamed("__n", "__seq"), a.kind, a.key, a.by, "__seq")
 
 
@@ -47,20 +48,26 @@ def join_many(series: list[Series], how: str = "outer", prefixes: list[str] | No
     return fold(lambda x, y: join(x, y, how), series)
 
 
-def as_of(left: DataFrame, at: Column, right: Series, by: list[str] | None = None) -> DataFrame:
+def as_of(left: DataFrame, at: Column, right: Series, by: list[str] | None = None, prefix: str | None = None) -> DataFrame:
     """Each left row with the last right row at or before ``at`` (all columns null if none).
 
-    The sides are merged into one ordered run and read by a window; nothing is compared pairwise.
+    The sides are merged into one ordered run and read once (see Series.dealt, of the right
+    side, for long partitions); nothing is compared pairwise.  Names on both sides need a
+    ``prefix`` for the right one's.
     """
     by = by if by is not None else list(right.by)
     cols = right.values
+    both = [c for c in cols if c in left.columns]
+    if both and not prefix:
+        raise ValueError(f"both sides have {both}")
     l_ = left.withColumn("__t", at).select("__t", F.struct(*left.columns).alias("l"), *by)
     r = right.df.select(right.at.alias("__t"), *by, F.struct(*cols).alias("r"), *([F.col(right.seq).alias("__s")] if right.seq else [F.lit(0).alias("__s")]))
     run = r.select("__t", *by, "__s", F.lit(0).alias("__p"), F.lit(None).cast(l_.schema["l"].dataType).alias("l"), "r").unionByName(
         l_.select("__t", *by, F.lit(None).cast(r.schema["__s"].dataType).alias("__s"), F.lit(1).alias("__p"), "l", F.lit(None).cast(r.schema["r"].dataType).alias("r"))
     )
-    w = Window.partitionBy(*by).orderBy("__t", "__p", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    return run.withColumn("r", F.last("r", ignorenulls=True).over(w)).filter("__p = 1").select("l.*", *[F.col(f"r.{c}").alias(c) for c in cols if c not in left.columns])
+    stretch = None if right.stretch is None else F.floor(F.col("__t") / F.lit(right.us(right.stretch)))
+    run = in_order(run, by, [F.col(c) for c in ("__t", "__p", "__s")], stretch, {"__seen": F.col("r")})
+    return run.filter("__p = 1").select("l.*", *[F.col(f"__seen.{c}").alias(f"{prefix}_{c}" if c in both else c) for c in cols])
 
 
 #: Rows and spans meet by equality on cells of this many microseconds (a day).
@@ -80,10 +87,12 @@ def interval_join(rows: DataFrame, at: Column, spans: DataFrame, begin: Column,
     return left.join(right, (left["__cell"] == right["__cell"]) & inside, how).select(*[left[c] for c in rows.columns], *[right[c] for c in spans.columns])
 
 
-def dedupe(s: Series, keep: str | Mapping[str, str] | Callable[[Column], Column] = "last") -> Series:
+def dedupe(s: Series, keep: str | Mapping[str, object] | Callable[[Column], Column] = "last") -> Series:
     """Of rows with one whole key: 'first', 'last', none ('drop'), an error ('error'), the row
     least or greatest in a column ({'min': c}, {'max': c}; missing loses, ties go to the
-    first), or a reduction: {'merge': {column: reducer}}."""
+    first), a reduction ({'merge': {column: reducer}}), or what a resolver makes of them: a
+    function from the rows, an array of structs in order, to one struct.  Fields that it
+    leaves out are those of the last row."""
     part = [*s.by, *s.key]
     order = F.col(s.seq) if s.seq else F.lit(0)
     if keep == "drop":
@@ -93,6 +102,18 @@ def dedupe(s: Series, keep: str | Mapping[str, str] | Callable[[Column], Column]
         if s.df.groupBy(*part).count().filter("count > 1").limit(1).count():
             raise ValueError("duplicate keys")
         return s
+    if callable(keep):
+        cells = [*s.values, *([s.seq] if s.seq else [])]
+        rows = F.array_sort(F.collect_list(F.struct(s.order.alias("__o"), *cells)))
+        rows = F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in cells]))
+        got = s.df.groupBy(*part).agg(rows.alias("__rows")).withColumn("__one", keep(F.col("__rows")))
+        made = [f.name for f in got.schema["__one"].dataType.fields]
+        unknown = set(made) - set(s.values)
+        if unknown:
+            raise ValueError(f"a resolver gives values only, not {sorted(unknown)}")
+        last = F.element_at("__rows", -1)
+        one = {c: F.when(F.size("__rows") > 1, F.col("__one")[c]).otherwise(last[c]).cast(s.types[c]) if c in made else last[c] for c in cells}
+        return s.with_df(got.select(*part, *[v.alias(c) for c, v in one.items()]).select(*s.df.columns))
     if isinstance(keep, Mapping) and "merge" in keep:
         row = s.order
         aggs = [reduce(keep["merge"].get(c, "last"), F.col(c), s.types[c], row).alias(c) for c in s.values]
@@ -116,7 +137,9 @@ def pivot_by_group(s: Series, group: str, value: str, groups: list | None = None
     """
     text = F.coalesce(F.col(group).cast("string"), F.lit("undefined"))
     if groups is None:  # the only place where data name columns; this is an action
-        groups = [r[0] for r in s.df.select(text.alias("g")).distinct().orderBy("g").collect()]
+        groups = [r[0] for r in s.df.select(text.alias("g")).distinct().orderBy("g").limit(MAX_GROUPS + 1).collect()]
+        if len(groups) > MAX_GROUPS:
+            raise ValueError(f"more than {MAX_GROUPS} groups for columns")
     names = [str(g) for g in groups]
     key = [c for c in (*s.by, *s.key) if c != group]
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..functions.frames import join_on
 from ..functions.reducers import finite, of_nothing, outputs, reduce
 from ..functions.time import from_us
 from ..series import Series
@@ -55,12 +56,12 @@ def over_range(s: Series, back, ahead, columns: Mapping[str, Callable[[WindowSpe
 
 
 def _reduced(s: Series, outs) -> dict[str, Callable[[WindowSpec], Column]]:
-    return {f"__{o.name}": (lambda w, o=o: reduce(o.reducer, F.col(o.source), s.types[o.source], s.order, w)) for o in outs}
+    return {f"__o_{o.name}": (lambda w, o=o: reduce(o.reducer, F.col(o.source), s.types[o.source], s.order, w)) for o in outs}
 
 
 def _masked(outs, minimum: int, count: str) -> list[Column]:
     ok = F.col(count) >= minimum
-    return [(F.when(ok, F.col(f"__{o.name}")) if minimum else of_nothing(o.reducer, F.col(f"__{o.name}"))).alias(o.name) for o in outs]
+    return [(F.when(ok, F.col(f"__o_{o.name}")) if minimum else of_nothing(o.reducer, F.col(f"__o_{o.name}"))).alias(o.name) for o in outs]
 
 
 def rolling(s: Series, window: str | int | float | None, mapping: Mapping_, alignment: str = "trailing", min_samples: int = 0, count: int | None = None) -> Series:
@@ -108,9 +109,9 @@ def rolling_on(s: Series, seq: Sequence, window: str | int, mapping: Mapping_, a
     points = spine(bounds(s, span), list(s.by), seq, sample).withColumn("__t", sample_point(sample))
     cells = points.withColumn("__cell", F.explode(F.sequence(F.floor((F.col("__t") - back) / size), F.floor((F.col("__t") + ahead) / size))))
     rows = s.df.withColumn("__at", s.at).withColumn("__cell", F.floor(F.col("__at") / size))
-    met = cells.join(rows, [*s.by, "__cell"]).filter((F.col("__at") >= F.col("__t") - back) & (F.col("__at") <= F.col("__t") + ahead))
-    agg = met.groupBy(*s.by, "__b").agg(*[reduce(o.reducer, F.col(o.source), s.types[o.source], s.order).alias(f"__{o.name}") for o in outs], F.count(F.lit(1)).alias("__rows"))
-    got = points.join(agg, [*s.by, "__b"], "left").withColumn("__rows", F.coalesce("__rows", F.lit(0)))
+    met = join_on(cells, rows, [*s.by, "__cell"]).filter((F.col("__at") >= F.col("__t") - back) & (F.col("__at") <= F.col("__t") + ahead))
+    agg = met.groupBy(*s.by, "__b").agg(*[reduce(o.reducer, F.col(o.source), s.types[o.source], s.order).alias(f"__o_{o.name}") for o in outs], F.count(F.lit(1)).alias("__rows"))
+    got = join_on(points, agg, [*s.by, "__b"], "left").withColumn("__rows", F.coalesce("__rows", F.lit(0)))
     df = got.select(*s.by, from_us(F.col("__b")).alias("begin"), from_us(F.col("__e")).alias("end"), (F.col("__b") / 1000).cast("bigint").alias("label"), *_masked(outs, min_samples, "__rows"))
     return Series(df, "interval", ("begin", "end", "label"), s.by)
 
@@ -122,17 +123,16 @@ def rolling_by_column(s: Series, column: str, radius: float, mapping: Mapping_,
     if at is None:
         cols = _reduced(s, outs)
         df = over_range(s, radius, radius, cols, v)
-        return df.select(*[c for c in s.df.columns if c not in s.values], column, *[of_nothing(o.reducer, F.col(f"__{o.name}")).alias(o.name) for o in outs])
+        return df.select(*[c for c in s.df.columns if c not in s.values], column, *[of_nothing(o.reducer, F.col(f"__o_{o.name}")).alias(o.name) for o in outs])
     size = max(2 * radius, 1e-9)
     spark = s.df.sparkSession
-    centres = F.broadcast(spark.createDataFrame([(float(c),) for c in at], "center double"))  # a list from the caller
-    if s.by:
-        centres = s.df.select(*s.by).distinct().join(centres)
+    listed = F.explode(F.array(*[F.lit(float(c)) for c in at])).alias("center")  # a list from the caller
+    centres = s.df.select(*s.by).distinct().select(*s.by, listed) if s.by else spark.range(1).select(listed)
     cells = centres.withColumn("__cell", F.explode(F.sequence(F.floor((F.col("center") - radius) / size), F.floor((F.col("center") + radius) / size))))
     rows = s.df.withColumn("__v", v).withColumn("__cell", F.floor(F.col("__v") / size))
-    met = cells.join(rows, [*s.by, "__cell"]).filter(F.abs(F.col("__v") - F.col("center")) <= radius)
+    met = join_on(cells, rows, [*s.by, "__cell"]).filter(F.abs(F.col("__v") - F.col("center")) <= radius)
     agg = met.groupBy(*s.by, "center").agg(*[reduce(o.reducer, F.col(o.source), s.types[o.source], s.order).alias(o.name) for o in outs])
-    got = centres.join(agg, [*s.by, "center"], "left")
+    got = join_on(centres, agg, [*s.by, "center"], "left")
     return got.select(*s.by, "center", *[of_nothing(o.reducer, F.col(o.name)).alias(o.name) for o in outs])
 
 
@@ -169,20 +169,15 @@ def shift(s: Series, n: int, *cols: str) -> Series:
 
 
 def cumulative(s: Series, how: Mapping[str, str]) -> Series:
-    """Running sum, max, min or count; carried over gaps, missing before the first value."""
-    w = s.rows().rowsBetween(Window.unboundedPreceding, 0)
-    fns = {"sum": F.sum, "max": F.max, "min": F.min}
-
-    def one(c: str, fn: str) -> Column:
-        x = finite(F.col(c), s.types[c])
-        if fn == "count":
-            n = F.count(x).over(w)
-            return F.when(n > 0, n.cast("double"))
-        if fn not in fns:
-            raise ValueError(f"not an accumulation: {fn!r}")
-        return fns[fn](x.cast("double")).over(w)
-
-    return s.with_df(s.df.withColumns({c: one(c, fn) for c, fn in how.items()}))
+    """Running sum, max, min or count; carried over gaps, missing before the first value.
+    Series.dealt deals long partitions: each stretch adds what came before it."""
+    wrong = [fn for fn in how.values() if fn not in ("sum", "max", "min", "count")]
+    if wrong:
+        raise ValueError(f"not an accumulation: {wrong[0]!r}")
+    x = {c: finite(F.col(c), s.types[c]) for c in how}
+    df = s.ordered(running={f"__run_{c}": (fn, x[c] if fn == "count" else x[c].cast("double")) for c, fn in how.items()})
+    got = lambda c: F.when(F.col(f"__run_{c}") > 0, F.col(f"__run_{c}").cast("double")) if how[c] == "count" else F.col(f"__run_{c}")
+    return s.with_df(df.withColumns({c: got(c) for c in how}).select(*s.df.columns))
 
 
 # -- bands and smoothing -----------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..finance import studies
+from ..functions.frames import join_on
 from ..functions.reducers import finite
 from ..operators import windows
 from ..operators.folds import ema
@@ -86,14 +87,17 @@ class Ops:
         return self.get(spec["op"]).history(self.params(spec)) + max((self.required_history(i) for i in spec.get("inputs") or []), default=0)
 
 
-def expand_slots(spec, slots: Mapping[str, Spec | str]):
-    """Puts named specs in the place of {"slot": name}."""
+def expand_slots(spec, slots: Mapping[str, Spec | str], within: tuple[str, ...] = ()):
+    """Puts named specs in the place of {"slot": name}; a slot that leads back to itself is named."""
     if isinstance(spec, Mapping):
         if "slot" in spec:
-            if spec["slot"] not in slots:
-                raise KeyError(f"no slot {spec['slot']!r}")
-            return expand_slots(slots[spec["slot"]], slots)
-        return {**spec, "inputs": [expand_slots(i, slots) for i in spec.get("inputs") or []]}
+            name = spec["slot"]
+            if name not in slots:
+                raise KeyError(f"no slot {name!r}")
+            if name in within:
+                raise ValueError(f"slots lead in a circle: {' -> '.join((*within, name))}")
+            return expand_slots(slots[name], slots, (*within, name))
+        return {**spec, "inputs": [expand_slots(i, slots, within) for i in spec.get("inputs") or []]}
     return spec
 
 
@@ -144,18 +148,15 @@ def facts(s: Series, column: str, points: int = 32) -> DataFrame:
     o = F.when(x.isNotNull(), s.order)
     groups = s.df.groupBy(*s.by) if s.by else s.df.groupBy()
     last = groups.agg(F.max_by(x, o).alias("last"), F.min(x).alias("low"), F.min_by(s.key[0], F.struct(x, s.order)).alias("low_at"), F.max(x).alias("high"), F.max_by(s.key[0], F.struct(x, (-s.at).alias("k"))).alias("high_at"))
-    joined = s.df.select(*s.by, x.alias("__x")).join(last.select(*s.by, F.col("last").alias("__last")), list(s.by)) if s.by else s.df.select(x.alias("__x")).join(F.broadcast(last.select(F.col("last").alias("__last"))))
+    joined = join_on(s.df.select(*s.by, x.alias("__x")), last.select(*s.by, F.col("last").alias("__last")), s.by) if s.by else s.df.select(x.alias("__x")).join(F.broadcast(last.select(F.col("last").alias("__last"))))
     rank = (joined.groupBy(*s.by) if s.by else joined.groupBy()).agg(F.round(F.count_if(F.col("__x") < F.col("__last")) / F.count("__x"), 6).alias("percentile_rank"))
-    out = last.join(rank, list(s.by)) if s.by else last.join(F.broadcast(rank))
+    out = join_on(last, rank, s.by) if s.by else last.join(F.broadcast(rank))
     return out.withColumns({c: F.round(c, 6) for c in ("last", "low", "high")})
 
 
 def shape(s: Series, column: str, points: int = 32) -> DataFrame:
     """At most ``points`` rows spread evenly over the series."""
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy(*s.by))
-    df = s.numbered().withColumn("__stride", F.greatest(F.ceil(n / points), F.lit(1)))
+    df = s.ordered(number="__n", whole={"__all": ("count", F.lit(1))}).withColumn("__stride", F.greatest(F.ceil(F.col("__all") / points), F.lit(1)))
     return df.filter((F.col("__n") - 1) % F.col("__stride") == 0).select(*s.by, *s.key, F.round(F.col(column).cast("double"), 6).alias(column))
 
 

@@ -14,9 +14,12 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions.frames import in_order, join_on
 from .functions.reducers import NUMERIC
 from .functions.time import duration_us, from_us, us
 
+#: Values of a column that may each become a series or a column of their own.
+MAX_GROUPS = 10_000
 KINDS = {"time": 1, "range": 2, "interval": 3, "value": 1}
 
 
@@ -27,6 +30,7 @@ class Series:
     key: tuple[str, ...]
     by: tuple[str, ...] = ()
     seq: str | None = None
+    stretch: str | int | float | None = None  #: see dealt
 
     def __post_init__(self):
         if self.kind not in KINDS or len(self.key) != KINDS[self.kind]:
@@ -50,6 +54,11 @@ class Series:
     def partition_by(self, *cols: str) -> Series:
         return replace(self, by=tuple(cols))
 
+    def dealt(self, stretch: str | int | float | None) -> Series:
+        """Lets operators that read rows in order deal each partition in stretches of this width (a
+        duration, or a number on a value axis), so that a long one, or none at all, isn't one task's."""
+        return replace(self, stretch=stretch)
+
     def collect_series(self) -> Series:
         """The flat series of a partitioned one."""
         return replace(self, by=())
@@ -59,8 +68,10 @@ class Series:
         return fn(self)
 
     def to_map(self, fn: Callable[[Series], object] | None = None) -> dict:
-        """One lazy series per partition value.  Only the values' names come to the driver."""
-        keys = [tuple(r) for r in self.df.select(*self.by).distinct().orderBy(*self.by).collect()]
+        """One lazy series per partition value.  Only the values' names come to the driver, MAX_GROUPS at most."""
+        keys = [tuple(r) for r in self.df.select(*self.by).distinct().orderBy(*self.by).limit(MAX_GROUPS + 1).collect()]
+        if len(keys) > MAX_GROUPS:
+            raise ValueError(f"more than {MAX_GROUPS} partitions; work on the partitioned series as a whole")
         out = {}
         for k in keys:
             cond = F.lit(True)
@@ -116,6 +127,11 @@ class Series:
         """Window of the partition in key order."""
         return Window.partitionBy(*self.by).orderBy(self.at, *self.ties)
 
+    def ordered(self, **reads) -> DataFrame:
+        """The rows with what they see of their partition in key order: see functions.frames.in_order."""
+        stretch = None if self.stretch is None else F.floor(self.at / F.lit(self.us(self.stretch)))
+        return in_order(self.df, self.by, [self.at, *self.ties], stretch, **reads)
+
     def us(self, d: str | int | float) -> int | float:
         return d if self.kind == "value" else duration_us(d)
 
@@ -162,7 +178,7 @@ class Series:
         return (df.groupBy(*self.by) if self.by else df.groupBy()).agg(one).filter("r is not null").select(*self.by, *[F.col(f"r.{c}").alias(c) for c in cols]).select(*df.columns)
 
     def numbered(self) -> DataFrame:
-        return self.df.withColumn("__n", F.row_number().over(self.rows()))
+        return self.ordered(number="__n")
 
     def at_index(self, i: int) -> DataFrame:
         """The i-th row of each partition; negative counts from the end."""
@@ -211,16 +227,19 @@ class Series:
 
     def slice(self, begin: int | None = None, end: int | None = None) -> Series:
         """Rows by position within each partition; negative counts from the end."""
-        n = F.count(F.lit(1)).over(Window.partitionBy(*self.by))
+        n = F.col("__all")
         place = lambda i, other: F.lit(other) if i is None else (F.greatest(n + i, F.lit(0)) if i < 0 else F.lit(i))
-        df = self.numbered().withColumn("__lo", place(begin, 0)).withColumn("__hi", n if end is None else place(end, 0))
-        return self.with_df(df.filter("__n > __lo and __n <= __hi").drop("__n", "__lo", "__hi"))
+        df = self.ordered(number="__n", whole={"__all": ("count", F.lit(1))}).withColumn("__lo", place(begin, 0)).withColumn("__hi", n if end is None else place(end, 0))
+        return self.with_df(df.filter("__n > __lo and __n <= __hi").drop("__n", "__all", "__lo", "__hi"))
 
     def sample(self, stride: int | None = None, reservoir: int | None = None, seed: int = 0) -> Series:
-        """Every stride-th row (the last of each stride), or a random sample of so many rows."""
+        """Every stride-th row (the last of each stride), or a random sample of so many rows of each
+        partition: those least by a hash of the key and the seed, so the same wherever rows lie."""
         if stride:
             return self.with_df(self.numbered().filter(F.col("__n") % stride == 0).drop("__n"))
-        return self.with_df(self.df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(reservoir).drop("__r"))
+        h = F.xxhash64(F.lit(seed), self.at, *self.ties)
+        w = Window.partitionBy(*self.by).orderBy(h, self.at, *self.ties)
+        return self.with_df(self.df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= reservoir).drop("__r"))
 
     def time_range(self) -> DataFrame:
         lo, hi = F.min(self.key[0]).alias("begin"), F.max(self.key[1] if len(self.key) > 1 else self.key[0]).alias("end")
@@ -256,7 +275,7 @@ class Series:
         if d is None:
             return self
         last = (self.df.groupBy(*self.by) if self.by else self.df.groupBy()).agg(F.max(self.at).alias("__last"))
-        df = self.df.join(last, list(self.by)) if self.by else self.df.join(F.broadcast(last))
+        df = join_on(self.df, last, self.by) if self.by else self.df.join(F.broadcast(last))
         return self.with_df(df.filter(self.at > F.col("__last") - F.lit(self.us(d))).select(*self.df.columns))
 
     def slice_by_value(self, lo, hi) -> Series:

@@ -369,3 +369,80 @@ def test_live_order(spark, stream):
     got = rows_of(s.through(live.Ordered("drop"), "k"), "ordered", "value")
     assert len(got) in (3, 4)
     assert len(rows_of(s.through(live.Reduce({None: {"n": ("value", "count")}}), "k"), "reduced", "n")) == 2
+
+
+def test_null_partitions_are_partitions_like_any_other(spark):
+    rows = [(i * 10, float(i), h, float(i % 3)) for h in ("a", None) for i in range(12)]
+    s = points(spark, rows, value="number", host="string", kind="number").partition_by("host")
+    both = lambda df, *cols: ({h: sorted(tuple(r)[1:] for r in part) for h, part in ((h, [r for r in df.select("host", *cols).collect() if r.host == h]) for h in ("a", None))})
+    m = {"n": ("value", "count"), "t": ("value", "sum")}
+    outs = {
+        "materialize": (agg.materialize(s, grid.every(20)).df, "time", "value"),
+        "nearest": (agg.materialize(s, grid.every(20), "nearest").df, "time", "value"),
+        "rolling_on": (windows.rolling_on(s, grid.every(20), 30, m).df, "begin", "n", "t"),
+        "by_width": (agg.by_column(s, "value", m, width=5.0), "start", "n", "t"),
+        "by_edges": (agg.by_column(s, "value", m, edges=[0.0, 4.0, 9.0]), "start", "n", "t"),
+        "tail": (s.tail(35).df, "time", "value"),
+        "join": (joins.join(s.select("value"), s.select("kind")).df, "time", "value", "kind"),
+        "centres": (windows.rolling_by_column(s, "value", 2.0, m, at=[0.0, 5.0]), "center", "n", "t"),
+        "bins": (columns.bin_by_index(s, "value", 4, "avg"), "bin", "value"),
+        "key_bins": (columns.bin_by_key(s, "value", [0, 50_000, 110_000], "avg"), "bin", "value"),
+        "m4": (columns.m4(s, "value", 3), "bucket", "first", "last", "min", "max"),
+        "facts": (plan.facts(s, "value"), "last", "low", "high", "percentile_rank"),
+        "align": (agg.align(s, grid.every(15), "linear").df, "begin", "value"),
+        "fill": (gaps.fill(s.map({"value": F.when(F.col("kind") > 0, F.col("value"))}), "linear", limit=2).df, "time", "value"),
+        "dealt": (gaps.fill(s.map({"value": F.when(F.col("kind") > 0, F.col("value"))}).dealt(30), "linear", limit=2).df, "time", "value"),
+        "aggregate": (agg.aggregate(s, grid.every(20), m).df, "begin", "n", "t"),
+    }
+    for name, (df, *cols) in outs.items():
+        got = both(df, *cols)
+        assert got["a"] and got["a"] == got[None], name
+        assert any(v is not None and v != 0 for r in got[None] for v in r[1:]), name
+
+
+def test_dealt_partitions_read_like_whole_ones(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(t), float(v) if v > 3 else None, "ab"[int(h)] if h < 2 else None) for t, v, h in zip(rng.integers(0, 400, 200), rng.integers(0, 9, 200), rng.integers(0, 3, 200), strict=True)]
+    s = points(spark, rows, value="number", host="string")
+    for whole in (s, s.partition_by("host")):
+        dealt = whole.dealt("20ms")
+        both = lambda f: [sorted(map(tuple, f(x).collect()), key=str) for x in (whole, dealt)]  # noqa: E731, B023
+        for f in (
+            lambda x: gaps.fill(x, "hold", limit=2).df, lambda x: gaps.fill(x, "bfill", max_gap=40).df, lambda x: gaps.fill(x, "linear").df, lambda x: gaps.fill(x, {"value": {"literal": 1.5}}, limit=1, max_gap=30).df,
+            lambda x: gaps.fill(x, "zero", max_gap=9).df, lambda x: gaps.fill(x, "zero").df, lambda x: x.numbered(), lambda x: x.slice(3, -4).df, lambda x: x.sample(7).df, lambda x: agg.align(x, grid.every(13), "linear").df,
+            lambda x: agg.align(x, grid.every(13)).df, lambda x: windows.cumulative(x.map({c: F.col("value") for c in "abcd"}), dict(zip("abcd", ("sum", "count", "max", "min"), strict=True))).df, lambda x: columns.bin_by_index(x, "value", 7, "count"),
+            lambda x: joins.as_of(s.df.select("__seq", "host", F.col("time").alias("t")), F.unix_micros(F.col("t").cast("timestamp")) - 3000, x, list(x.by)) if x.by else joins.as_of(s.df.select("__seq", F.col("time").alias("t")), F.unix_micros(F.col("t").cast("timestamp")) - 3000, x, []),
+        ):
+            a, b = both(f)
+            assert a == b and a
+
+
+def test_a_resolver_decides_between_rows_of_one_key(spark):
+    s = points(spark, [(0, 5.0, "x"), (0, 2.0, "y"), (0, 4.0, "z"), (9, 1.0, "w")], value="number", tag="string")
+    out = joins.dedupe(s, lambda rows: F.struct(F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["value"]).alias("value"))).df.orderBy("time")
+    assert vals(out, "value", "tag") == [(11.0, "z"), (1.0, "w")]
+    assert vals(joins.dedupe(s, lambda rows: rows[1]).df.orderBy("time").select("value", "tag") if False else joins.dedupe(s, lambda rows: F.struct(rows[0]["tag"].alias("tag"))).df.orderBy("time"), "value", "tag") == [(4.0, "x"), (1.0, "w")]
+    with pytest.raises(ValueError):
+        joins.dedupe(s, lambda rows: F.struct(F.lit(1).alias("time")))
+
+
+def test_same_names_need_a_prefix(spark):
+    s = points(spark, [(0, 1.0), (10, 2.0)])
+    left = s.df.select("time", F.col("value"))
+    at = F.unix_micros(F.col("time").cast("timestamp"))
+    with pytest.raises(ValueError):
+        joins.as_of(left, at, s)
+    assert joins.as_of(left, at, s, prefix="r").columns == ["time", "value", "r_value"]
+
+
+def test_reservoirs_are_of_each_partition_and_repeatable(spark):
+    s = points(spark, [(i, float(i), "ab"[i % 2]) for i in range(40)], value="number", host="string").partition_by("host")
+    a = s.sample(reservoir=5, seed=3).df
+    b = Series(s.df.repartition(7), s.kind, s.key, s.by, s.seq).sample(reservoir=5, seed=3).df
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and sorted(r["count"] for r in a.groupBy("host").count().collect()) == [5, 5]
+    assert sorted(map(tuple, s.sample(reservoir=5, seed=4).df.collect())) != sorted(map(tuple, a.collect()))
+
+
+def test_slots_that_lead_back_are_named(spark):
+    with pytest.raises(ValueError, match="a -> b -> a"):
+        plan.expand_slots({"slot": "a"}, {"a": {"op": "diff", "inputs": [{"slot": "b"}]}, "b": {"op": "diff", "inputs": [{"slot": "a"}]}})
