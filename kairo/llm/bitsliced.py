@@ -1,15 +1,20 @@
 """Bit-sliced Hamming comparison, without Spark.
 
 Bit b of every fingerprint lies in plane b, 64 fingerprints to a machine word.  The
-distances from one fingerprint to a whole block are counted at once: each plane that
-differs is added to vertical counters with carry-save logic, saturating above the
-radius, and the block is abandoned as soon as every lane has passed the radius.
+fingerprints of many buckets lie side by side, and at each distance d every lane is compared
+with the lane d further on, all lanes at once: each plane that differs is added to vertical
+counters with carry-save logic, saturating above the radius, and a word is abandoned as
+soon as all its lanes have passed the radius or left their bucket.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+from ._text import LOWER, repeat_ranges, words
+
 ONE, ALL = np.uint64(1), ~np.uint64(0)
 #: How many planes to add between two looks at whether a block can be abandoned.
 LOOK = 8
@@ -24,27 +29,34 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def within(query: int, plane: np.ndarray, n: int, radius: int) -> np.ndarray:
-    """Lanes of the block whose distance to query is at most radius."""
-    width = plane.shape[1]
-    counters = [np.zeros(width, np.uint64) for _ in range((radius + 1).bit_length())]
-    over = np.zeros(width, np.uint64)
-    if n % 64:
-        over[-1] = ALL << np.uint64(n % 64)
-    live = np.arange(width)
-    cols = plane
+def shifted(plane: np.ndarray, by: int, words: int) -> np.ndarray:
+    """The first ``words`` words of planes in which every lane holds what lay ``by`` lanes further on."""
+    whole, bits = divmod(by, 64)
+    low = plane[:, whole : whole + words]
+    if not bits:
+        return low
+    return (low >> np.uint64(bits)) | (plane[:, whole + 1 : whole + 1 + words] << np.uint64(64 - bits))
+
+
+def near(plane: np.ndarray, by: int, over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes not in ``over`` whose distance to the lane ``by`` further on is at most radius."""
+    live = np.flatnonzero(over != ALL)
+    words = int(live[-1]) + 1 if len(live) else 0
+    over = over[live]
+    diff = (plane[:, :words] ^ shifted(plane, by, words))[:, live]
+    counters = [np.zeros(len(live), np.uint64) for _ in range((radius + 1).bit_length())]
     for b in range(64):
-        carry = cols[b] ^ (ALL if query >> b & 1 else np.uint64(0))
+        carry = diff[b]
         for i, c in enumerate(counters):
             counters[i], carry = c ^ carry, c & carry
-        over |= carry
-        if b % LOOK == LOOK - 1 or b == 63:
-            over |= _above(counters, radius)
+        over = over | carry
+        if b % LOOK == LOOK - 1:
+            over = over | _above(counters, radius)
             left = over != ALL
             if not left.any():
                 return np.zeros(0, np.int64)
-            if b < 63 and left.mean() < 0.5:
-                live, over, cols = live[left], over[left], cols[:, left]
+            if left.mean() < 0.5:
+                live, over, diff = live[left], over[left], diff[:, left]
                 counters = [c[left] for c in counters]
     ok = np.unpackbits((~over).view(np.uint8).reshape(len(live), 8), axis=1, bitorder="little")
     word, bit = np.nonzero(ok)
@@ -63,16 +75,41 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def forest(fps: np.ndarray, radius: int, block: int = 4096) -> list[tuple[int, int]]:
-    """Links that span the classes of these distinct fingerprints (no link within a class twice).
-
-    Every fingerprint is compared with all after it, block by block; a union-find keeps
-    only links that join two classes, so a dense bucket gives at most n - 1 links.
-    """
+def pairs(fps: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within the radius inside each of the buckets, which lie one after
+    another with these sizes, the largest first."""
     n = len(fps)
-    if n < 2:
+    end = np.repeat(np.cumsum(size), size)
+    plane = planes(fps)
+    width = plane.shape[1]
+    plane = np.concatenate([plane, np.zeros((64, width + 1), np.uint64)], axis=1)
+    # planes that tell neighbours apart come first; those under a bucket's own key never differ
+    plane = plane[np.argsort(-np.bitwise_count(plane[:, :width] ^ shifted(plane, 1, width)).sum(axis=1, dtype=np.int64), kind="stable")]
+    lane = np.arange(n)
+    for by in range(1, int(size[0]) if len(size) else 0):
+        k = int(size[size > by].sum())
+        out = np.ones(-(-k // 64) * 64, np.uint8)
+        out[:k] = lane[:k] + by >= end[:k]
+        over = np.packbits(out, bitorder="little").view("<u8").astype(np.uint64)
+        got = near(plane, by, over, radius)
+        if len(got):
+            yield got, got + by
+
+
+def forest(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that span the classes of the fingerprints of each bucket (no link within a class twice).
+
+    ``bucket`` numbers the buckets, equal numbers side by side; fingerprints of one bucket are
+    distinct.  All pairs of a bucket are compared; a union-find keeps only links that join
+    two classes, so a dense bucket gives at most n - 1 links.
+    """
+    if len(fps) < 2:
         return []
-    up = np.arange(n)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if bucket is not None else np.zeros(1, np.int64)
+    size = np.diff(np.concatenate([first, [len(fps)]]))
+    order = np.argsort(-size, kind="stable")
+    fps, size = fps[repeat_ranges(first[order], size[order])], size[order]
+    up = np.arange(len(fps))
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -81,25 +118,12 @@ def forest(fps: np.ndarray, radius: int, block: int = 4096) -> list[tuple[int, i
         return x
 
     links = []
-    if n <= 48:  # too few for a machine word to pay: one comparison of the triangle
-        d = np.bitwise_count(fps[:, None] ^ fps[None, :])
-        pairs = zip(*np.nonzero(np.triu(d <= radius, 1)), strict=True)
-        for i, j in pairs:
-            a, b = root(int(i)), root(int(j))
+    for left, right in pairs(fps, size, radius):
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            a, b = root(i), root(j)
             if a != b:
                 up[max(a, b)] = min(a, b)
                 links.append((int(fps[i]), int(fps[j])))
-        return links
-    for at in range(0, n, block):
-        part = fps[at : at + block]
-        plane = planes(part)
-        for i in range(min(n, at + len(part))):
-            for j in within(int(fps[i]), plane, len(part), radius) + at:
-                if j > i:
-                    a, b = root(i), root(int(j))
-                    if a != b:
-                        up[max(a, b)] = min(a, b)
-                        links.append((int(fps[i]), int(fps[j])))
     return links
 
 
@@ -107,8 +131,6 @@ def fingerprints(buf: np.ndarray, off: np.ndarray, shingle: int, seed: int = 42)
     """SimHash of each text: lower-cased words, shingles with repeats, majority of XXH64 bits."""
     from xxhash import xxh64_intdigest
 
-    from ._text import LOWER, repeat_ranges, words
-
     low = LOWER[buf]
     ws, we, wo = words(low, off)
     n = len(off) - 1

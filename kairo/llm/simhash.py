@@ -58,30 +58,39 @@ def fingerprint_docs(docs: DataFrame, doc_id: str, text: str, shingle: int) -> D
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).transform(map_arrow, run, "doc_id long, fp long")
 
 
+#: Fingerprints, of many keys together, that one bit-sliced comparison holds; always whole keys.
+PACK = 1 << 15
+
+
 def _bucket_links(radius: int):
+    """Rows (k, m, j, fp), sorted, to links: whole keys are packed into the planes of one comparison."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(fps: np.ndarray) -> pa.RecordBatch | None:
-            found = forest(fps.view(np.uint64), radius)
-            if not found:
-                return None
-            a = np.array(found, np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
-
-        held, key = [], None
+        def links(fps: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            found = forest(np.concatenate(fps).view(np.uint64), radius, np.concatenate(keys)) if fps else []
+            if found:
+                a = np.array(found, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+
+        fps, keys, held, number, last = [], [], 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [column_of(batch, c).to_numpy() for c in ("k", "m", "j", "fp")]
-            cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-                now = tuple(int(c[a]) for c in cols[:3])
-                if now != key:
-                    if sum(map(len, held)) > 1 and (out := links(np.concatenate(held))):
-                        yield out
-                    held, key = [], now
-                held.append(cols[3][a:b])
-        if sum(map(len, held)) > 1 and (out := links(np.concatenate(held))):
-            yield out
+            new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])
+            opens = tuple(int(c[0]) for c in cols[:3]) != last
+            last = tuple(int(c[-1]) for c in cols[:3])
+            of = number + np.concatenate([[int(opens)], new]).cumsum()
+            number = int(of[-1])
+            fps.append(cols[3])
+            keys.append(of)
+            held += len(of)
+            if held >= PACK:  # the last key may go on in the next batch
+                flat, name = np.concatenate(fps), np.concatenate(keys)
+                cut = int(np.searchsorted(name, number))
+                yield from links([flat[:cut]], [name[:cut]]) if cut else ()
+                fps, keys, held = [flat[cut:]], [name[cut:]], len(flat) - cut
+        yield from links(fps, keys)
 
     return run
 
