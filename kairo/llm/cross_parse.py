@@ -2,9 +2,14 @@
 
 A suffix automaton of a language's sample recognises exactly its substrings, so walking it
 gives the longest match at a position.  A text is parsed greedily into phrases, each the
-longest match from where the last ended; a symbol that the sample lacks is a phrase by
-itself.  The parse restarts at every ``BLOCK`` bytes, so that many blocks can be walked at
-once, alike for all languages.
+longest match from where the last ended; a byte that the sample lacks is a phrase by
+itself.  Letters lose their case, whatever else is ASCII counts as one separator, and the
+bytes of longer characters stand for themselves.
+
+Many blocks of a text are walked at once, alike for all languages.  Where a block is entered
+is first guessed from the end of the block before it (parses that begin apart soon meet),
+then every block whose guess was wrong is walked again from where the block before it has
+really ended, until all agree: the parse is that of the whole text, whatever its length.
 """
 
 from __future__ import annotations
@@ -13,17 +18,15 @@ import numpy as np
 
 from ._text import LOWER, NOT_LETTER
 
-BLOCK = 1024
-SYMBOLS = 64
+#: Bytes of a block, and how many of them a guess is made from.
+BLOCK, GUESS = 1024, 192
 
-#: Letters have symbols 1 to 26, whatever parts words has 0, and bytes of longer characters share the rest.
-SYMBOL = np.zeros(256, np.uint8)
-SYMBOL[97:123] = np.arange(1, 27)
-SYMBOL[128:] = 27 + np.arange(128) % (SYMBOLS - 27)
+#: What a byte counts as.
+FOLDED = np.where(NOT_LETTER, 32, LOWER).astype(np.uint8)
 
 
 def symbols(buf: np.ndarray) -> np.ndarray:
-    return SYMBOL[LOWER[buf]]
+    return FOLDED[buf]
 
 
 def automaton(text: np.ndarray) -> list[dict[int, int]]:
@@ -58,29 +61,53 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The automata of all languages in one table: entry = 2 * next state + (a phrase ended before this symbol)."""
+    """The automata of all languages in one table.
+
+    A state is the place of its row; each language's rows are as wide as its sample has symbols,
+    and one more for the bytes that it lacks.  An entry is 4 * next state + phrases that end
+    with this step (before the symbol, and with it if the sample lacks it).
+    """
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
         tables, self.roots, self.scale, base = [], [], [], 0
-        for lang in self.langs:
+        self.code = np.zeros((len(self.langs), 256), np.int32)
+        for i, lang in enumerate(self.langs):
             s = symbols(np.frombuffer(samples[lang], np.uint8))
-            go = automaton(s)
-            t = np.full((len(go), SYMBOLS), -1, np.int32)
-            for i, edges in enumerate(go):
+            seen = np.unique(s)
+            self.code[i, seen] = np.arange(1, len(seen) + 1)
+            go, width = automaton(self.code[i, s]), len(seen) + 1
+            t = np.full((len(go), width), -1, np.int64)
+            for k, edges in enumerate(go):
                 for c, j in edges.items():
-                    t[i, c] = j
-            root = np.where(t[0] < 0, 0, t[0])  # an unknown symbol is a phrase and leads back to the root
-            t = np.where(t < 0, 2 * (root[None, :] + base) + 1, 2 * (t + base))
-            tables.append(t.astype(np.int32))
+                    t[k, c] = j
+            t = np.where(t < 0, 4 * (np.maximum(t[0], 0) * width + base)[None, :] + 1, 4 * (t * width + base))
+            t[:, 0] = 4 * base + 2
+            t[0, 0] = 4 * base + 1
+            tables.append(t.astype(np.int32).ravel())
             self.roots.append(base)
             self.scale.append(np.log2(max(len(s), 2)))
-            base += len(go)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            base += len(go) * width
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.roots = np.array(self.roots, np.int32)
         self.scale = np.array(self.scale)
 
+    def walk(self, buf: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From (languages, lanes) states through each lane's bytes: states, and phrases that ended on the way."""
+        order = np.argsort(-length, kind="stable")
+        at, size, now = start[order], length[order], state[:, order]
+        count = np.zeros(now.shape, np.int32)
+        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")  # lanes longer than t
+        for t, k in enumerate(live.tolist()):
+            step = self.table.take(now[:, :k] + self.code.take(buf[at[:k] + t], axis=1))
+            count[:, :k] += step & 3
+            now[:, :k] = step >> 2
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return now[:, back], count[:, back]
+
     def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """(texts, languages): phrases of each text's parse."""
+        """(texts, languages): phrases of each text's greedy parse."""
         n, langs = len(off) - 1, len(self.langs)
         out = np.zeros((n, langs), np.int64)
         size = np.diff(off)
@@ -91,19 +118,15 @@ class Parser:
         nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = off[text] + nth * BLOCK
         length = np.minimum(BLOCK, off[text + 1] - start)
-        order = np.argsort(-length, kind="stable")
-        text, start, length = text[order], start[order], length[order]
-        sym = symbols(buf)
-        sym = np.concatenate([sym, np.zeros(1, np.uint8)])
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(text), axis=1)
-        count = np.zeros((langs, len(text)), np.int32)
-        live = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # lanes longer than t
-        for t in range(int(length[0])):
-            k = int(live[t])
-            step = self.table.take(state[:, :k] * SYMBOLS + sym[start[:k] + t])
-            count[:, :k] += step & 1
-            state[:, :k] = step >> 1
-        count += 1  # the phrase that the block's end cuts off
+        entry = np.repeat(self.roots[:, None], len(text), axis=1)
+        later = np.flatnonzero(nth)  # blocks that another precedes
+        entry[:, later] = self.walk(buf, start[later] - GUESS, np.full(len(later), GUESS), entry[:, later])[0]
+        end, count = self.walk(buf, start, length, entry)
+        while len(wrong := later[(entry[:, later] != end[:, later - 1]).any(axis=0)]):
+            entry[:, wrong] = end[:, wrong - 1]
+            end[:, wrong], count[:, wrong] = self.walk(buf, start[wrong], length[wrong], entry[:, wrong])
+        last = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]]))
+        count[:, last] += end[:, last] != self.roots[:, None]  # the phrase that the text's end cuts off
         np.add.at(out, text, count.T)
         return out
 

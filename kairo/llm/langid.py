@@ -13,10 +13,10 @@ from ._spark import bounded_sample, held_out, map_arrow, rest_of_row, whole_row
 from ._text import NOT_LETTER, buffers, column_of, steps
 from .cross_parse import Parser
 
-#: The fit's bounds: documents of a language, characters of each, bytes of a language's sample.
+#: The fit's bounds: documents of a language, characters of a stretch of each, bytes of a language's sample.
 FIT_DOCS, FIT_CHARS, FIT_BYTES = 64, 1024, 32768
-#: Bytes of samples of all languages together; many languages share them.
-FIT_TOTAL = 1 << 20
+#: Bytes of samples of all languages together, which share them alike where there are over 16.
+FIT_TOTAL = 1 << 19
 UNKNOWN = "und"
 #: How sharply a lower entropy counts in the score.
 SHARPNESS = 6.0
@@ -24,8 +24,14 @@ _parsers: dict = {}
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", learn: Column | None = None) -> dict[str, bytes]:
-    """A sample of each language's text, from a bounded hash sample of the rows to learn from."""
-    rows = docs.filter(~held_out(doc_id) if learn is None else learn).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, FIT_CHARS).alias("text")).filter("lang is not null and text is not null")
+    """A sample of each language's text, from a bounded hash sample of the labelled rows to learn from.
+
+    FIT_DOCS rows of a language give a stretch of FIT_CHARS characters each (whole texts, if
+    shorter), from a place that a hash of the id picks anywhere in the text.
+    """
+    spare = F.greatest(F.char_length(F.col(text)) - FIT_CHARS + 1, F.lit(1))
+    place = (F.pmod(F.xxhash64(F.col(doc_id), F.lit("place")), spare) + 1).cast("int")
+    rows = docs.filter(~held_out(doc_id) if learn is None else learn).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.substring(F.col(text), place, F.lit(FIT_CHARS)).alias("text")).filter("lang is not null and text is not null")
     got: dict[str, list] = {}
     for r in bounded_sample(rows, "lang", "id", FIT_DOCS).orderBy("lang", "id", "text").collect():
         got.setdefault(r.lang, []).append(r.text.encode())
@@ -85,8 +91,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """Predicts the language of every whole text: (doc_id, held_out, lang_pred, score).
 
     Learns from text and non-null lang of rows that aren't held out (crc32 of the id modulo
-    5); a null id is held out.  The fit reads FIT_DOCS documents of a language, FIT_CHARS
-    characters of each.  The language with the least entropy wins, ties go to the first
+    5); a null id is held out.  The fit reads a stretch of FIT_CHARS characters of FIT_DOCS
+    documents of a language, FIT_BYTES in all and FIT_TOTAL of all languages; every text is
+    parsed whole, however long.  The language with the least entropy wins, ties go to the first
     by name; the score is its share of inverse entropies raised to SHARPNESS.  ``und`` with
     score 0 if the text is null or has no letter, or if there is nothing to learn from.
     Repeated rows give repeated results; further columns are ignored.

@@ -107,10 +107,8 @@ def test_bit_sliced_distances(radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 2**64, 5, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *(base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in (1, 2, 3, 4, 7, 8) for _ in range(4)), rng.integers(0, 2**64, 60, dtype=np.uint64)]))
-    plane = bitsliced.planes(fps)
-    for q in fps[:20]:
-        want = np.flatnonzero(np.bitwise_count(fps ^ q) <= radius)
-        assert sorted(bitsliced.within(int(q), plane, len(fps), radius).tolist()) == want.tolist()
+    found = {(int(i), int(j)) for x, y in bitsliced.pairs(fps, np.array([len(fps)]), radius) for i, j in zip(x, y, strict=True)}
+    assert found == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if np.bitwise_count(fps[i] ^ fps[j]) <= radius}
 
     def classes(links):
         up = {int(f): int(f) for f in fps}
@@ -125,7 +123,7 @@ def test_bit_sliced_distances(radius):
         return {f: root(f) for f in up}
 
     every = [(int(x), int(y)) for x in fps for y in fps if np.bitwise_count(x ^ y) <= radius and x < y]
-    links = bitsliced.forest(fps, radius, block=64)
+    links = bitsliced.forest(fps, radius)
     assert classes(links) == classes(every) and len(links) == len(fps) - len(set(classes(every).values()))
 
 
@@ -145,25 +143,37 @@ def test_text_stats():
         assert tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
 
 
+def greedy_phrases(sample, text):
+    s, t, n, i = (cross_parse.symbols(np.frombuffer(x, np.uint8)).tobytes() for x in (sample, text)), None, 0, 0
+    s, t = s
+    while i < len(t):
+        j = i + 1
+        while j < len(t) and t[i : j + 1] in s:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
 def test_cross_parse_is_the_greedy_parse():
+    rng = random.Random(4)
     sample = b"the cat sat on the mat and the rat ran"
-    p = cross_parse.Parser({"x": sample, "y": b"zzz"})
-    s = cross_parse.symbols(np.frombuffer(sample, np.uint8)).tobytes()
-
-    def greedy(text):
-        t, n, i = cross_parse.symbols(np.frombuffer(text, np.uint8)).tobytes(), 0, 0
-        while i < len(t):
-            j = i + 1
-            while j < len(t) and t[i : j + 1] in s:
-                j += 1
-            if t[i : i + 1] not in s:
-                j = i + 1
-            n, i = n + 1, j
-        return n
-
-    texts = [b"the rat sat", b"a cat and", b"the the the", b"mat"]
-    buf, off = batch(texts)
-    assert p.phrases(buf, off)[:, 0].tolist() == [greedy(t) for t in texts]
+    samples = {"x": sample, "y": b"zzz", "z": "даже жаба да жажда".encode(), "w": bytes(rng.choice(b"ab ") for _ in range(400)), "v": b"a" * 300}
+    p = cross_parse.Parser(samples)
+    texts = [b"the rat sat", b"a cat and", b"the the the", b"mat", b"", b"?", "жаба đ да".encode(), b"xyx" * 5, "ж".encode()[1:] * 3]
+    texts += [bytes(rng.choice(b"abt h") for _ in range(n)) for n in (1023, 1024, 1025, 2048, 5000, 9000)]
+    texts += [b"a" * 7000, b"ab" * 3000, (b"the cat sat on " * 400), "даже ".encode() * 900]
+    got = p.phrases(*batch(texts))
+    for i, lang in enumerate(p.langs):
+        assert got[:, i].tolist() == [greedy_phrases(samples[lang], t) for t in texts], lang
+
+
+def test_languages_of_one_script_beyond_latin_are_told_apart():
+    rng = random.Random(1)
+    letters = {"a": "абвгде", "b": "жзийкл", "c": "мнопрс"}
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(n)).encode()
+    p = cross_parse.Parser({k: text(k, 300) for k in letters})
+    h = p.entropy(*batch([text(k, 40) for k in "abcabc"]))
+    assert [p.langs[i] for i in h.argmin(axis=1)] == list("abcabc")
 
 
 def test_postings_scores_and_selection():
@@ -284,3 +294,53 @@ def test_word_numbers():
     names = [buf[a:b].tobytes() for a, b in zip(ws, we, strict=True)]
     for got in (word_names(buf, ws, we).tolist(), sieve.Words(b"x").of(buf, off)[0].tolist()):
         assert all((got[i] == got[j]) == (names[i] == names[j]) for i in range(len(names)) for j in range(len(names)))
+
+
+@pytest.mark.parametrize("sizes", [[2], [2] * 40 + [3, 5, 1, 1], [63, 64, 65, 1, 2, 48, 49], [700, 2, 31], [5000]])
+def test_planes_decide_every_link_of_buckets_of_any_size(sizes, monkeypatch):
+    rng = np.random.default_rng(sum(sizes))
+    fps, bucket = [], []
+    for i, n in enumerate(sizes):
+        base = rng.integers(0, 2**64, max(1, n // 3), dtype=np.uint64)
+        made: list[int] = []
+        while len(made) < n:
+            f = int(base[rng.integers(0, len(base))]) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))
+            if f not in made[-50:] and (n > 100 or f not in made):
+                made.append(f)
+        made = list(dict.fromkeys(made))
+        fps += made
+        bucket += [i] * len(made)
+    fps, bucket = np.array(fps, np.uint64), np.array(bucket)
+    compared = 0
+    real = bitsliced.near
+
+    def counted(plane, by, over, radius):
+        nonlocal compared
+        compared += int((~np.unpackbits(over.view(np.uint8)).astype(bool)).sum())
+        return real(plane, by, over, radius)
+
+    monkeypatch.setattr(bitsliced, "near", counted)
+    links = bitsliced.forest(fps, 2, bucket)
+    each = [len(set(bucket[bucket == i].tolist())) and int((bucket == i).sum()) for i in range(len(sizes))]
+    assert compared == sum(n * (n - 1) // 2 for n in each)  # all pairs went through the planes
+    up = {(int(b), int(f)): (int(b), int(f)) for b, f in zip(bucket, fps, strict=True)}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i in range(len(sizes)):
+        mine = fps[bucket == i]
+        for k in range(0, len(mine), 500):
+            a, b = np.nonzero(np.bitwise_count(mine[k : k + 500, None] ^ mine[None, :]) <= 2)
+            for x, y in zip((a + k).tolist(), b.tolist(), strict=True):
+                p, q = root((i, int(mine[x]))), root((i, int(mine[y])))
+                up[max(p, q)] = min(p, q)
+    classes = len({root(x) for x in up})
+    assert len(links) == len(up) - classes
+    where: dict[int, set] = {}
+    for b, f in up:
+        where.setdefault(f, set()).add(b)
+    assert all((x ^ y).bit_count() <= 2 and where[x] & where[y] for x, y in links)
