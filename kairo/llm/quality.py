@@ -13,7 +13,7 @@ from ._spark import bounded_sample, held_out, map_arrow
 from ._text import buffers, column_of, steps
 from .mil import WIDTH, Attention, passages, train
 
-#: The fit's bounds: labelled documents of each class, and characters of one that may take part.
+#: The fit's bounds: labelled documents of each class, and characters of one that may be drawn.
 FIT_DOCS, FIT_CHARS = 2000, 50_000
 
 
@@ -30,13 +30,14 @@ def _passages_of(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Attention:
-    """Trains on a bounded hash sample of the labelled training rows, drawn alike from both
-    classes; the bias is then set back to the classes' shares among all training labels."""
+    """Trains on a bounded hash sample of the labelled training rows whose texts have no more than
+    FIT_CHARS characters, FIT_DOCS of each class; the bias is then set back to the classes' shares among all training labels."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(~held_out("id"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     rows = docs.filter(~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.length("text") <= FIT_CHARS)
     # ids are sampled first and few enough to broadcast, so texts never travel to their labels
-    few = F.broadcast(bounded_sample(known, "y", "id", FIT_DOCS).dropDuplicates(["id"]))
+    usable = known.join(rows.select("id").distinct(), "id")
+    few = F.broadcast(bounded_sample(usable, "y", "id", FIT_DOCS).dropDuplicates(["id"]))
     got = _passages_of(rows.join(few, "id").dropDuplicates(["id"]).orderBy("id")).toArrow()
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["x"].to_pylist()]
     y = got["y"].to_numpy().astype(np.float64)

@@ -13,7 +13,7 @@ from ._spark import bounded_sample, held_out, map_arrow
 from ._text import buffers, column_of, steps
 from .pu import features, margins, sigmoid, train
 
-#: The fit's bounds: texts of each kind, and characters of a text that may take part in it.
+#: The fit's bounds: texts of each kind, and characters of a text that may be drawn.
 FIT_POSITIVE, FIT_UNLABELLED, FIT_CHARS = 3000, 9000, 50_000
 
 
@@ -23,17 +23,20 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """nnPU on bounded hash samples: positives are training rows labelled 1, the unlabelled
-    texts are drawn from all training rows, and the prior is the share of 1 among labels."""
+    """nnPU on bounded hash samples of the labelled training rows whose texts have no more than
+    FIT_CHARS characters: FIT_POSITIVE of those labelled 1, and FIT_UNLABELLED of all of them
+    with their labels put away, as unlabelled text.  The prior is the share of 1 among the
+    labels, so it is that of the rows which the unlabelled texts are drawn from."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).filter("id is not null and y is not null").filter(~held_out("id"))
     counts = {int(r.y): r["count"] for r in known.groupBy("y").count().collect()}
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
-    rows = docs.filter(~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = docs.filter(~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.length("text") <= FIT_CHARS)
     kinds = {}
     # ids are sampled first and few enough to broadcast, so texts never travel to their labels
-    for kind, ids, n in (("p", known.filter("y = 1").select("id").distinct(), FIT_POSITIVE), ("u", rows.filter("text is not null").select("id"), FIT_UNLABELLED)):
+    usable = known.join(rows.select("id").distinct(), "id")
+    for kind, ids, n in (("p", usable.filter("y = 1").select("id").distinct(), FIT_POSITIVE), ("u", usable.select("id").distinct(), FIT_UNLABELLED)):
         few = bounded_sample(ids.withColumn("kind", F.lit(kind)), "kind", "id", n).select("id").distinct()
-        picked = rows.filter("text is not null").filter(F.length("text") <= FIT_CHARS).join(F.broadcast(few), "id").dropDuplicates(["id"]).orderBy("id")
+        picked = rows.join(F.broadcast(few), "id").dropDuplicates(["id"]).orderBy("id")
         picked = _extracted(picked).toArrow()
         f = [np.frombuffer(x, np.int32) for x in picked["f"].to_pylist()]
         kinds[kind] = (np.concatenate(f).astype(np.int64) if f else np.zeros(0, np.int64), np.cumsum([0, *map(len, f)]))
