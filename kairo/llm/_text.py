@@ -16,6 +16,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 STEP_BYTES = 1 << 20
 
@@ -197,8 +198,8 @@ def word_names(buf: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, for features: equal hashes don't prove equal words."""
-    return Rolling(buf.astype(U64) + U64(1)).of(ws, we) if len(ws) else np.zeros(0, U64)
+    """64-bit hash of each word's bytes, alike in all runs: for features and shingles."""
+    return mix(word_ids(buf, ws, we, xxh3_64_intdigest))
 
 
 def sliding(h: np.ndarray, w: int, least=np.minimum) -> np.ndarray:

@@ -20,8 +20,13 @@ SAFE = 1 << 62
 
 
 def quantise(vector: str, scale: int = 256):
-    """floor(scale * x) of each component, x as double, as array<double> of whole numbers."""
-    return F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
+    """floor(scale * x) of each component, x as double, as array<bigint>; beyond 64 bits an error."""
+
+    def whole(x):
+        v = x.cast("double") * F.lit(float(scale))
+        return F.when((v >= -(2.0**63)) & (v < 2.0**63), F.floor(v)).otherwise(F.raise_error(F.lit("a component passes 64 bits")).cast("bigint"))
+
+    return F.transform(F.col(vector), whole)
 
 
 def usable(vector: str):
@@ -135,13 +140,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     expected size by a hash of their ids; every query block meets every candidate block
     once, which is the work asked for, and each meeting yields k rows per query.  A
     query's own row is any row with its id.  Ties go to the smaller id.  Vectors of unequal
-    length are padded with zeros.  Rows with a null id or null vector take no part;
-    repeated rows count once.  An empty table gives no rows.  A score beyond 64 bits is
+    length are padded with zeros.  Rows with a null id or null vector take no part.
+    Repeated rows are candidates each; as queries they are one, and different vectors of
+    one query id answer together.  An empty table gives no rows.  A score beyond 64 bits is
     computed exactly and then fails the task rather than wrapping.
     """
     spark = vectors.sparkSession
-    shape = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vec")).dropna().dropDuplicates(["vec_id", "vec"])
-    c, q = shape(vectors), shape(queries)
+    shape = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vec")).dropna()
+    c, q = shape(vectors), shape(queries).dropDuplicates(["vec_id", "vec"])
     nc = max(1, -(-c.count() * 5 // (4 * candidates_per_block)))
     nq = max(1, -(-q.count() * 5 // (4 * queries_per_block)))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -152,11 +152,13 @@ def test_top_k_agrees_with_sql(spark):
 def test_top_k_odd_rows(spark):
     from kairo.llm.topk import quantise, usable
 
-    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [9.0, 9.0]), (6, []), (7, [-1.0, 0.001]), (50, [float("inf"), 0.0])]
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [9.0, 9.0]), (6, []), (7, [-1.0, 0.001]), (50, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     v = df.filter(usable("embedding")).select("vec_id", quantise("embedding").alias("vec"))
     got = sorted(map(tuple, top_k(v, v.filter("vec_id % 50 = 0"), 3, candidates_per_block=2, queries_per_block=1).collect()))
-    assert got == [(0, 1, 1, 256 * 256 + 512 * 512), (0, 2, 2, 256 * 256 + 512 * 512), (0, 3, 6, 0)]
+    assert got == [(0, 1, 1, 256 * 256 + 512 * 512), (0, 2, 2, 256 * 256 + 512 * 512), (0, 3, 2, 256 * 256 + 512 * 512)]
+    with pytest.raises(Exception, match="64 bits"):
+        spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>").select(quantise("embedding")).collect()
     assert top_k(v.limit(0), v.limit(0), 3).count() == 0
 
 
