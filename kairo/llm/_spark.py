@@ -48,9 +48,14 @@ def drop(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch folders made so far; call it once results that read them have been written."""
-    while _scratch:
+def scratch_made() -> int:
+    """How many scratch folders there are; for drop_scratch."""
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the scratch folders made since then; call it once results that read them have been written."""
+    while len(_scratch) > since:
         drop(spark, _scratch.pop())
 
 
@@ -85,6 +90,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """The same cut, through a written table: what loops carry from round to round.
+
+    A checkpoint keeps the size that its plan was estimated at, and joins multiply those, so
+    over a loop the estimate's digits double each round; a table's size is that of its files.
+    """
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def held_out(doc_id: str | Column) -> Column:
     """True where crc32 of the id's decimal text is divisible by five; null ids are held out too."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

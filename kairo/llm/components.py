@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpoint
+from ._spark import written
 
 MAX_ROUNDS = 60
 
@@ -16,9 +16,10 @@ def star_components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star contractions; each round joins every node to the
     least of its neighbourhood, so the number of rounds grows with the logarithm of the
     size, not with the diameter.  Only minima are aggregated (partially, before the
-    shuffle), never neighbour lists; rounds are cut by reliable checkpoints.
+    shuffle), never neighbour lists; each round is written.  Raises should MAX_ROUNDS not do,
+    which would take far more nodes than there are 64-bit numbers.
     """
-    edges = checkpoint(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(edges)
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
@@ -28,7 +29,7 @@ def star_components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = checkpoint(small.filter("u <> v").distinct())
+        edges = written(small.filter("u <> v").distinct())
         now = _mark(edges)
         if now == mark:
             break

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import checkpoint
+from ._spark import written
 
 #: Share of a group's rows that the estimate is of, and the most steps.
 ALPHA, STEPS = 0.75, 40
@@ -161,19 +161,19 @@ def fit(rows: DataFrame, p: int, floors: list[float], alpha: float = ALPHA, step
     """
     middle = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"f{i}", 0.5, 1000).alias(f"m{i}") for i in range(p)])
     spread = rows.join(middle, "g").groupBy("g").agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(f"f{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(p)])
-    spread = checkpoint(spread)
+    spread = written(spread)
     unit = [(F.col(f"f{i}") - F.col(f"m{i}")) / F.sqrt(F.pow(F.col(f"d{i}") * 1.4826, 2) + floors[i] ** 2) for i in range(p)]
     norm = sum((u * u for u in unit), F.lit(0.0))
     sums = [F.sum(f"f{i}").alias(f"s{i}") for i in range(p)] + [F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"q{i}_{j}") for i, j in _pairs(p)]
     signs = [F.sum(F.when(norm > 0, unit[i] * unit[j] / norm).otherwise(0.0)).alias(f"u{i}_{j}") for i, j in _pairs(p)]
     moments = rows.join(spread.drop("n"), "g").groupBy("g").agg(*sums, *signs)
-    now = checkpoint(spread.join(moments, "g").mapInPandas(_starts(p, floors), MODEL))
+    now = written(spread.join(moments, "g").mapInPandas(_starts(p, floors), MODEL))
     done = None
     for _ in range(steps):
-        moved = checkpoint(step(rows, now, p, floors, alpha))
+        moved = written(step(rows, now, p, floors, alpha))
         last = now.select("g", "s", F.col("log_det").alias("last"))
         both = moved.join(last, ["g", "s"]).withColumn("settled", (F.col("last") != float("inf")) & (F.col("log_det") >= F.col("last") - F.lit(SETTLED)))
-        both = checkpoint(both.drop("last"))
+        both = written(both.drop("last"))
         still = both.filter("settled")
         done = still if done is None else done.unionByName(still)
         now = both.filter("not settled").drop("settled")
@@ -181,4 +181,4 @@ def fit(rows: DataFrame, p: int, floors: list[float], alpha: float = ALPHA, step
             break
     every = now.withColumn("settled", F.lit(False)) if done is None else done.unionByName(now.withColumn("settled", F.lit(False)))
     best = every.groupBy("g").agg(F.min_by(F.struct("n", "centre", "precision", "log_det", "settled"), F.struct("log_det", "s")).alias("x"))
-    return checkpoint(best.select("g", "x.*"))
+    return written(best.select("g", "x.*"))

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_sample, checkpoint, map_arrow, rest_of_row, whole_row
+from ._spark import bounded_sample, checkpoint, map_arrow, rest_of_row, whole_row, written
 from ._text import LOWER, NOT_LETTER, U64, buffers, column_of, steps, word_hashes, words
 
 #: Topics are the nearest of so many centres over hashed words; fitted on all documents in so many rounds at most.
 TOPICS, WIDTH, TOPIC_ROUNDS, UNIT = 8, 512, 25, 1 << 20
+#: Blocks of vectors (a megabyte of text each) that one task of a round adds up.
+TASK_BLOCKS = 128
 #: Only where the rounds start is taken from a sample of texts of so many characters at most.
 START_DOCS, START_CHARS = 2000, 50_000
 MARGINS = ("source", "lang", "topic")
@@ -51,9 +53,19 @@ def spread_starts(x: np.ndarray, k: int = TOPICS) -> np.ndarray:
     return np.array(centres)
 
 
+def in_units(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of 1 / UNIT: sums and products of those are exact, in any order and batch."""
+    return np.rint(x * UNIT)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre of the greatest inner product with each row of x, both in units."""
+    return (x @ centres.T).argmax(axis=1)
+
+
 def pack(x: np.ndarray) -> bytes:
     """The cells of x that aren't zero, in units of 1 / UNIT."""
-    q = np.rint(x * UNIT).astype(np.uint32)
+    q = in_units(x).astype(np.uint32)
     row, col = np.nonzero(q)
     return np.uint32(len(x)).tobytes() + np.bincount(row, minlength=len(x)).astype(np.uint32).tobytes() + q[row, col].tobytes() + col.astype(np.uint16).tobytes()
 
@@ -87,28 +99,56 @@ def start_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return spread_starts(np.array([np.frombuffer(r[1], np.float32) for r in raw], np.float64).reshape(-1, WIDTH))
 
 
-def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Spherical k-means over all documents, whole: each round adds up the vectors nearest to each
-    centre, as partial sums of each task.  Vectors are in whole units, so sums are exact in any
-    order.  Rounds end when the sums stay, at TOPIC_ROUNDS at the latest."""
+def blocks_of(docs: DataFrame, text: str, kept: list) -> DataFrame:
+    """Checkpointed blocks of documents, whole: their vectors, words and the columns ``kept``, as arrays."""
+    base = docs.select(*kept, F.col(text).cast("string").alias("text"))
+    names = base.columns[:-1]
+    types = [base.schema[c].dataType.simpleString() for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = buffers(column_of(batch, "text"))
-            packed = [pack(topic_vectors(buf[off[a] : off[b]], off[a : b + 1] - off[a])[0]) for a, b in steps(off)]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["x"])
+            for a, b in steps(off):
+                x, n = topic_vectors(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+                held = [one(column_of(batch, c).slice(a, b - a)) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array([pack(x)], pa.binary()), one(pa.array(n.astype(np.int64))), *held], names=["x", "n_tokens", *names])
+
+    ddl = ", ".join(["x binary", "n_tokens array<long>", *(f"{c} array<{t}>" for c, t in zip(names, types, strict=True))])
+    return checkpoint(base.transform(map_arrow, run, ddl))
+
+
+def placed(blocks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """A row per document of the blocks: their columns but the vector, and ``topic``."""
+    names = [c for c in blocks.columns if c != "x"]
+    shared = blocks.sparkSession.sparkContext.broadcast(in_units(centres))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                topic = nearest(unpack(column_of(batch, "x")[i].as_buffer()), shared.value)
+                yield pa.RecordBatch.from_arrays([*(column_of(batch, c)[i].values for c in names), pa.array([f"t{k}" for k in topic], pa.string())], names=[*names, "topic"])
+
+    ddl = ", ".join(f"{c} {blocks.schema[c].dataType.elementType.simpleString()}" for c in names)
+    return blocks.transform(map_arrow, run, f"{ddl}, topic string")
 
+
+def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blocks: DataFrame | None = None) -> np.ndarray:
+    """Spherical k-means over all documents, whole: each round adds up the vectors nearest to each
+    centre, as partial sums of each task.  Vectors and centres are in whole units, so sums and
+    choices are exact in any order.  Rounds end when the sums stay, at TOPIC_ROUNDS at the latest."""
     c = start_topics(docs, doc_id, text)
-    vectors = checkpoint(_with_vectors(docs, doc_id, text).select("text").transform(map_arrow, run, "x binary"))
+    vectors = (blocks_of(docs, text, []) if blocks is None else blocks).select("x")
+    vectors = vectors.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // TASK_BLOCKS)))
     last = None
     for _ in range(TOPIC_ROUNDS):
 
         def sums(batches: Iterator[pa.RecordBatch], c: np.ndarray = c) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(c), WIDTH))
+            total, units = np.zeros((len(c), WIDTH)), in_units(c)
             for batch in batches:
                 for raw in batch.column(0):
                     x = unpack(raw.as_buffer())
-                    near = (x @ c.T).argmax(axis=1)
+                    near = nearest(x, units)
                     total += (near == np.arange(len(c))[:, None]).astype(float) @ x
             slot = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total.ravel()[slot].astype(np.int64))], names=["slot", "v"])
@@ -121,25 +161,30 @@ def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> n
         last, m = total, total.reshape(c.shape)
         size = np.sqrt((m * m).sum(axis=1, keepdims=True))
         c = np.where(size > 0, m / np.maximum(size, 1e-9), c)
-    return c
+    return in_units(c) / UNIT
+
+
+def _kept(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, seed: int) -> list:
+    """The row but its text, source and language by name, and the number that decides whether it is sampled."""
+    u = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    return [rest_of_row(docs, text), name(source).alias("source"), name(lang).alias("lang"), u.alias("u")]
 
 
 def annotate(docs: DataFrame, centres: np.ndarray, doc_id: str, text: str, source: str, lang: str, seed: int, with_text: bool = False) -> DataFrame:
     """(row, source, lang, topic, n_tokens, u[, text]): null sources and languages under a name of their own."""
-    shared = docs.sparkSession.sparkContext.broadcast(centres)
+    shared = docs.sparkSession.sparkContext.broadcast(in_units(centres))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = buffers(column_of(batch, "text"))
             for a, b in steps(off):
                 x, n = topic_vectors(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                topic = (x @ shared.value.T).argmax(axis=1)
+                topic = nearest(in_units(x), shared.value)
                 kept = [column_of(batch, c).slice(a, b - a) for c in ("row", "source", "lang", "u", *["text"] * with_text)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([f"t{i}" for i in topic]), pa.array(n.astype(np.int64))], names=["row", "source", "lang", "u", *["text"] * with_text, "topic", "n_tokens"])
 
-    u = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    base = docs.select(rest_of_row(docs, text), name(source).alias("source"), name(lang).alias("lang"), u.alias("u"), F.col(text).cast("string").alias("text"))
+    base = docs.select(*_kept(docs, doc_id, text, source, lang, seed), F.col(text).cast("string").alias("text"))
     return base.transform(map_arrow, run, f"row {base.schema['row'].dataType.simpleString()}, source string, lang string, u double{', text string' * with_text}, topic string, n_tokens long")
 
 
@@ -196,14 +241,14 @@ def rake_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | No
             given = spark.createDataFrame(list(targets[margin].items()), f"{margin} string, goal double")
             goal = have.join(given, margin, "left").withColumn("goal", F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0))).otherwise(0.0))
         scale = goal.agg(F.sum("goal")).first()[0] or 1.0
-        goals[margin] = checkpoint(goal.select(margin, (F.col("goal") * F.lit(total / scale)).alias("goal")))
+        goals[margin] = written(goal.select(margin, (F.col("goal") * F.lit(total / scale)).alias("goal")))
     now = cells.withColumn("m", F.lit(1.0))
     for _ in range(rounds):
         for margin in MARGINS:
             have = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("m")).alias("have"))
             step = have.join(goals[margin], margin).select(margin, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(1.0).alias("factor"), F.abs(F.col("have") - F.col("goal")).alias(f"off_{margin}"))
             now = now.join(step, margin).withColumn("m", F.col("m") * F.col("factor")).drop("factor")
-        now = checkpoint(now)
+        now = written(now)
         off = (now.agg(F.max(F.greatest(*[f"off_{m}" for m in MARGINS]))).first()[0] or 0) / max(total, 1)
         now = now.drop(*[f"off_{m}" for m in MARGINS])
         if off < CLOSE:
@@ -237,14 +282,17 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     ``with_text`` adds the text.  Null
     sources and languages are values of their own (shown as null).  Null and empty texts
     have no tokens; they take their cell's weight and are sampled alike.  Repeated rows are
-    sampled or not together.  An empty table gives no rows.
+    sampled or not together.  Texts are read whole, however long, in one pass (and once more
+    with ``with_text``).  An empty table gives no rows.
     """
     spark = docs.sparkSession
     targets = dict(targets or {})
-    centres = fit_topics(docs, doc_id, text)
-    rows = annotate(docs, centres, doc_id, text, source, lang, seed, with_text)
-    light = annotate(docs.select(*dict.fromkeys([doc_id, text, source, lang])), centres, doc_id, text, source, lang, seed)
-    cells = checkpoint(light.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    kept = _kept(docs, doc_id, text, source, lang, seed)
+    blocks = blocks_of(docs, text, kept[1:3] if with_text else kept)
+    centres = fit_topics(docs, doc_id, text, blocks)
+    light = placed(blocks, centres)
+    rows = annotate(docs, centres, doc_id, text, source, lang, seed, True) if with_text else light
+    cells = written(light.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("tokens")))
     if cells.count() <= max_cells:
         local = cells.toPandas().sort_values(list(MARGINS)).reset_index(drop=True)
         total = local["tokens"].sum()
