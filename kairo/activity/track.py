@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import join_on
+from ..functions.reducers import finite
 from ..operators.aggregate import by_column
 from ..operators.folds import fold
 from ..operators.joins import as_of
@@ -21,6 +23,18 @@ from ..series import Series
 #: moving; the longest pause, in seconds, a power sample stands for.
 EARTH, CLIMB, MOVING, PAUSE = 6_371_008.8, 3.0, 0.5, 10.0
 
+# Zone bounds as shares of the greatest heart rate, as multiples of the pace over five
+# kilometres and as shares of threshold power; their names; the durations of a best-effort table.
+HR_FRACTIONS = (0.65, 0.81, 0.89, 0.97)
+HR_ZONES = ("Recovery", "Endurance", "Tempo", "Threshold", "Anaerobic")
+PACE_MULTIPLES = (1.33, 1.15, 1.03, 0.96, 0.9)
+PACE_ZONES = ("Recovery", "Endurance", "Tempo", "Threshold", "VO2 Max", "Anaerobic")
+POWER_FRACTIONS = (0.55, 0.75, 0.9, 1.05, 1.2, 1.5)
+POWER_ZONES = ("Recovery", "Endurance", "Tempo", "Threshold", "VO2Max", "Anaerobic", "Neuromuscular")
+BEST_EFFORTS = [5.0, 15.0, 30.0, 60.0, 120.0, 180.0, 300.0, 480.0, 600.0, 900.0, 1200.0, 1800.0, 2700.0, 3600.0]
+#: What stands for an open top.
+TOP = 1e9
+
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
@@ -104,6 +118,26 @@ def splits(s: Series, every: float = 1000.0) -> DataFrame:
     return df.withColumn("split", F.floor(F.col("dist") / every)).groupBy(*s.by, "split").agg(*cols)
 
 
+def splits_exact(s: Series, every: float = 1000.0, channels: tuple[str, ...] = ()) -> DataFrame:
+    """Per split of distance: meters, seconds, and each channel's mean by time and greatest value.
+
+    A step that passes a split's end is divided there in proportion to its distance, its time
+    and what it stands for with it, so splits have their length exactly.
+    """
+    d = with_weight(with_distance(s))
+    df = d.df.withColumn("__sec", F.coalesce(seconds(d), F.lit(0.0)))
+    last, first = F.floor(F.col("dist") / every), F.floor((F.col("dist") - F.col("step")) / every)
+    df = df.withColumn("__last", last).withColumn("split", F.explode(F.sequence(first, last)))
+    inside = F.least(F.col("dist"), (F.col("split") + 1) * every) - F.greatest(F.col("dist") - F.col("step"), F.col("split") * every)
+    share = F.when(F.col("step") > 0, inside / F.col("step")).when(F.col("split") == F.col("__last"), 1.0).otherwise(0.0)
+    df = df.withColumn("__share", share)
+    w = F.col("dt") * F.col("__share")
+    cols = [F.sum(F.col("step") * F.col("__share")).alias("meters"), F.sum(F.col("__sec") * F.col("__share")).alias("seconds")]
+    for c in channels:
+        cols += [(F.sum(F.col(c) * w) / F.sum(F.when(F.col(c).isNotNull(), w))).alias(c), F.max(c).alias(f"max_{c}")]
+    return df.groupBy(*s.by, "split").agg(*cols)
+
+
 def profile(s: Series, value: str, width: float, axis: str = "dist") -> DataFrame:
     """Median and spread of a value along the distance."""
     spread = {f"{value}_{p}": (value, p) for p in ("p5", "p25", "median", "p75", "p95")}
@@ -177,16 +211,28 @@ def with_weight(s: Series) -> Series:
 
 
 def power_summary(s: Series, power: str = "power", ftp: float | None = None) -> DataFrame:
-    """average, max, work (kJ), normalized power; with ftp also intensity and load."""
+    """average (of the samples), max, work (kJ) and normalized power; with ftp also intensity, and the load of
+    the elapsed time.  Missing samples take no part; of none, all are zero."""
     w = with_weight(s)
-    df = over_range(w, 30_000_000 - 1, 0, {"__roll": lambda x: F.avg(F.col(power)).over(x)})
-    work, time = F.sum(F.col(power) * F.col("dt")), F.sum(F.when(F.col(power).isNotNull(), F.col("dt")))
-    out = (df.groupBy(*s.by) if s.by else df.groupBy()).agg((work / time).alias("average"), F.max(power).alias("max"), (work / 1000).alias("work_kj"), F.pow(F.avg(F.pow("__roll", F.lit(4))), F.lit(0.25)).alias("normalized"), time.alias("__time"))
+    w = w.with_df(w.df.withColumn("__w", finite(F.col(power), s.types[power]).cast("double")))
+    df = over_range(w, 30_000_000 - 1, 0, {"__roll": lambda x: F.avg("__w").over(x)})
+    fourth = F.pow(F.avg(F.when(F.col("__w").isNotNull(), F.pow("__roll", F.lit(4)))), F.lit(0.25))
+    elapsed = (F.max(s.at) - F.min(s.at)) / 1e6
+    cols = {"average": F.avg("__w"), "max": F.greatest(F.max("__w"), F.lit(0.0)), "work_kj": F.sum(F.col("__w") * F.col("dt")) / 1000, "normalized": fourth}
+    out = (df.groupBy(*s.by) if s.by else df.groupBy()).agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in cols.items()], elapsed.alias("__time"))
     if ftp:
         out = out.withColumn("intensity", F.col("normalized") / ftp).withColumn("load", F.col("__time") / 3600 * F.pow(F.col("intensity"), 2) * 100)
     return out.drop("__time")
 
 
+def compute_power(s: Series, ftp: float, power: str = "power", width: float = 1.0, durations: list[float] | None = None) -> dict[str, DataFrame]:
+    """The whole power bundle: summary, distribution by watts, time in zones and curve, a table each."""
+    if not 0 < width < float("inf"):
+        raise ValueError("watts of a bin must be positive and finite")
+    edges, _ = power_zones_from(ftp)
+    return {"summary": power_summary(s, power, ftp), "distribution": power_distribution(s, power, width), "zones": zones(s, power, edges[:-1]), "curve": power_curve(s, durations or log_durations(86_400.0), power)}
+
+
 def power_distribution(s: Series, power: str = "power", width: float = 25.0) -> DataFrame:
     return by_column(with_weight(s), power, {"seconds": ("dt", "sum")}, width=width)
 
@@ -197,24 +243,95 @@ def zones(s: Series, value: str, edges: list[float]) -> DataFrame:
 
 
 def power_curve(s: Series, durations: list[float], power: str = "power") -> DataFrame:
-    """The best average over any stretch of each duration at least, never rising with duration."""
+    """The best average over any run of samples that stand for each duration at least, never rising with
+    it; a missing sample is zero watts.  Durations beyond all that a track's samples stand for
+    have no row.  first and last are the places, from 0, of the samples that gave the best."""
 
     def fn(df: pd.DataFrame) -> pd.DataFrame:
-        t = df["__at"].to_numpy(float) / 1e6
-        p, dt = df[power].fillna(0).to_numpy(float), df["dt"].to_numpy(float)
-        work = np.concatenate([[0.0], np.cumsum(p * dt)])
-        best = []
-        for want in durations:
-            j = np.searchsorted(t, t + want, side="left")
-            ok = j < len(t)
-            best.append(float(((work[j[ok] + 1] - work[np.flatnonzero(ok) + 1]) / np.maximum(t[j[ok]] - t[ok], 1e-9)).max()) if ok.any() else np.nan)
+        p, dt = df[power].astype(float).to_numpy(), df["dt"].to_numpy(float)
+        work = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(p), p, 0.0) * dt)])
+        time = np.concatenate([[0.0], np.cumsum(dt)])
         out, cap = [], np.inf
-        for b in best:
-            cap = min(cap, b) if b == b else cap
-            out.append(cap if b == b else None)
-        return pd.DataFrame({"duration": durations, "watts": pd.Series(out, dtype="float64")})
+        for want in durations:
+            if want > time[-1]:
+                break
+            end = np.arange(1, len(time))
+            lo = np.minimum(np.searchsorted(time, time[1:] - want, side="right") - 1, end - 1)
+            ok = np.flatnonzero((lo >= 0) & (time[1:] - time[np.maximum(lo, 0)] >= want))
+            watts, best = 0.0, None
+            if len(ok):
+                mean = (work[end[ok]] - work[lo[ok]]) / (time[end[ok]] - time[lo[ok]])
+                if mean.max() > 0:
+                    i = int(mean.argmax())
+                    watts, best = float(mean[i]), (int(lo[ok[i]]), int(end[ok[i]]) - 1)
+            cap = min(cap, watts)
+            out.append((want, cap, *(best or (None, None))))
+        return pd.DataFrame(out, columns=["duration", "watts", "first", "last"]).astype({"first": "Int64", "last": "Int64"})
+
+    return _per_track(with_weight(s), [power, "dt"], "duration double, watts double, first long, last long", fn)
+
+
+def power_best_efforts(s: Series, power: str = "power", weight_kg: float | None = None, durations: list[float] | None = None) -> DataFrame:
+    """The curve at the usual durations, in whole watts, and watts a kilogram if the weight is known."""
+    out = power_curve(s, durations or BEST_EFFORTS, power).withColumn("per_kg", F.col("watts") / weight_kg if weight_kg and weight_kg > 0 else F.lit(None).cast("double"))
+    return out.withColumn("watts", F.floor(F.col("watts") + 0.5).cast("double"))
+
+
+def log_durations(total: float, steps: int = 140) -> list[float]:
+    """Whole seconds from one to ``total``, evenly spread by their logarithms."""
+    if total < 1 or steps < 2:
+        return [1.0]
+    return [float(x) for x in dict.fromkeys(int(np.floor(np.exp(np.log(total) * i / (steps - 1)) + 0.5)) for i in range(steps))]
+
 
-    return _per_track(with_weight(s), [power, "dt"], "duration double, watts double", fn)
+# -- zone schemes: the edges of a value's axis, the last one open, and the zones' names ----------
+
+
+def hr_zones_from(max_hr: float | None = None, bounds: list[float] | None = None) -> tuple[list[float], tuple[str, ...]]:
+    inner = list(bounds)[:4] if bounds is not None else [float(np.floor(f * max_hr + 0.5)) for f in HR_FRACTIONS]
+    return [0.0, *inner, TOP], HR_ZONES
+
+
+def pace_zones_from(five_k_seconds: float) -> tuple[list[float], tuple[str, ...]]:
+    """On the axis of speed, in metres a second."""
+    speed = 5000 / five_k_seconds if five_k_seconds > 0 else 0.0
+    return [0.0, *(speed / m for m in PACE_MULTIPLES), TOP], PACE_ZONES
+
+
+def power_zones_from(ftp: float) -> tuple[list[float], tuple[str, ...]]:
+    return [0.0, *(f * ftp for f in POWER_FRACTIONS), TOP], POWER_ZONES
+
+
+def named_zones(s: Series, value: str, scheme: tuple[list[float], tuple[str, ...]]) -> DataFrame:
+    """Seconds in each zone of a scheme, its number from 1, its name and its share of all of them."""
+    edges, names = scheme
+    out = zones(s, value, edges[:-1])
+    place = F.array_position(F.array(*[F.lit(float(e)) for e in edges[:-1]]), F.col("start"))
+    out = out.withColumn("zone", place.cast("int")).withColumn("label", F.element_at(F.array(*map(F.lit, names)), F.col("zone")))
+    total = (out.groupBy(*s.by) if s.by else out.groupBy()).agg(F.sum("seconds").alias("__all"))
+    got = join_on(out, total, s.by) if s.by else out.join(F.broadcast(total))
+    return got.withColumn("share", F.when(F.col("__all") > 0, F.col("seconds") / F.col("__all")).otherwise(0.0)).drop("__all")
+
+
+def polyline_slice(s: Series, begin: float, end: float, cols: tuple[str, ...] = ("lat", "lng")) -> DataFrame:
+    """The stretch of each track between two distances: its rows between them, and interpolated ends."""
+    lo, hi = min(begin, end), max(begin, end)
+    d = with_distance(s)
+    total = (d.df.groupBy(*s.by) if s.by else d.df.groupBy()).agg(F.max("dist").alias("__total"))
+    ends = total.select(*s.by, F.explode(F.array(*[F.greatest(F.lit(0.0), F.least(F.lit(float(x)), F.col("__total"))) for x in (lo, hi)])).alias("meters"))
+    ends = position_at(s, ends, cols=cols).select(*s.by, "meters", *cols)
+    inner = d.df.filter((F.col("dist") > lo) & (F.col("dist") < hi)).select(*s.by, F.col("dist").alias("meters"), *cols)
+    return inner.unionByName(ends)
+
+
+def window_channels(s: Series, begin: float, end: float, channels: tuple[str, ...]) -> DataFrame:
+    """Of the rows between two distances of each track: meters, seconds, and each channel's mean and greatest."""
+    d = with_distance(s)
+    df = d.df.filter((F.col("dist") >= begin) & (F.col("dist") <= end))
+    cols = [(F.max("dist") - F.min("dist")).alias("meters"), ((F.max(s.at) - F.min(s.at)) / 1e6).alias("seconds")]
+    for c in channels:
+        cols += [F.avg(c).alias(c), F.max(c).alias(f"max_{c}")]
+    return (df.groupBy(*s.by) if s.by else df.groupBy()).agg(*cols)
 
 
 def as_of_profile(s: Series, profiles: Series) -> DataFrame:
@@ -224,9 +341,9 @@ def as_of_profile(s: Series, profiles: Series) -> DataFrame:
 
 def summary(s: Series, ftp: float | None = None) -> DataFrame:
     """Distance, time, climb and power of each track in one row."""
-    out = total_distance(s).join(moving_time(s).withColumnRenamed("seconds", "moving_seconds"), list(s.by)) if s.by else total_distance(s).join(moving_time(s).withColumnRenamed("seconds", "moving_seconds"))
+    out = join_on(total_distance(s), moving_time(s).withColumnRenamed("seconds", "moving_seconds"), s.by)  # a row each
     if "ele" in s.values:
-        out = out.join(elevation_gain_loss(s), list(s.by)) if s.by else out.join(elevation_gain_loss(s))
+        out = join_on(out, elevation_gain_loss(s), s.by)
     if "power" in s.values:
-        out = out.join(power_summary(s, ftp=ftp), list(s.by)) if s.by else out.join(power_summary(s, ftp=ftp))
+        out = join_on(out, power_summary(s, ftp=ftp), s.by)
     return out

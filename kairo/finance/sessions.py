@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from datetime import date, datetime, time, timedelta
 from zoneinfo import ZoneInfo
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import duration_us, from_us
 from ..operators.grid import Intervals, to_us
-from ..operators.joins import interval_join
+from ..operators.joins import as_of, interval_join
 from ..series import Series
 
 
@@ -68,10 +69,53 @@ def normalize(sessions: list[Session]) -> list[Session]:
     return out
 
 
+@dataclass(frozen=True)
+class Axis:
+    """An axis of open time: what lies between the segments takes no room on it.
+
+    Segments are sorted and don't overlap, in microseconds.  Without any the axis is time itself.
+    """
+
+    segments: tuple[tuple[int, int], ...] = ()
+
+    def compress(self, s: Series, output: str) -> Series:
+        """Adds the open microseconds from the first open to each row: closed times are at the last close.
+
+        Rows meet the segment that holds or precedes them in one ordered read, never by a range join.
+        """
+        if not self.segments:
+            return s.with_df(s.df.withColumn(output, s.at))
+        before, rows = 0, []
+        for a, b in self.segments:
+            rows.append((a, b, before))
+            before += b - a
+        spans = s.df.sparkSession.createDataFrame(rows, "__open bigint, __close bigint, __before bigint")
+        keyed = Series(spans.withColumn("__key", F.col("__open")), "value", ("__key",))
+        got = as_of(s.df, s.at, keyed, [])
+        at = F.col("__before") + F.least(s.at, F.col("__close")) - F.col("__open")
+        return s.with_df(got.withColumn(output, F.coalesce(at, F.lit(0).cast("bigint"))).drop("__open", "__close", "__before"))
+
+
+def weekend_skip(first: datetime, last: datetime, zone: str = "UTC") -> Axis:
+    """An axis without local Saturdays and Sundays, from the first day to the last."""
+    tz, day, out = ZoneInfo(zone), first.date(), []
+    while day <= last.date():
+        if day.weekday() < 5:
+            a, b = (to_us(datetime.combine(x, time(), tz)) for x in (day, day + timedelta(days=1)))
+            out = [*out[:-1], (out[-1][0], b)] if out and out[-1][1] == a else [*out, (a, b)]
+        day += timedelta(days=1)
+    return Axis(tuple(out))
+
+
+def identity() -> Axis:
+    return Axis()
+
+
 class TradingCalendar:
     def __init__(self, sessions: list[Session]):
         self.sessions = normalize(sessions)
         self._by_day = {s.day: s for s in self.sessions}
+        self._opens, self._closes = [s.open for s in self.sessions], [s.close for s in self.sessions]
 
     @staticmethod
     def from_rules(rules: Rules, first: date, last: date) -> TradingCalendar:
@@ -85,21 +129,23 @@ class TradingCalendar:
 
     def session_containing(self, t) -> Session | None:
         u = to_us(t)
-        return next((s for s in self.sessions if s.open <= u < s.close), None)
+        i = bisect_right(self._opens, u) - 1
+        return self.sessions[i] if i >= 0 and u < self.sessions[i].close else None
 
     def is_open(self, t) -> bool:
         s, u = self.session_containing(t), to_us(t)
         return s is not None and not any(a <= u < b for a, b in s.breaks)
 
     def sessions_in(self, lo, hi) -> list[Session]:
-        a, b = to_us(lo), to_us(hi)
-        return [s for s in self.sessions if s.open < b and s.close > a]
+        return self.sessions[bisect_right(self._closes, to_us(lo)) : bisect_left(self._opens, to_us(hi))]
 
     def next_session(self, t) -> Session | None:
-        return next((s for s in self.sessions if s.open > to_us(t)), None)
+        i = bisect_right(self._opens, to_us(t))
+        return self.sessions[i] if i < len(self.sessions) else None
 
     def previous_session(self, t) -> Session | None:
-        return next((s for s in reversed(self.sessions) if s.close <= to_us(t)), None)
+        i = bisect_right(self._closes, to_us(t))
+        return self.sessions[i - 1] if i else None
 
     def session_sequence(self) -> Intervals:
         return Intervals(tuple((s.open, s.close) for s in self.sessions))
@@ -121,6 +167,10 @@ class TradingCalendar:
         got = interval_join(s.df, s.at, spans, F.col("__open"), F.col("__close"), closes)
         return s.with_df(got.withColumn(output, from_us(F.col("__open"))).drop("__open", "__close"))
 
+    def axis(self) -> Axis:
+        """Open time only, as data."""
+        return Axis(tuple(self._open_segments()))
+
     # -- an axis without the closed hours -----------------------------------------
 
     def _open_segments(self) -> list[tuple[int, int]]:

@@ -63,6 +63,26 @@ def rolling_stat(s: Series, period: int, stat: str, source: str = "close", outpu
     return _add(s, {output or stat: _full(s, period, agg)})
 
 
+def ranged_moments(s: Series, period: int, begin: int, end: int, source: str = "close", names: tuple[str, str] = ("mean", "sd")) -> Series:
+    """The window's mean and population deviation for rows ``begin`` to ``end`` of each partition (from 0,
+    end left out), the same to the last bit whatever the range: each window is summed on its own
+    around its first value, and only the rows that the range's windows hold are read."""
+    if period < 1 or begin < 0 or end < begin:
+        raise ValueError("a period is one bar at least, and a range ascends")
+    n = F.col("__n") - 1
+    near = s.with_df(s.numbered().filter((n >= begin - period + 1) & (n < end)))
+    cells = F.filter(F.collect_list(F.struct(_x(s, source).alias("v"))).over(_window(near, period)), lambda c: c["v"].isNotNull())
+    base = F.coalesce(F.get("__cells", F.lit(0))["v"], F.lit(0.0))
+    df = near.df.withColumn("__cells", cells)
+    total = lambda f: F.aggregate("__cells", F.lit(0.0), lambda a, c: a + f(c["v"] - base))
+    k, full = F.size("__cells"), F.col("__n") >= period
+    mean = total(lambda v: v) / k
+    df = df.withColumn("__mean", F.when(k > 0, mean))
+    spread = F.aggregate("__cells", F.lit(0.0), lambda a, c: a + F.pow(c["v"] - base - F.col("__mean"), F.lit(2)))
+    cols = {names[0]: F.when(full, F.col("__mean") + base), names[1]: F.when(full & (k > 0), F.sqrt(spread / k))}
+    return s.with_df(df.withColumns(cols).filter(n >= begin).drop("__n", "__cells", "__mean"))
+
+
 def z_score(s: Series, period: int = 20, source: str = "close", output: str = "z") -> Series:
     x = _x(s, source)
     sd = _full(s, period, F.stddev_pop(x))

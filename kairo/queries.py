@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime, time
@@ -34,10 +35,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_rows, queries_streams, queries_tracks  # noqa: F401  (they add theirs)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -80,12 +84,14 @@ def aggregate_hourly(spark, d):
 
 
 @query("""
-SELECT date_trunc('week', ts) AS "begin", date_trunc('week', ts) + INTERVAL 7 DAY AS "end", count(value) AS n, round(max(value) - min(value), 6) AS spread
-FROM events GROUP BY 1 HAVING "begin" >= (SELECT min(ts) FROM events)
+WITH e AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-10' OR ts >= TIMESTAMP '2024-01-24'), g AS (SELECT unnest(generate_series(date_trunc('week', (SELECT min(ts) FROM e)), (SELECT max(ts) FROM e), INTERVAL 7 DAY)) AS b)
+SELECT b AS "begin", b + INTERVAL 7 DAY AS "end", count(value) AS n, round(max(value) - min(value), 6) AS spread
+FROM g LEFT JOIN e ON ts >= b AND ts < b + INTERVAL 7 DAY WHERE b >= (SELECT min(ts) FROM e) GROUP BY 1
 """)
 def aggregate_calendar_week(spark, d):
-    out = agg.aggregate(events(spark, d), grid.calendar("week"), {"n": ("value", "count"), "spread": ("value", "difference")})
-    return out.df.filter("n > 0").select("begin", "end", "n", *r6("spread"))
+    s = events(spark, d).filter("ts < timestamp_ntz'2024-01-10' or ts >= timestamp_ntz'2024-01-24'")  # a week is empty, and there
+    out = agg.aggregate(s, grid.calendar("week"), {"n": ("value", "count"), "spread": ("value", "difference")})
+    return out.df.select("begin", "end", "n", *r6("spread"))
 
 
 @query("""
@@ -187,7 +193,7 @@ def shifts(spark, d):
     return windows.shift(windows.shift(s, 2, "lagged"), -1, "led").df.select("event_id", "lagged", "led")
 
 
-GAPPY = "WITH e AS (SELECT event_id, ts, event_type, CASE WHEN event_id % 7 >= 2 THEN value END AS value FROM events)"
+GAPPY = "WITH e AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 7 >= 2 THEN value END AS value FROM events)"
 
 
 @query(GAPPY + """
@@ -327,11 +333,6 @@ def smooth_ema(spark, d):
     return folds.ema(events(spark, d).partition_by("user_id"), "value", alpha=0.2, output="ema").df.select("event_id", *r6("ema"))
 
 
-@query()
-def smooth_loess(spark, d):
-    return folds.loess(events(spark, d).partition_by("user_id"), "value", 0.3, output="fit").df.select("event_id", "user_id", "fit")
-
-
 @query("""
 WITH l AS (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM events)
 SELECT event_id, round(list_reduce(list_prepend(0.0, v), lambda a, x: greatest(0.0, a + x - 50.0)), 6) AS scan FROM l
@@ -450,11 +451,11 @@ def array_aggregates(spark, d):
 
 
 @query("""
-WITH t AS (SELECT doc_id, list_filter(string_split(lower(left(source, 40)), ''), lambda x: x <> '') AS tags FROM documents)
+WITH t AS (SELECT doc_id, list_filter(string_split(lower(source), ''), lambda x: x <> '') AS tags FROM documents)
 SELECT doc_id, unnest(tags) AS tag FROM t WHERE list_contains(tags, '1') AND NOT list_contains(tags, '9')
 """)
 def array_filters(spark, d):
-    tags = F.filter(F.split(F.lower(F.substring("source", 1, 40)), ""), lambda x: x != "")
+    tags = F.filter(F.split(F.lower("source"), ""), lambda x: x != "")
     s = Series.of(table(spark, d, "documents").select("doc_id", tags.alias("tags")), value="doc_id")
     s = arrays.contains_any(arrays.contains_all(s, "tags", ["1"]), "tags", ["1", "x"]).filter(~F.array_contains("tags", "9"))
     return arrays.explode(s, "tags", "tag").df.select("doc_id", "tag")
@@ -478,12 +479,12 @@ def bin_by_index(spark, d):
 
 
 @query(GAPPY + """
-SELECT event_type, count(*) FILTER (value IS NULL) > 0 AS has_missing, count(*) FILTER (value IS NULL) AS null_count, arg_min(value, CASE WHEN value IS NOT NULL THEN event_id END) AS first_defined, count(DISTINCT event_type) AS unique_count FROM e GROUP BY 1
+SELECT event_type, count(*) FILTER (value IS NULL) > 0 AS has_missing, count(*) FILTER (value IS NULL) AS null_count, arg_min(value, CASE WHEN value IS NOT NULL THEN event_id END) AS first_defined, count(DISTINCT user_id) AS unique_count FROM e GROUP BY 1
 """)
 def column_reads(spark, d):
     s = gappy(spark, d)
     out = columns.missing(s, "value").join(columns.ends(s, "value").select("event_type", "first_defined"), "event_type")
-    return out.join(columns.unique_count(s, "event_type"), "event_type")
+    return out.join(columns.unique_count(s, "user_id"), "event_type")
 
 
 @query("""
@@ -498,24 +499,13 @@ def track_distance(spark, d):
 
 @query("""
 WITH x AS (SELECT user_id, value, least(greatest(coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 0), 0), 10) AS dt, avg(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 29999999 MICROSECOND PRECEDING AND CURRENT ROW) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, round(sum(value * dt) / sum(dt), 6) AS average, max(value) AS max, round(sum(value * dt) / 1000, 6) AS work_kj, round(pow(avg(pow(r, 4)), 0.25), 6) AS normalized FROM x GROUP BY 1
+SELECT user_id, round(avg(value), 6) AS average, max(value) AS max, round(sum(value * dt) / 1000, 6) AS work_kj, round(pow(avg(pow(r, 4)), 0.25), 6) AS normalized FROM x GROUP BY 1
 """)
 def power_summary(spark, d):
     s = events(spark, d).partition_by("user_id").map({"power": F.col("value")})
     return track.power_summary(s).select("user_id", *r6("average"), "max", *r6("work_kj", "normalized"))
 
 
-@query()
-def track_best_efforts(spark, d):
-    s = events(spark, d).partition_by("user_id").map({"lat": F.col("value") / 10, "lng": (F.col("event_id") % 90) / 10.0})
-    return track.best_efforts(s, [1000.0, 100000.0])
-
-
-@query()
-def track_climb(spark, d):
-    return track.elevation_gain_loss(events(spark, d).partition_by("user_id").map({"ele": F.col("value")}))
-
-
 @query("""
 WITH x AS (SELECT event_id, avg(value) OVER w AS a, count(*) OVER w AS c, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING))
 SELECT event_id, round(CASE WHEN c >= 5 THEN a END, 6) AS mean, round(CASE WHEN c >= 5 THEN a END * 2, 6) AS twice, round(dv, 6) AS step FROM x
@@ -543,11 +533,19 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/events.parque*").withColumn("ts", F.col("ts").cast("timestamp")).drop("props")
 
 
-def _drain(spark: SparkSession, out: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared checkpoint folder; one of this machine only under a local master."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    folder = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _drain(spark: SparkSession, out: DataFrame) -> DataFrame:
+    folder = shared_folder(spark, "stream")
     out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")
 

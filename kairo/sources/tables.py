@@ -12,6 +12,8 @@ from ..functions.time import parse_time
 from ..series import Series
 
 KINDS = {"number": "double", "string": "string", "boolean": "boolean", "time": "timestamp_ntz"}
+#: Times in JSON keep their microseconds.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 ARROW_REFUSED = (pa.types.is_decimal, pa.types.is_float16)
 
 
@@ -83,7 +85,7 @@ def _in_order(s: Series) -> DataFrame:
 def to_json_rows(s: Series) -> DataFrame:
     """A JSON object per row; missing is null."""
     cols = [c for c in s.df.columns if c != s.seq]
-    return s.df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
+    return s.df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "timestampNTZFormat": MICROS, "timestampFormat": f"{MICROS}XXX"}).alias("json"))
 
 
 def to_points(s: Series) -> DataFrame:

@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.frames import join_on
 from ..functions.reducers import Output, outputs, percentile_rank, reduce, top_size
-from ..functions.time import duration_us
+from ..functions.time import duration_us, parse_time
+from ..sources.tables import ddl
 
 
 @dataclass(frozen=True)
@@ -32,9 +34,10 @@ class Live:
     by: tuple[str, ...] = ()
     grace: str | None = None  #: how late a row may be; later ones are dropped
     groups: tuple | None = None  #: declared values of the first partition column
+    expire: str | None = None  #: the state of a key goes when the watermark has passed its last row by so much
 
     def partition_by(self, *cols: str, groups: tuple | None = None) -> Live:
-        return Live(self.df, self.time, tuple(cols), self.grace, groups)
+        return Live(self.df, self.time, tuple(cols), self.grace, groups, self.expire)
 
     def _checked(self) -> DataFrame:
         if not self.groups:
@@ -46,16 +49,16 @@ class Live:
     # -- stateless ---------------------------------------------------------------
 
     def filter(self, cond: Column | str) -> Live:
-        return Live(self.df.filter(cond), self.time, self.by, self.grace, self.groups)
+        return Live(self.df.filter(cond), self.time, self.by, self.grace, self.groups, self.expire)
 
     def select(self, *names: str) -> Live:
-        return Live(self.df.select(self.time, *self.by, *[n for n in names if n not in (self.time, *self.by)]), self.time, self.by, self.grace, self.groups)
+        return Live(self.df.select(self.time, *self.by, *[n for n in names if n not in (self.time, *self.by)]), self.time, self.by, self.grace, self.groups, self.expire)
 
     def map(self, exprs: Mapping[str, Column]) -> Live:
-        return Live(self.df.select(self.time, *self.by, *[e.alias(n) for n, e in exprs.items()]), self.time, self.by, self.grace, self.groups)
+        return Live(self.df.select(self.time, *self.by, *[e.alias(n) for n, e in exprs.items()]), self.time, self.by, self.grace, self.groups, self.expire)
 
     def union(self, other: Live) -> Live:
-        return Live(self.df.unionByName(other.df), self.time, self.by, self.grace)
+        return Live(self.df.unionByName(other.df), self.time, self.by, self.grace, self.groups, self.expire)
 
     # -- buckets -------------------------------------------------------------------
 
@@ -74,10 +77,15 @@ class Live:
     # -- steps -------------------------------------------------------------------------
 
     def through(self, step: Step, order: str | None = None) -> DataFrame:
-        """Runs a step for each key: rows of a micro-batch by time (and ``order``), batches as they come."""
+        """Runs a step for each key: rows of a micro-batch by time (and ``order``), batches as they come.
+
+        With ``expire`` a key that the watermark has left so far behind gives up its state; a row
+        that comes later begins anew.
+        """
         src = self._checked()
-        if self.grace:
-            src = src.withWatermark(self.time, self.grace)
+        if self.grace or self.expire:
+            src = src.withWatermark(self.time, self.grace or "0 seconds")
+        wait = duration_us(self.expire) // 1000 if self.expire else None
         step = step.bound(self, src)
         keys = list(self.by) if self.by and not step.all_keys else ["__all"]
         if keys == ["__all"]:
@@ -85,15 +93,20 @@ class Live:
         cols, time = src.columns, self.time
 
         def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            if state.hasTimedOut:
+                state.remove()
+                return
             mine = pickle.loads(state.get[0]) if state.exists else step.start()
             rows = pd.concat(list(frames), ignore_index=True)
             rows = rows.sort_values([time, *([order] if order else [])], kind="stable").reset_index(drop=True)
             out = step.take(mine, rows)
             state.update((pickle.dumps(mine),))
+            if wait is not None:
+                state.setTimeoutTimestamp(max(_at(rows[time].iloc[-1]) // 1000, state.getCurrentWatermarkMs()) + wait)
             if len(out):
                 yield out[step.columns]
 
-        return src.select(*cols).groupBy(*keys).applyInPandasWithState(run, step.schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+        return src.select(*cols).groupBy(*keys).applyInPandasWithState(run, step.schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout if wait is not None else GroupStateTimeout.NoTimeout)
 
 
 def _at(t) -> int:
@@ -389,9 +402,14 @@ class Rolling(Step):
 
 @dataclass
 class Reduce(Rolling):
-    """All retained rows (the last ``count``, or of the last width), one emission per micro-batch."""
+    """All retained rows (the last ``count``, or of the last width): one emission per micro-batch, or when
+    the ``trigger`` fires if there is one."""
+
+    trigger: Trigger | None = None
 
     def take(self, state, rows):
+        if self.trigger is not None:
+            return super().take(state, rows)
         trigger, self.trigger = self.trigger, Trigger("count", 1 << 62)
         try:
             super().take(state, rows)
@@ -404,6 +422,66 @@ class Reduce(Rolling):
         return pd.DataFrame(out, columns=self.columns)
 
 
+@dataclass
+class Retain(Step):
+    """Keeps a key's last ``max_events`` rows, and none older than ``max_age`` before its latest.
+
+    ``emit`` 'evicted' gives the rows that leave, in order and once each; 'kept' what is there
+    after each micro-batch, with its number as ``__batch``: the window view, whose latest
+    batch is the present; 'stats' a line a micro-batch: rows so far, rows evicted, rows kept,
+    the times of the first and last kept and their rate a second.
+    """
+
+    max_events: int | None = None
+    max_age: str | None = None
+    emit: str = "evicted"
+
+    def bound(self, live, df):
+        if self.emit not in ("evicted", "kept", "stats"):
+            raise ValueError(f"not an emission: {self.emit!r}")
+        if live.grace and self.max_age and duration_us(live.grace.replace(" seconds", "s")) > duration_us(self.max_age):
+            raise ValueError("a late row within the grace would be evicted at once: grace is longer than max_age")
+        return super().bound(live, df)
+
+    def made(self):
+        return {"__batch": "long"} if self.emit == "kept" else {}
+
+    def _out(self, fields):
+        super()._out(fields)
+        self.held = [c for c in self.fields]
+        if self.emit == "stats":
+            types = {c: self.fields[c] for c in self.by} | {"rows": "long", "evicted": "long", "kept": "long", "first": self.fields[self.time], "last": self.fields[self.time], "rate": "double"}
+            self.columns, self.schema = list(types), ", ".join(f"`{c}` {t}" for c, t in types.items())
+
+    def start(self):
+        return {"rows": [], "seen": 0, "gone": 0, "batch": -1}
+
+    def take(self, state, rows):
+        held, at = state["rows"], self.held.index(self.time)
+        gone: list[tuple] = []
+        age = duration_us(self.max_age) if self.max_age else None
+        held += list(rows[self.held].astype(object).where(rows[self.held].notna(), None).itertuples(index=False, name=None))
+        held.sort(key=lambda r: r[at])  # stable: late rows of one time keep their order of arrival
+        out = max(0, len(held) - self.max_events) if self.max_events is not None else 0
+        if age is not None:
+            cutoff = _at(held[-1][at]) - age
+            while out < len(held) and _at(held[out][at]) < cutoff:
+                out += 1
+        gone = held[:out]
+        del held[:out]
+        state["seen"] += len(rows)
+        state["gone"] += out
+        state["batch"] += 1
+        if self.emit == "evicted":
+            return pd.DataFrame(gone, columns=self.held)
+        if self.emit == "kept":
+            return pd.DataFrame(held, columns=self.held).assign(__batch=state["batch"])
+        key = {c: rows[c].iloc[0] for c in self.by}
+        first, last = (held[0][at], held[-1][at]) if held else (None, None)
+        span = (_at(last) - _at(first)) / 1e6 if held else 0.0
+        return pd.DataFrame([key | {"rows": state["seen"], "evicted": state["gone"], "kept": len(held), "first": first, "last": last, "rate": len(held) / span if span > 0 else None}], columns=self.columns)
+
+
 @dataclass
 class Chain(Step):
     """Several steps, one after the other, in one state."""
@@ -432,6 +510,26 @@ class Chain(Step):
         return rows
 
 
+def window_view(spark, path: str, live: Live, size: int | str, order: str | None = None) -> DataFrame:
+    """The present contents of a window over all that a stream has to give: the last ``size`` rows of
+    each key, or those of the last so long.  Runs what is available into the folder ``path``; the
+    result is a plain DataFrame, for any read of columns."""
+    step = Retain(max_events=size, emit="kept") if isinstance(size, int) else Retain(max_age=size, emit="kept")
+    out = live.through(step, order)
+    out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(f"{path}/rows")
+    last = rows.groupBy(*live.by).agg(F.max("__batch").alias("__batch"))
+    return join_on(rows, last, [*live.by, "__batch"]).drop("__batch")
+
+
+def from_json(lines: DataFrame, schema: dict[str, str], time: str, zone: str = "UTC", column: str = "value") -> Live:
+    """A live series of JSON objects, one a row; malformed ones and those without a time are left out."""
+    kinds = ddl({n: ("string" if n == time else k) for n, k in schema.items()})
+    row = F.from_json(column, kinds)
+    df = lines.select(row.alias("r")).select("r.*").withColumn(time, parse_time(time, zone).cast("timestamp")).filter(F.col(time).isNotNull())
+    return Live(df, time)
+
+
 def event_rate(df: DataFrame, time: str, by: list[str] | None = None) -> DataFrame:
     """Rows per second of the retained extent (batch, or update mode)."""
     by = by or []

@@ -18,4 +18,4 @@ def test_unique_count(spark, monkeypatch):
     real = columns.unique_count
     monkeypatch.setattr(columns, "unique_count", lambda s, c: asked.append(c) or real(s, c))
     Q.column_reads(spark, SF)
-    assert asked == ["event_type"]
+    assert asked == ["user_id"]
