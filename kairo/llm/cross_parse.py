@@ -75,8 +75,10 @@ class Parser:
         for i, lang in enumerate(self.langs):
             s = symbols(np.frombuffer(samples[lang], np.uint8))
             seen = np.unique(s)
-            self.code[i, seen] = np.arange(1, len(seen) + 1)
-            go, width = automaton(self.code[i, s]), len(seen) + 1
+            number = np.zeros(256, np.int32)
+            number[seen] = np.arange(1, len(seen) + 1)
+            self.code[i] = number[FOLDED]
+            go, width = automaton(number[s]), len(seen) + 1
             t = np.full((len(go), width), -1, np.int64)
             for k, edges in enumerate(go):
                 for c, j in edges.items():

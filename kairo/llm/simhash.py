@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpoint, map_arrow
+from ._spark import checkpoint, map_arrow, row_key
 from ._text import buffers, column_of, steps
 from .bitsliced import fingerprints, forest
 from .components import star_components
+from .keep import first_of_each
 
 #: A key of more distinct fingerprints than this is split by sub-keys of its remaining bits.
 SPLIT_ABOVE = 1024
@@ -45,17 +46,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_docs(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, fp): one row per row of docs."""
+def fingerprint_docs(docs: DataFrame, doc_id: str, text: str, shingle: int, keys: bool = False) -> DataFrame:
+    """(doc_id, fp): one row per row of docs; with ``keys`` also k1 and k2, which name the row."""
+    names = ["k1", "k2"] * keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = buffers(column_of(batch, "text"))
             parts = [fingerprints(buf[off[a] : off[b]], off[a : b + 1] - off[a], shingle) for a, b in steps(off)]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in (*names, "doc_id")), pa.array(fp.view(np.int64))], names=[*names, "doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).transform(map_arrow, run, "doc_id long, fp long")
+    base = docs.select(*row_key(doc_id, text)[: len(names)], F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return base.transform(map_arrow, run, "k1 long, k2 long, " * keys + "doc_id long, fp long")
 
 
 #: Fingerprints, of many keys together, that one bit-sliced comparison holds; always whole keys.
@@ -134,18 +137,22 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     group of copies costs one fingerprint.
     """
     prints = checkpoint(fingerprint_docs(docs, doc_id, text, shingle))
+    of = _classes(prints, radius, split_above).select("fp", "component_id")
+    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _classes(prints: DataFrame, radius: int, split_above: int) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint."""
     least = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = star_components(fingerprint_links(least.select("fp"), radius, split_above))
     named = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = checkpoint(named.join(first, "root").select("fp", "component_id"))
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return checkpoint(named.join(first, "root").select("fp", "root", "component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """docs without the near copies: of each class the document with the smallest id stays.
-
-    Rows with a null id stay, as nothing names them; a repeated id stays as often as it is there.
-    """
-    gone = simhash_groups(docs, doc_id, text, shingle, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
+    """docs with exactly one row of each class of :func:`simhash_groups`: see :func:`.keep.first_of_each`."""
+    prints = checkpoint(fingerprint_docs(docs, doc_id, text, shingle, keys=True))
+    of = _classes(prints, radius, SPLIT_ABOVE)
+    rows = prints.join(of, "fp").select("k1", "k2", F.col("doc_id").alias("id"), "root")
+    return first_of_each(docs, rows, doc_id, text)

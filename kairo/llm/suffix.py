@@ -10,8 +10,6 @@ from .repeats import HOT, ByteFinish, remove_repeats
 from .sieve import Bytes
 
 WINDOW, GRAM = 200, 64
-#: Tells null texts from empty ones while their bytes are away.
-WAS_NULL = "__text_was_null"
 
 
 def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -34,17 +32,20 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cut, any U+FFFD).  Texts that lose nothing stay as they are, null ones null; a document of
     which only white space is left goes.
     """
-    flagged = docs.withColumn(WAS_NULL, F.col(text).isNull())
+    flag = "text_was_null"  # tells null texts from empty ones while their bytes are away
+    while flag in docs.columns:
+        flag += "_"
+    flagged = docs.withColumn(flag, F.col(text).isNull())
     done = remove_repeated_bytes(flagged, doc_id, text, window)
     whole = F.col("n_removed") == 0
     raw = F.col("kept").cast("string")
-    left = F.when(whole, F.when(~F.col(f"row.{WAS_NULL}"), raw)).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+    left = F.when(whole, F.when(~F.col(f"row.{flag}"), raw)).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
 
     def value(c: str):
         if c == text:
             return F.col("left")
         if c == n_chars:
-            return F.when(whole, F.col(f"row.{c}")).otherwise(F.char_length("left").cast("long"))
-        return F.col(f"row.{c}")
+            return F.when(whole, F.col(f"row.`{c}`")).otherwise(F.char_length("left").cast("long"))
+        return F.col(f"row.`{c}`")
 
     return done.withColumn("left", left).filter(whole | (F.trim("left") != "")).select(*[value(c).alias(c) for c in docs.columns])

@@ -161,6 +161,7 @@ def test_cross_parse_is_the_greedy_parse():
     p = cross_parse.Parser(samples)
     texts = [b"the rat sat", b"a cat and", b"the the the", b"mat", b"", b"?", "жаба đ да".encode(), b"xyx" * 5, "ж".encode()[1:] * 3]
     texts += [bytes(rng.choice(b"abt h") for _ in range(n)) for n in (1023, 1024, 1025, 2048, 5000, 9000)]
+    texts += [b"THE Cat, sat!! On", b"THE!! MAT.\n\n(and) 12 the-rat" * 90, "ДАЖЕ жаба!".encode()]
     texts += [b"a" * 7000, b"ab" * 3000, (b"the cat sat on " * 400), "даже ".encode() * 900]
     got = p.phrases(*batch(texts))
     for i, lang in enumerate(p.langs):
