@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_rows, queries_streams, queries_tracks  # noqa: F401  (they add theirs)
+    from . import queries_marks, queries_rows, queries_streams, queries_tracks  # noqa: F401  (they add theirs)
 
     return dict(_QUERIES)
 
