@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -23,6 +24,8 @@ MARGINS = ("source", "lang", "topic")
 #: Cells (source x language x topic) that the driver rakes itself; more are raked in DataFrames.
 MAX_CELLS = 200_000
 ROUNDS, CLOSE = 200, 1e-9
+#: A share that is off its target by more than this is told of.
+UNMET = 1e-3
 #: Share of all tokens to draw, and how far targets are flattened from the present shares.
 BUDGET, TEMPERATURE = 0.5, 0.5
 NONE = "\x00"
@@ -228,6 +231,33 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]], rounds
     return m
 
 
+def unmet(cells: pd.DataFrame, m: np.ndarray, targets: Mapping[str, Mapping[str, float]]) -> float:
+    """How far the worst margin's share is off its target after raking; targets of what has no tokens don't count."""
+    raked = cells["tokens"].to_numpy(float) * m
+    worst, total = 0.0, max(raked.sum(), 1e-300)
+    for margin in MARGINS:
+        have = pd.Series(cells["tokens"].to_numpy(float)).groupby(cells[margin].to_numpy()).sum()
+        got = pd.Series(raked).groupby(cells[margin].to_numpy()).sum() / total
+        goal = pd.Series({v: targets[margin].get(v, 0.0) if t > 0 else 0.0 for v, t in have.items()})
+        if goal.sum() > 0:
+            worst = max(worst, float((got - goal / goal.sum()).abs().max()))
+    return worst
+
+
+def _tell(off: float) -> None:
+    if off > UNMET:
+        warnings.warn(f"margins contradict each other: after {ROUNDS} rounds a share is still {off:.4f} off its target", stacklevel=3)
+
+
+def margins(mixed: DataFrame) -> DataFrame:
+    """(margin, value, share, raked): each value's share of the tokens as they are and as they are weighted."""
+    cells = mixed.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("tokens"), F.sum(F.col("n_tokens") * F.col("weight")).alias("raked"))
+    one = lambda c: F.struct(F.lit(c).alias("margin"), F.col(c).alias("value"))
+    long = cells.select("tokens", "raked", F.explode(F.array(*[one(c) for c in MARGINS])).alias("x")).groupBy("x.margin", "x.value").agg(F.sum("tokens").alias("tokens"), F.sum("raked").alias("raked"))
+    total = cells.agg(F.sum("tokens").alias("t"), F.sum("raked").alias("r"))
+    return long.join(F.broadcast(total)).select("margin", "value", (F.col("tokens") / F.col("t")).alias("share"), (F.col("raked") / F.col("r")).alias("raked"))
+
+
 def rake_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], temperature: float, rounds: int = ROUNDS) -> DataFrame:
     """The same where there are too many cells for the driver: a column ``m`` beside the cells."""
     spark = cells.sparkSession
@@ -253,6 +283,8 @@ def rake_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | No
         now = now.drop(*[f"off_{m}" for m in MARGINS])
         if off < CLOSE:
             break
+    else:
+        _tell(off)
     return now
 
 
@@ -274,7 +306,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 
     Tokens (words) of each source, language and topic are raked until the shares of all
     three margins meet their ``targets`` (by default the present shares to the power
-    ``temperature``).  A cell's weight is its raked over its present tokens; a document's
+    ``temperature``), in ROUNDS rounds at most, on the driver or, beyond ``max_cells`` cells, in
+    DataFrames: the same rounds, stop and result.  Margins that contradict each other can't
+    all be met; a warning then says how far off the worst share is (see :func:`margins`).  A cell's weight is its raked over its present tokens; a document's
     probability is min(1, s * weight) with the one s that makes the expected tokens
     ``budget`` of all; it is sampled if a hash of its id, text and the seed falls below that.
 
@@ -298,6 +332,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
         total = local["tokens"].sum()
         goals = {m: targets.get(m) or flattened((local.groupby(m)["tokens"].sum() / max(total, 1)).to_dict(), temperature) for m in MARGINS}
         local["m"] = rake(local, goals)
+        _tell(unmet(local, local["m"].to_numpy(), goals))
 
         def sums(s: float) -> tuple[float, float]:
             full = s * local["m"] >= 1

@@ -48,6 +48,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of margins on positives and on unlabelled texts, and the step's derivatives by them.
+
+    Where the part that stands for negatives is below zero the derivatives are those of minus that
+    part: the step then undoes what fitted positives in the unlabelled text.
+    """
+    sp, su = sigmoid(gp), sigmoid(gu)
+    positive = prior * np.logaddexp(0, -gp).mean()
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    if negative >= 0:
+        return positive + negative, prior * (sp - 1 - sp) / len(gp), su / len(gu)
+    return positive, prior * sp / len(gp), -su / len(gu)
+
+
 def train(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, l1: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias.  Features that :data:`SCREEN` passes over keep the weight 0."""
     size = 1 << BITS
@@ -70,13 +84,7 @@ def train(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarray]
     (pf, pa_, pt), (uf, ua, ut) = shrink(pos), shrink(unl)
     v, m1, m2 = np.zeros(len(used)), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, rounds + 1):
-        gp, gu = margins(v, b, pf, pa_), margins(v, b, uf, ua)
-        sp, su = sigmoid(gp), sigmoid(gu)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        along = 1.0 if negative >= 0 else -1.0
-        # d l(g)/dg = s - 1 on positives; d l(-g)/dg = s
-        dp = prior * ((sp - 1) * (along > 0) - along * sp) / np_
-        du = along * su / nu
+        _, dp, du = risk(margins(v, b, pf, pa_), margins(v, b, uf, ua), prior)
         grad = np.bincount(pf, weights=dp[pt], minlength=len(used)) + np.bincount(uf, weights=du[ut], minlength=len(used))
         grad = np.append(grad, dp.sum() + du.sum())
         m1 = 0.9 * m1 + 0.1 * grad
