@@ -11,7 +11,7 @@ from ..functions.frames import in_order, join_on
 from ..functions.reducers import NUMERIC, Output, Reducer, of_nothing, outputs, reduce
 from ..functions.time import from_us
 from ..series import Series
-from .grid import Calendar, Every, Intervals, Sequence, sample_point, spine, to_us
+from .grid import BLOCK, Calendar, Every, Intervals, Sequence, sample_point, spine, to_us
 from .joins import CELL, interval_join
 
 Mapping_ = Mapping[str, Reducer | tuple[str, Reducer]]
@@ -147,7 +147,8 @@ def by_column(s: Series, column: str, mapping: Mapping_, width: float | None = N
         b = F.when(v < F.lit(origin) + b * width, b - 1).when(v >= F.lit(origin) + (b + 1) * width, b + 1).otherwise(b)
         agg = ok.withColumn("__bin", b).groupBy(*s.by, "__bin").agg(*reducers(s, outs))
         extent = agg.groupBy(*s.by).agg(F.min("__bin").alias("lo"), F.max("__bin").alias("hi")).filter("lo is not null")
-        grid = extent.select(*s.by, F.explode(F.sequence("lo", "hi")).alias("__bin"))
+        blocks = extent.select(*s.by, "hi", F.explode(F.sequence(F.col("lo"), F.col("hi"), F.lit(BLOCK).cast("bigint"))).alias("from"))
+        grid = blocks.select(*s.by, F.explode(F.sequence(F.col("from"), F.least(F.col("hi"), F.col("from") + BLOCK - 1))).alias("__bin"))
         start, end = F.lit(origin) + F.col("__bin") * width, F.lit(origin) + (F.col("__bin") + 1) * width
     else:
         if len(edges) < 2 or any(b <= a for a, b in zip(edges, edges[1:], strict=False)) or inclusive not in ("[)", "(]"):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.time import duration_us, us
 
 SAMPLES = ("begin", "center", "end")
+#: Buckets that one row lists before they become rows.
+BLOCK = 10_000
 
 
 def to_us(t: datetime | int) -> int:
@@ -135,6 +137,11 @@ def spine(bounds: DataFrame, by: list[str], seq: Sequence, sample: str = "begin"
         raise ValueError(f"not a sample point: {sample!r}")
     if isinstance(seq, Intervals):
         return bounds.select(*by).join(F.broadcast(seq.frame(bounds.sparkSession))) if by else seq.frame(bounds.sparkSession)
+    if isinstance(seq, Every):  # a long range in blocks, so that no row holds all of its begins
+        reach = seq.step * BLOCK
+        blocks = bounds.withColumn("__from", F.explode(F.sequence(F.col("__lo"), F.col("__hi"), F.lit(reach).cast("bigint"))))
+        till = F.col("__from") + F.lit(reach - (0 if sample == "end" else 1))
+        bounds = blocks.select(*by, F.col("__from").alias("__lo"), F.least("__hi", till).alias("__hi"))
     out = bounds.select(*by, F.explode(seq.begins(F.col("__lo"), F.col("__hi"), sample)).alias("__b"))
     return out.withColumn("__e", seq.end(F.col("__b")))
 

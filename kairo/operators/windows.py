@@ -38,7 +38,16 @@ def frame_of(width: int | float, alignment: str, whole: bool = True) -> tuple[in
 
 def over_range(s: Series, back, ahead, columns: Mapping[str, Callable[[WindowSpec], Column]], at: Column | None = None) -> DataFrame:
     """Adds columns, each an aggregate over the rows at most ``back`` before and ``ahead`` after."""
+    return over_ranges(s, [(back, ahead, columns)], at)
+
+
+Frames = list[tuple[int | float, int | float, Mapping[str, Callable[[WindowSpec], Column]]]]
+
+
+def over_ranges(s: Series, frames: Frames, at: Column | None = None) -> DataFrame:
+    """The same for several frames: rows are dealt once, for the widest, and all frames share one sort."""
     at = s.at if at is None else at
+    back, ahead = max(f[0] for f in frames), max(f[1] for f in frames)
     size = max(CHUNK * (back + ahead), 1)
     chunked = s.df.withColumn("__at", at)
     home = F.floor(F.col("__at") / F.lit(size))
@@ -46,12 +55,15 @@ def over_range(s: Series, back, ahead, columns: Mapping[str, Callable[[WindowSpe
     # a row without a place on the axis has an empty window and keeps its position
     chunks = F.when(F.col("__at").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(lo, hi))
     chunked = chunked.withColumn("__home", home).withColumn("__chunk", F.explode(chunks))
-    if all(float(x).is_integer() for x in (back, ahead)):
-        w = Window.partitionBy(*s.by, "__chunk").orderBy("__at").rangeBetween(-int(back), int(ahead))
-    else:  # frames take whole bounds: measure the axis in the window's own reach
-        reach = max(back, ahead)
-        w = Window.partitionBy(*s.by, "__chunk").orderBy(F.col("__at") / F.lit(reach)).rangeBetween(-round(back / reach), round(ahead / reach))
-    out = chunked.withColumns({n: F.when(F.col("__at").isNotNull(), c(w)) for n, c in columns.items()})
+
+    def window(back, ahead) -> WindowSpec:
+        if all(float(x).is_integer() for x in (back, ahead)):
+            return Window.partitionBy(*s.by, "__chunk").orderBy("__at").rangeBetween(-int(back), int(ahead))
+        reach = max(back, ahead)  # frames take whole bounds: measure the axis in the window's own reach
+        return Window.partitionBy(*s.by, "__chunk").orderBy(F.col("__at") / F.lit(reach)).rangeBetween(-round(back / reach), round(ahead / reach))
+
+    cols = {n: F.when(F.col("__at").isNotNull(), c(window(x, y))) for x, y, columns in frames for n, c in columns.items()}
+    out = chunked.withColumns(cols)
     return out.filter("__chunk <=> __home").drop("__at", "__home", "__chunk")
 
 
@@ -84,17 +96,18 @@ def rolling(s: Series, window: str | int | float | None, mapping: Mapping_, alig
 
 
 def rolling_fused(s: Series, windows: Mapping[str, Mapping_], alignment: str = "trailing", min_samples: int = 0) -> Series:
-    """Several windows at once; frames of one length share a sort, names must differ."""
+    """Several windows at once, dealt for the widest and over one sort; names must differ."""
     names = [n for m in windows.values() for n in m]
     if len(set(names)) < len(names):
         raise ValueError("output names must differ")
-    cur, made = s, []
+    frames, made = [], []
     for width, mapping in windows.items():
         outs = outputs(mapping, [*s.values, *s.by])
         cols = _reduced(s, outs) | {f"__rows_{width}": lambda w: F.count(F.lit(1)).over(w)}
-        cur = s.with_df(over_range(cur, *frame_of(s.us(width), alignment), cols))
+        frames.append((*frame_of(s.us(width), alignment, s.kind != "value"), cols))
         made += _masked(outs, min_samples, f"__rows_{width}")
-    return s.with_df(cur.df.select(*[F.col(c) for c in s.df.columns if c not in s.values], *made))
+    df = over_ranges(s, frames)
+    return s.with_df(df.select(*[F.col(c) for c in s.df.columns if c not in s.values], *made))
 
 
 def rolling_on(s: Series, seq: Sequence, window: str | int, mapping: Mapping_, alignment: str = "trailing", sample: str = "begin", span: tuple | None = None, min_samples: int = 0) -> Series:

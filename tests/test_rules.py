@@ -446,3 +446,16 @@ def test_reservoirs_are_of_each_partition_and_repeatable(spark):
 def test_slots_that_lead_back_are_named(spark):
     with pytest.raises(ValueError, match="a -> b -> a"):
         plan.expand_slots({"slot": "a"}, {"a": {"op": "diff", "inputs": [{"slot": "b"}]}, "b": {"op": "diff", "inputs": [{"slot": "a"}]}})
+
+
+def test_long_grids_come_in_blocks(spark, monkeypatch):
+    s = points(spark, [(3, 1.0, "a"), (987, 2.0, "a"), (40, 3.0, "b"), (41, 3.0, "b")], value="number", host="string").partition_by("host")
+    want = {}
+    for block in (10_000, 7, 1):
+        monkeypatch.setattr(grid, "BLOCK", block)
+        monkeypatch.setattr(agg, "BLOCK", block)
+        for sample in grid.SAMPLES:
+            got = sorted(map(tuple, grid.spine(agg.bounds(s), ["host"], grid.every(10), sample).collect()))
+            assert len(got) >= 98 and got == want.setdefault(sample, got)
+        got = sorted(map(tuple, agg.by_column(s, "value", {"n": ("value", "count")}, width=0.01).collect()))
+        assert len(got) == 102 and got == want.setdefault("bins", got)
