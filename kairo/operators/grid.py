@@ -101,6 +101,24 @@ class Intervals:
             if b <= a or (nxt[0] is not None and nxt[0] < b):
                 raise ValueError("intervals must be positive, sorted and must not overlap")
 
+    def __len__(self) -> int:
+        return len(self.spans)
+
+    def at(self, i: int) -> tuple[int, int] | None:
+        return self.spans[i] if -len(self.spans) <= i < len(self.spans) else None
+
+    def first(self) -> tuple[int, int] | None:
+        return self.at(0)
+
+    def last(self) -> tuple[int, int] | None:
+        return self.at(-1)
+
+    def time_range(self) -> tuple[int, int] | None:
+        return (self.spans[0][0], self.spans[-1][1]) if self.spans else None
+
+    def slice(self, begin: int | None = None, end: int | None = None) -> Intervals:
+        return Intervals(self.spans[begin:end])
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.spans), "__b bigint, __e bigint")
 

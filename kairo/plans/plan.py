@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Mapping
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +141,17 @@ def run(series: Series, ops: Ops, plan: Mapping[str, Spec | str], select: list[s
     return s.df.select(*s.by, *s.key, *[F.col(c).alias(n) for n, c in cols.items()]), errors
 
 
+def run_range(series: Series, ops: Ops, plan: Mapping[str, Spec | str], begin: int, end: int, slots: Mapping[str, Spec] | None = None) -> DataFrame:
+    """The same outputs for rows ``begin`` to ``end`` (from 0, end left out) of each partition only: of the others
+    just as many are read as the specs' history needs.  Exact for ops whose history is finite."""
+    specs = [expand_slots(s, slots or {}) for s in plan.values()]
+    reach = max((ops.required_history(s) for s in specs), default=0)
+    near = series.with_df(series.numbered().filter((F.col("__n") > begin - reach) & (F.col("__n") <= end)))
+    kept = dict(plan) | {"__n": "__n"}
+    out, _ = run(near, ops, kept, slots=slots)
+    return out.filter(F.col("__n") > begin).drop("__n")
+
+
 # -- folds: one row of facts ---------------------------------------------------------
 
 
@@ -204,3 +217,27 @@ class Host:
 
     def run(self, source: str, plan: Mapping[str, Spec | str], **options) -> tuple[DataFrame, dict[str, str]]:
         return run(self.sources.get(source), self.ops, plan, **options)
+
+    def run_async(self, source: str, plan: Mapping[str, Spec | str], **options) -> Future:
+        """The wire form of the outputs and the errors, computed beside the caller's thread."""
+        if not hasattr(self, "_pool"):
+            self._pool = ThreadPoolExecutor(4, thread_name_prefix="host")
+
+        def work():
+            df, errors = self.run(source, plan, **options)
+            return to_wire(df), errors
+
+        return self._pool.submit(work)
+
+
+def to_wire(df: DataFrame) -> bytes:
+    """The rows as an Arrow stream, for another process; they come to the driver, so the caller bounds them."""
+    table = df.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def from_wire(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()

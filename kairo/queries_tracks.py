@@ -306,3 +306,20 @@ def plan_identities(spark, d):
     }
     return spark.createDataFrame(list(got.items()), "what string, holds boolean")
 
+
+
+@query("""
+WITH x AS (SELECT event_id, avg(value) OVER w AS a, count(*) OVER w AS c, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dv, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING))
+SELECT event_id, round(CASE WHEN c >= 5 THEN a END, 6) AS mean, round(dv, 6) AS step FROM x WHERE n BETWEEN 11 AND 30
+""")
+def plan_of_a_range(spark, d):
+    value = builder.col("value")
+    spec = builder.plan(mean=value.op("sma", period=5), step=value.op("diff"), id=builder.col("event_id"))
+    out = plan.run_range(events(spark, d).partition_by("user_id"), plan.standard_ops(), spec, 10, 30)
+    return out.select(F.col("id").alias("event_id"), *r6("mean", "step"))
+
+
+@query("SELECT event_id, ts + INTERVAL 1 HOUR AS time, round(value * 2, 6) AS value, user_id + 1 AS next, round(avg(value * 2) OVER (ORDER BY ts, event_id ROWS 2 PRECEDING), 6) AS mean FROM events QUALIFY row_number() OVER (ORDER BY ts, event_id) > 2")
+def rows_changed_in_a_chain(spark, d):
+    s = events(spark, d).merge({"value": F.col("value") * 2, "next": F.col("user_id") + 1}).with_key(F.col("ts") + F.expr("interval 1 hour"))
+    return s.pipe(studies.sma, 3, "value", output="mean").filter("mean is not null").df.select("event_id", "time", *r6("value"), "next", *r6("mean"))

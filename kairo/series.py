@@ -340,8 +340,30 @@ class Series:
         s = self.as_range(begin, end)
         return Series(s.df.withColumn(name, label), "interval", (begin, end, name), self.by, self.seq)
 
-    def by_value(self, axis: str) -> Series:
-        """Re-keys on a non-decreasing number; rows without one go, and so does the time key."""
+    def with_key(self, time: Column, name: str = "time") -> Series:
+        """The same rows at other times."""
+        keep = [c for c in self.df.columns if c not in self.key and c != name]
+        return Series(self.df.select(time.alias(name), *keep), "time", (name,), self.by, self.seq)
+
+    def merge(self, exprs: Mapping[str, Column]) -> Series:
+        """Values set or added, the others stay."""
+        taken = {*self.key, *self.by, *([self.seq] if self.seq else [])} & set(exprs)
+        if taken:
+            raise ValueError(f"not values: {sorted(taken)}")
+        return self.with_df(self.df.withColumns(dict(exprs)))
+
+    def pipe(self, fn: Callable[..., object], *args, **options):
+        """fn(self, ...): any operator or study as a link of a chain."""
+        return fn(self, *args, **options)
+
+    def by_value(self, axis: str, checked: bool = False) -> Series:
+        """Re-keys on a non-decreasing number; rows without one go, and so does the time key.  ``checked`` is an
+        action: it raises where the number falls from one row to the next."""
+        if checked:
+            x = F.col(axis).cast("double")
+            falls = self.filter(x.isNotNull() & ~F.isnan(x)).df.select((x < F.lag(x).over(self.rows())).alias("back"))
+            if falls.filter("back").limit(1).count():
+                raise ValueError(f"{axis!r} falls along the key")
         df = self.df.filter(F.col(axis).isNotNull() & ~F.isnan(F.col(axis).cast("double")))
         return Series(df.drop(*self.key).withColumn(axis, F.col(axis).cast("double")), "value", (axis,), self.by, self.seq)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import parse_time
+from ..functions.time import from_us, parse_time
 from ..series import Series
 
 KINDS = {"number": "double", "string": "string", "boolean": "boolean", "time": "timestamp_ntz"}
@@ -41,16 +42,34 @@ def from_columns(spark: SparkSession, columns: dict[str, list], schema: dict[str
     return from_rows(spark, [tuple(ok(x, schema[n]) for n, x in zip(schema, r, strict=True)) for r in zip(*(columns[n] for n in schema), strict=True)], schema, seq, **key)
 
 
-def from_arrow(spark: SparkSession, table: pa.Table, time: str | None = None, columns: list[str] | None = None, **key) -> Series:
+#: Microseconds of a unit of whole-number times.
+UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1, "ns": 1e-3}
+
+
+def from_arrow(spark: SparkSession, table: pa.Table, time: str | None = None, columns: list[str] | None = None, time_unit: str = "ms", sort: bool = True, **key) -> Series:
+    """An Arrow table.  Keys are timestamps, or whole numbers in ``time_unit`` ('s', 'ms', 'us', 'ns'); a point's
+    ``time``, or ``begin`` and ``end`` and ``label`` as the key's columns are named.  Without ``sort`` a key that
+    isn't in order is an error: an order is a promise that the caller then makes."""
+    if time_unit not in UNITS:
+        raise ValueError(f"not a unit: {time_unit!r}")
     for f in table.schema:
         if any(refused(f.type) for refused in ARROW_REFUSED):
             raise TypeError(f"unsupported Arrow type {f.type} of {f.name!r}")
     name = time or next((v for v in key.values() if isinstance(v, str)), None)
     if name and table[name].null_count:
         raise ValueError("the key has nulls")
-    keep = table.select(list(dict.fromkeys([*([time] if time else []), *(columns or table.column_names)]))) if columns else table
+    if not sort and name and table.num_rows > 1:
+        k = table[name].combine_chunks()
+        if pc.any(pc.less(k.slice(1), k.slice(0, len(k) - 1))).as_py():
+            raise ValueError(f"{name!r} isn't in order")
+    names = [v for v in (time, *(key.get(k) for k in ("begin", "end", "label", "value"))) if v]
+    keep = table.select(list(dict.fromkeys([*names, *columns]))) if columns else table
     keep = keep.append_column("__seq", pa.array(range(keep.num_rows), pa.int64()))
-    return Series.of(spark.createDataFrame(keep), time=time, seq="__seq", **key)
+    df = spark.createDataFrame(keep)
+    for c in (time, key.get("begin"), key.get("end")):
+        if c and pa.types.is_integer(table.schema.field(c).type):
+            df = df.withColumn(c, from_us(F.floor(F.col(c) * UNITS[time_unit]).cast("bigint")))
+    return Series.of(df, time=time, seq="__seq", **key)
 
 
 def from_json(spark: SparkSession, path: str, schema: dict[str, str], time: str, zone: str = "UTC", seq: str | None = None) -> Series:
@@ -82,9 +101,13 @@ def _in_order(s: Series) -> DataFrame:
     return s.df.orderBy(*s.by, *s.key, *([s.seq] if s.seq else []))
 
 
-def to_json_rows(s: Series) -> DataFrame:
-    """A JSON object per row; missing is null."""
+def to_json_rows(s: Series, arrays: bool = False) -> DataFrame:
+    """A JSON object per row, or an array of its cells in the columns' order; missing is null."""
     cols = [c for c in s.df.columns if c != s.seq]
+    if arrays:
+        options = {"timestampNTZFormat": MICROS, "timestampFormat": f"{MICROS}XXX"}
+        bare = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), options | {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
+        return s.df.select(F.concat(F.lit("["), F.concat_ws(",", *map(bare, cols)), F.lit("]")).alias("json"))
     return s.df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "timestampNTZFormat": MICROS, "timestampFormat": f"{MICROS}XXX"}).alias("json"))
 
 

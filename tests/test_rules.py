@@ -459,3 +459,54 @@ def test_long_grids_come_in_blocks(spark, monkeypatch):
             assert len(got) >= 98 and got == want.setdefault(sample, got)
         got = sorted(map(tuple, agg.by_column(s, "value", {"n": ("value", "count")}, width=0.01).collect()))
         assert len(got) == 102 and got == want.setdefault("bins", got)
+
+
+def test_arrow_keys_of_any_unit_and_kind(spark):
+    import pyarrow as pa
+
+    for unit, scale in (("s", 1), ("ms", 1000), ("us", 10**6), ("ns", 10**9)):
+        s = tables.from_arrow(spark, pa.table({"t": pa.array([2 * scale, 5 * scale]), "x": [1.0, 2.0]}), time="t", time_unit=unit)
+        assert vals(s.df.orderBy("t"), "t") == [(ms(2000),), (ms(5000),)]
+    t = pa.table({"b": pa.array([5000, 0]), "e": pa.array([6000, 4000]), "l": ["x", "y"], "v": [1.0, 2.0], "w": [0, 0]})
+    s = tables.from_arrow(spark, t, begin="b", end="e", label="l", columns=["v"])
+    assert s.kind == "interval" and s.values == ["v"] and vals(s.first(), "l") == [("y",)]
+    with pytest.raises(ValueError, match="order"):
+        tables.from_arrow(spark, t, begin="b", end="e", sort=False)
+    with pytest.raises(ValueError, match="unit"):
+        tables.from_arrow(spark, t, begin="b", end="e", time_unit="h")
+
+
+def test_axes_that_fall_and_explicit_sequences(spark):
+    s = points(spark, [(0, 1.0), (1, 3.0), (2, 2.0)])
+    with pytest.raises(ValueError, match="falls"):
+        s.by_value("value", checked=True)
+    assert s.map({"value": F.col("__seq")}).by_value("value", checked=True).df.count() == 3
+    b = grid.bounded([(ms(0), ms(5)), (ms(7), ms(9)), (ms(9), ms(10))])
+    assert len(b) == 3 and b.first() == (0, 5000) and b.last() == b.at(-1) == (9000, 10000) and b.at(7) is None and b.time_range() == (0, 10000) and len(b.slice(1)) == 2
+
+
+def test_rows_as_json_arrays(spark):
+    import json
+
+    s = tables.from_rows(spark, [(ms(0.25), 1.5, "a\"]}", ["x", None]), (ms(1), None, None, None)], {"time": "time", "v": "number", "t": "string", "g": "array<string>"})
+    assert sorted((json.loads(r[0]) for r in tables.to_json_rows(s, arrays=True).collect()), key=str) == sorted([["1970-01-01T00:00:00.000250", 1.5, "a\"]}", ["x", None]], ["1970-01-01T00:00:00.001000", None, None, None]], key=str)
+
+
+def test_host_answers_beside_the_caller(spark):
+    host = plan.Host()
+    host.sources.define("p", lambda: points(spark, [(0, 1.0), (1, 3.0)]))
+    raw, errors = host.run_async("p", {"d": builder.col("value").op("diff").spec, "bad": "nope"}, on_error="collect").result(timeout=60)
+    assert plan.from_wire(raw)["d"].to_pylist() == [None, 2.0] and set(errors) == {"bad"}
+
+
+def test_state_expires_and_grace_fits_retention(spark, stream):
+    s = stream([(0, "a", 1.0), (10, "a", 2.0), (600_000, "b", 1.0), (1_200_000, "b", 2.0), (1_200_010, "a", 4.0)], 5)
+    timed = live.Live(s.df, "time", ("host",), expire="1m")
+    got = rows_of(timed.through(live.Cumulative({"value": "sum"}), "k"), "expiring", "host", "value")
+    assert ("a", 4.0) in got and ("a", 7.0) not in got  # the watermark had passed its last row by a minute
+    kept = rows_of(s.through(live.Cumulative({"value": "sum"}), "k"), "staying", "host", "value")
+    assert ("a", 7.0) in kept
+    with pytest.raises(ValueError, match="grace"):
+        live.Live(s.df, "time", ("host",), grace="30 seconds").through(live.Retain(max_age="10s"))
+    gone = rows_of(s.through(live.Retain(2), "k"), "retired", "host", "value")
+    assert sorted(gone) == [("a", 1.0)]
