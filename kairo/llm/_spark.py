@@ -101,6 +101,23 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Lines of a table that is broadcast to many rows; of more, each line is dealt to SALTS places.
+MEET, SALTS = 20_000, 32
+
+
+def meet(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows with the line of ``small`` (a written table, a line a key) that has their key.
+
+    One key may be a third of all rows: they must not go to one task.  Up to MEET lines, which are
+    counted, are broadcast; of more the rows of a key are dealt by a hash of the whole row.
+    """
+    if small.count() <= MEET:
+        return rows.join(F.broadcast(small), key, how)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int")
+    lines = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt).join(lines, [key, "__salt"], how).drop("__salt")
+
+
 def held_out(doc_id: str | Column) -> Column:
     """True where crc32 of the id's decimal text is divisible by five; null ids are held out too."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import meet, written
 
 #: Share of a group's rows that the estimate is of, and the most steps.
 ALPHA, STEPS = 0.75, 40
@@ -139,7 +139,7 @@ def _bin(p: int) -> Column:
 
 def step(rows: DataFrame, model: DataFrame, p: int, floors: list[float], alpha: float) -> DataFrame:
     """One concentration step of each group and start in ``model``."""
-    placed = rows.join(model.select("g", "s", "n", "centre", "precision", "bound"), "g").withColumn("dist", F.greatest(distance(p), F.lit(0.0)))
+    placed = meet(rows, model.select("g", "s", "n", "centre", "precision", "bound"), "g").withColumn("dist", F.greatest(distance(p), F.lit(0.0)))
     names = [f"s{i}" for i in range(p)] + [f"q{i}_{j}" for i, j in _pairs(p)]
     sums = [F.sum(f"f{i}").alias(f"s{i}") for i in range(p)] + [F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"q{i}_{j}") for i, j in _pairs(p)]
     bins = placed.withColumn("bin", _bin(p)).groupBy("g", "s", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.max("dist").alias("far"), *sums)
@@ -159,14 +159,14 @@ def fit(rows: DataFrame, p: int, floors: list[float], alpha: float = ALPHA, step
     singular; determinants are compared with them.  ``settled`` is false where the determinant
     still fell after so many steps.
     """
-    middle = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"f{i}", 0.5, 1000).alias(f"m{i}") for i in range(p)])
-    spread = rows.join(middle, "g").groupBy("g").agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(f"f{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(p)])
+    middle = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"f{i}", 0.5, 1000).alias(f"m{i}") for i in range(p)]))
+    spread = meet(rows, middle, "g").groupBy("g").agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(f"f{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(p)])
     spread = written(spread)
     unit = [(F.col(f"f{i}") - F.col(f"m{i}")) / F.sqrt(F.pow(F.col(f"d{i}") * 1.4826, 2) + floors[i] ** 2) for i in range(p)]
     norm = sum((u * u for u in unit), F.lit(0.0))
     sums = [F.sum(f"f{i}").alias(f"s{i}") for i in range(p)] + [F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"q{i}_{j}") for i, j in _pairs(p)]
     signs = [F.sum(F.when(norm > 0, unit[i] * unit[j] / norm).otherwise(0.0)).alias(f"u{i}_{j}") for i, j in _pairs(p)]
-    moments = rows.join(spread.drop("n"), "g").groupBy("g").agg(*sums, *signs)
+    moments = meet(rows, spread.drop("n"), "g").groupBy("g").agg(*sums, *signs)
     now = written(spread.join(moments, "g").mapInPandas(_starts(p, floors), MODEL))
     done = None
     for _ in range(steps):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mcd
-from ._spark import checkpoint, map_arrow
+from ._spark import checkpoint, map_arrow, meet, written
 from ._text import buffers, column_of, steps
 from .stats import text_stats
 
@@ -51,10 +51,10 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
     lang = F.coalesce("lang", F.lit("\x00"))
     fine = F.concat_ws("\x1f", F.lit("group"), lang, F.coalesce("source", F.lit("\x00")))
     rows = rows.withColumn("fine", fine)
-    size = rows.groupBy("fine").agg(F.count(F.lit(1)).alias("n"), F.first(lang).alias("of"))
+    size = written(rows.groupBy("fine").agg(F.count(F.lit(1)).alias("n"), F.first(lang).alias("of")))
     pools = size.filter(F.col("n") < least).groupBy("of").agg(F.sum("n").alias("pooled"))
     name = F.when(F.col("n") >= least, F.col("fine")).when(F.col("pooled") >= least, F.concat_ws("\x1f", F.lit("pool"), "of")).otherwise(F.lit("all"))
-    return rows.join(size.join(pools, "of", "left").select("fine", name.alias("g")), "fine").drop("fine")
+    return meet(rows, written(size.join(pools, "of", "left").select("fine", name.alias("g"))), "fine").drop("fine")
 
 
 def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST, tail: float = TAIL) -> DataFrame:
@@ -76,7 +76,7 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     passed = stats.filter("not base_failed").select("*", *[F.expr(e).alias(f"f{i}") for i, e in enumerate(VECTOR.values())])
     vectors = checkpoint(_grouped(passed, least))
     model = mcd.fit(vectors.select("g", *[f"f{i}" for i in range(p)]), p, [FLOOR] * p)
-    judged = vectors.join(model.filter(F.col("n") >= least).select("g", "centre", "precision"), "g", "left").withColumn("distance", mcd.distance(p))
+    judged = meet(vectors, model.filter(F.col("n") >= least).select("g", "centre", "precision"), "g", "left").withColumn("distance", mcd.distance(p))
     bound = mcd.chi2_quantile(1 - tail, p)
     out = ["doc_id", *STATS, "base_failed"]
     kept = F.coalesce(F.col("distance") <= bound, F.lit(True)).alias("kept")

@@ -63,3 +63,15 @@ def test_each_step_takes_the_nearest_h_rows(spark):
     d = np.einsum("ni,ij,nj->n", x - r.centre, prec, x - r.centre)
     inner = x[np.argsort(d)[:300]]
     assert np.allclose(inner.mean(axis=0), r.centre, atol=1e-4)  # a fixed point of the step
+
+
+def test_many_groups_are_met_by_salted_keys(spark, monkeypatch):
+    from kairo.llm import _spark
+
+    rng = np.random.default_rng(4)
+    rows = [(f"g{int(i) % 3 if i < 200 else 0}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "g string, f0 double, f1 double")
+    want = {r.g: r for r in mcd.fit(df, 2, [0.05, 0.05]).collect()}
+    monkeypatch.setattr(_spark, "MEET", 0)
+    got = {r.g: r for r in mcd.fit(df, 2, [0.05, 0.05]).collect()}
+    assert set(got) == set(want) and all(got[g].n == want[g].n and abs(got[g].log_det - want[g].log_det) < 1e-6 for g in want)
