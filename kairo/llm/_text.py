@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from xxhash import xxh3_64_intdigest
 
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15

@@ -16,8 +16,8 @@ from ._text import LOWER, NOT_LETTER, U64, buffers, column_of, steps, word_hashe
 
 #: Topics are the nearest of so many centres over hashed words; fitted on all documents in so many rounds at most.
 TOPICS, WIDTH, TOPIC_ROUNDS, UNIT = 8, 512, 25, 1 << 20
-#: Blocks of vectors (a megabyte of text each) that one task of a round adds up.
-TASK_BLOCKS = 128
+#: Blocks of vectors (half a megabyte of text each) that one task of a round adds up.
+TASK_BLOCKS = 256
 #: Only where the rounds start is taken from a sample of texts of so many characters at most.
 START_DOCS, START_CHARS = 2000, 50_000
 MARGINS = ("source", "lang", "topic")

@@ -44,6 +44,8 @@ HOT = 512
 GROUP = 1 << 18
 #: Buckets of anchors to a shuffle partition.
 BUCKETS = 4
+#: Units of hot segments that are hashed at a time.
+HASHED = 1 << 17
 #: Shares of the slices; a kernel that merges sees each as a shard.
 SHARDS = 4
 DROPPED, SETTLED, OPEN, HOTTER = 0, 1, 2, 3
@@ -270,12 +272,16 @@ def _say(kind, window: int, gram: int, buckets: int, bases: tuple[int, int]):
                         out.append((SEGMENT, 0, 0, shard, v[at[i]], said[i, 0], said[i, 1], t, many[i], units[begin[i] : end[i]].tobytes(), None, None))
                 at = np.flatnonzero(c == HOTTER)
                 if len(at):
-                    hashed = kind.hashed(units)
-                    one, two = (Secret(hashed, b) for b in bases)
                     many = (r.hi[at] - r.lo[at] + 1).astype(np.int64)
-                    w = repeat_ranges(r.lo[at], many)
-                    x = w + np.repeat(uo[r.doc[at]], many)
-                    heat.append((np.repeat(r.doc[at] + a, many), w.astype(np.int32), one.of(x, x + window), two.of(x, x + window)))
+                    begin, wide = uo[r.doc[at]] + r.lo[at], many + window - 1
+                    cut = np.searchsorted(np.cumsum(wide), np.arange(0, int(wide.sum()), HASHED)).tolist()
+                    for i, j in zip(cut, [*cut[1:], len(at)], strict=True):  # some segments at a time, as hashing takes room
+                        if i == j:
+                            continue
+                        piece, first = kind.hashed(units[repeat_ranges(begin[i:j], wide[i:j])]), np.cumsum(wide[i:j]) - wide[i:j]
+                        x = repeat_ranges(first, many[i:j])
+                        g, h = (Secret(piece, base).of(x, x + window) for base in bases)
+                        heat.append((np.repeat(r.doc[at[i:j]] + a, many[i:j]), repeat_ranges(r.lo[at[i:j]], many[i:j]).astype(np.int32), g, h))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*out, strict=True), SAID, strict=True)], schema=SAID)
             if heat:
