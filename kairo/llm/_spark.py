@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -33,6 +34,13 @@ def ensure_checkpoints(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver notice which shuffles nothing reads any more, so that their files are deleted now
+    and not when its heap happens to fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _scratch: list[str] = []
 
 

@@ -146,9 +146,16 @@ def fingerprints(buf: np.ndarray, off: np.ndarray, shingle: int, seed: int = 42)
     last = np.minimum(first + shingle, np.repeat(wo[1:], k)) - 1
     text = joined.tobytes()
     h = np.fromiter((xxh64_intdigest(text[a:b], seed) for a, b in zip(at[first].tolist(), (at[last] + size[last]).tolist(), strict=True)), np.uint64, len(first))
+    return majority(h, k)
+
+
+def majority(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """One fingerprint for each stretch of k hashes: bits set in over half of them; none give zero."""
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    out = np.zeros(n, np.uint64)
+    out = np.zeros(len(k), np.uint64)
     full = np.flatnonzero(k)
+    if not len(full):
+        return out
     starts = np.concatenate([[0], np.cumsum(k[full])[:-1]])
     sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
     major = (2 * sums > k[full][:, None]).astype(np.uint8)

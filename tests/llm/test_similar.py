@@ -6,8 +6,11 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from kairo.llm import similar
 from kairo.llm.similar import keep_one_similar
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +66,51 @@ def test_repeated_and_null_ids(spark):
     got = keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(5, a), (3, b), (9, c + " end c"), (7, None)], key=str)
     assert keep_one_similar(spark.createDataFrame(rows[:0], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(5)
+    h, off = rng.integers(0, 2**64, 40, np.uint64), np.array([0, 0, 1, 18, 40])
+    want = []
+    for a, b in zip(off, off[1:], strict=False):
+        m = similar.mix(h[a:b] + np.uint64(5)).tolist()
+        want.append(sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in m) > len(m)))
+    assert similar.prints_of(h, off).view(np.uint64).tolist() == want
+
+
+@pytest.mark.parametrize("radius", [0, 5, 20, 63])
+def test_near_fingerprints_of_small_keys(radius):
+    rng = np.random.default_rng(radius)
+    size = rng.integers(1, 17, 200)
+    base = np.repeat(rng.integers(0, 2**63, len(size)), size)
+    flip = rng.integers(0, 2**63, len(base)) & rng.integers(0, 2**63, len(base)) & rng.integers(0, 2**63, len(base))
+    fp, key = base ^ flip, np.repeat(np.arange(len(size)), size)
+    want = {(i, j) for j in range(len(fp)) for i in range(j) if key[i] == key[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= radius}
+    assert set(map(tuple, similar.near_pairs(size, fp, radius).T.tolist())) == want
+    none = np.zeros(len(fp), np.int32)
+    rows = pa.record_batch([pa.array(key), pa.array(none + 100), pa.array(np.arange(len(fp))), pa.array(none), pa.array(fp)], names=["t", "n", "node", "p", "fp"])
+    got = [r for b in similar._keys(16, radius)(iter([rows.slice(0, 700), rows.slice(700)])) for r in b.to_pylist()]
+    assert {(r["node"], r["other"]) for r in got if r["near"]} == want
+    assert {(r["node"], r["other"]) for r in got} == {(i, j) for j in range(len(fp)) for i in range(j) if key[i] == key[j]}
+
+
+@pytest.mark.parametrize("radius,all_pairs", [(0, 16), (0, 1), (64, 16)])
+def test_no_radius_loses_a_link(spark, radius, all_pairs):
+    rng = random.Random(radius)
+    rows = []
+    for _ in range(8):
+        base = [rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(rng.randrange(60, 150))]
+        for _ in range(6):
+            t = list(base)
+            t[rng.randrange(len(t))] = "x" + str(rng.randrange(10**6))
+            rows.append((len(rows), " ".join(t)))
+    got = sorted(r.id for r in keep_one_similar(spark.createDataFrame(rows, "id long, text string"), "id", all_pairs=all_pairs, radius=radius).collect())
+    assert got == sorted(set(classes([t for _, t in rows])))
+
+
+def test_texts_that_no_pair_needs_are_left_out(spark):
+    """What disk went to: every text was sent to the few that were wanted."""
+    ends = spark.createDataFrame([(1, 77), (2, -5)], "k1 long, k2 long")
+    batch = pa.record_batch([pa.array([1, 2, 3, 2, 4]), pa.array([77, -5, 78, -5, 1 << 23]), pa.array(["a b", "c d", "e f", "c d", "g h"])], names=["k1", "k2", "text"])
+    got = [r for b in similar._with_sets(5, similar._map_of(ends))(iter([batch])) for r in b.to_pylist()]
+    assert [(r["k1"], r["k2"], len(r["set"])) for r in got] == [(1, 77, 8), (2, -5, 8)]
