@@ -21,37 +21,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairo.llm import langid, mixing, similar, suffix
-from kairo.llm._spark import drop, drop_scratch, ensure_checkpoints, scratch_made, small_batches, table
+from kairo.llm._spark import drop, drop_scratch, ensure_checkpoints, let_go, scratch_made, small_batches, table
 from kairo.llm.bpe import encode_docs
 
 
+def begin(spark: SparkSession) -> None:
+    """What each stage starts with: small batches, and heaps without what the stage before has left in them."""
+    small_batches(spark)
+    let_go(spark)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without one, or of too even a score, go."""
-    small_batches(spark)
+    begin(spark)
     return langid.keep_identified(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts with 5-word Jaccard similarity 0.8 or more the document with the smallest id."""
-    small_batches(spark)
+    begin(spark)
     return similar.keep_one_similar(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 200-byte strings that also start elsewhere; n_chars follows."""
-    small_batches(spark)
+    begin(spark)
     return suffix.without_repeats(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens meet flattened source, language and topic shares."""
-    small_batches(spark)
+    begin(spark)
     return mixing.sample(docs)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids: little-endian unsigned 32-bit, and the digest of what they decode to."""
-    small_batches(spark)
+    begin(spark)
     done = encode_docs(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

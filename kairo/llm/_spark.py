@@ -36,9 +36,11 @@ def ensure_checkpoints(spark: SparkSession) -> str:
 
 def let_go(spark: SparkSession) -> None:
     """Has the driver notice which shuffles nothing reads any more, so that their files are deleted now
-    and not when its heap happens to fill."""
+    and not when its heap happens to fill; then has the executors give back the heap that garbage holds."""
     gc.collect()
     spark._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
 
 _scratch: list[str] = []

@@ -232,8 +232,26 @@ def column_of(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+_kept: dict[str, tuple] = {}
+_asked: set[str] = set()
+
+
+def kept(name: str, key, make: Callable):
+    """What a worker keeps for later tasks, one value a name: made anew for another key.  Workers outlive
+    the step that needs it, so the first task that does not ask for it has it dropped; see give_back."""
+    _asked.add(name)
+    if name not in _kept or _kept[name][0] != key:
+        _kept.pop(name, None)
+        _kept[name] = key, make()
+    return _kept[name][1]
+
+
 def give_back() -> None:
-    """Returns freed memory to the system: Arrow's pool, then the C library's heap where it can be trimmed."""
+    """Drops what was kept and not asked for since the last call, and returns freed memory to the system:
+    Arrow's pool, then the C library's heap where it can be trimmed."""
+    for name in _kept.keys() - _asked:
+        del _kept[name]
+    _asked.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

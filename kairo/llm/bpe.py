@@ -19,10 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import map_arrow, row_key
-from ._text import column_of
+from ._text import column_of, kept
 
 CHUNK, OVERLAP = 16384, 512
-_loaded: dict = {}
 
 
 class Codec:
@@ -58,10 +57,7 @@ class Codec:
 
 def codec(ranks: bytes, pattern: str) -> Codec:
     key = (len(ranks), hash(ranks), pattern)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Codec(ranks, pattern)
-    return _loaded[key]
+    return kept("codec", key, lambda: Codec(ranks, pattern))
 
 
 def split(text: str, chunk: int, overlap: int) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bounded_sample, held_out, map_arrow, rest_of_row, whole_row
-from ._text import NOT_LETTER, buffers, column_of, steps
+from ._text import NOT_LETTER, buffers, column_of, kept, steps
 from .cross_parse import Parser
 
 #: The fit's bounds: documents of a language, characters of a stretch of each, bytes of a language's sample.
@@ -20,7 +20,6 @@ FIT_TOTAL = 1 << 19
 UNKNOWN = "und"
 #: How sharply a lower entropy counts in the score.
 SHARPNESS = 6.0
-_parsers: dict = {}
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", learn: Column | None = None) -> dict[str, bytes]:
@@ -41,10 +40,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def _parser(samples: dict[str, bytes]) -> Parser:
     key = tuple(sorted(samples.items()))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
+    return kept("parser", key, lambda: Parser(samples))
 
 
 def _no_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:

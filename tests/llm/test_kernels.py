@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from kairo.llm import bitsliced, bwt, cross_parse, doubling, mcd, mil, mixing, pu, sieve, stats, topk
-from kairo.llm._text import Rolling, Secret, digests, repeat_ranges, sliding, steps, word_hashes, word_names, words
+from kairo.llm._text import Rolling, Secret, digests, give_back, kept, repeat_ranges, sliding, steps, word_hashes, word_names, words
 
 
 def batch(texts):
@@ -22,6 +22,22 @@ def batch(texts):
 TEXTS = ["", "a", " a  b\tc\n", "x", "é ü", "\n\n", "one two three four one two three four", "tail ", "a b"]
 
 
+def test_workers_keep_only_what_their_last_task_asked_for():
+    made = []
+    make = lambda: made.append(0) or object()
+    give_back()
+    first = kept("a", 1, make)
+    assert kept("a", 1, make) is first and kept("b", 1, make) is not first
+    give_back()
+    assert kept("a", 1, make) is first and len(made) == 2
+    give_back()  # b was not asked for
+    assert kept("a", 1, make) is first and kept("b", 1, make) and len(made) == 3
+    give_back()
+    give_back()
+    assert kept("a", 1, make) is not first and len(made) == 4 and kept("a", 2, make) and len(made) == 5
+    give_back()
+
+
 def test_words():
     buf, off = batch(TEXTS)
     ws, we, wo = words(buf, off)

@@ -126,3 +126,13 @@ def test_empty_tables_go_through_every_stage(spark, tmp_path):
         f(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         assert docs.count() == 0, name
+
+
+def test_stages_begin_on_heaps_given_back(spark):
+    spark.sparkContext.setJobGroup("begin", "begin")
+    try:
+        corpus_pipeline.begin(spark)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("begin")
+    assert len(jobs) == 1  # System.gc() in tasks: the driver's own does nothing for executors
