@@ -215,7 +215,7 @@ def power_summary(s: Series, power: str = "power", ftp: float | None = None) ->
     the elapsed time.  Missing samples take no part; of none, all are zero."""
     w = with_weight(s)
     w = w.with_df(w.df.withColumn("__w", finite(F.col(power), s.types[power]).cast("double")))
-    df = over_range(w, 30_000_000 - 1, 0, {"__roll": lambda x: F.avg("__w").over(x)})
+    df = over_range(w, 30_000_000 - 1, 0, {"__roll": ("avg", F.col("__w"), "double")})
     fourth = F.pow(F.avg(F.when(F.col("__w").isNotNull(), F.pow("__roll", F.lit(4)))), F.lit(0.25))
     elapsed = (F.max(s.at) - F.min(s.at)) / 1e6
     cols = {"average": F.avg("__w"), "max": F.greatest(F.max("__w"), F.lit(0.0)), "work_kj": F.sum(F.col("__w") * F.col("dt")) / 1000, "normalized": fourth}
