@@ -180,6 +180,11 @@ def _expr(fn: Callable[..., Column]):
     return lambda s, a, p, out: s.with_column(out, fn(*[F.col(x).cast("double") for x in a], **p))
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """As doubles divide, whatever the session's rules: by zero to an infinity, zero by zero to NaN."""
+    return F.when(b != 0, a / b).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
 def _of(method):
     """From an operator that replaces a column to one that adds it."""
     return lambda s, a, p, out: method(s.with_column(out, F.col(a[0]).cast("double")), p, out)
@@ -202,7 +207,7 @@ def standard_ops() -> Ops:
         Op("add", _expr(lambda a, b: a + b), arity=2),
         Op("sub", _expr(lambda a, b: a - b), arity=2),
         Op("mul", _expr(lambda a, b: a * b), arity=2),
-        Op("div", _expr(lambda a, b: F.when(b != 0, a / b)), arity=2),
+        Op("div", _expr(_quotient), arity=2),
         Op("scale", _expr(lambda a, by: a * by), {"by": None}),
     ):
         ops.define(o)
