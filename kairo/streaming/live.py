@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -88,6 +89,7 @@ class Live:
         wait = duration_us(self.expire) // 1000 if self.expire else None
         step = step.bound(self, src)
         keys = list(self.by) if self.by and not step.all_keys else ["__all"]
+        src = step.narrowed(src, order)
         if keys == ["__all"]:
             src = src.withColumn("__all", F.lit(0))
         cols, time = src.columns, self.time
@@ -114,6 +116,11 @@ def _at(t) -> int:
     return int(pd.Timestamp(t).value // 1000)
 
 
+def _times(times: pd.Series) -> np.ndarray:
+    """Microseconds of a column of them."""
+    return pd.DatetimeIndex(times).as_unit("us").asi8
+
+
 class Step:
     """Base of the stateful operators; ``all_keys`` ones see every key in one place."""
 
@@ -123,6 +130,7 @@ class Step:
 
     def bound(self, live: Live, df: DataFrame) -> Step:
         self.time, self.by = live.time, list(live.by)
+        self.marked = bool(live.grace or live.expire)  #: has a watermark
         fields = [f for f in df.schema.fields if f.name != "__all"]
         self.fields = {f.name: f.dataType.simpleString() for f in fields}
         self._out(fields)
@@ -140,6 +148,10 @@ class Step:
     def start(self) -> dict:
         return {}
 
+    def narrowed(self, df: DataFrame, order: str | None) -> DataFrame:
+        """What of the rows the step has use for, before they are brought to their keys."""
+        return df
+
     def take(self, state: dict, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
@@ -305,6 +317,15 @@ class Trigger:
 
     every = clock
 
+    def crossings(self, state: dict, times: np.ndarray) -> list[tuple[int, int]]:
+        """The places and stamps of all that a clock makes of rows that come in this order."""
+        if not len(times):
+            return []
+        cell, last = times // self.n, state.get("__cell")
+        before = np.maximum.accumulate(np.concatenate([cell[:1] if last is None else [last], cell]))
+        state["__cell"] = int(before[-1])
+        return [(int(i), int(cell[i]) * self.n) for i in np.flatnonzero(cell > before[:-1])]
+
     def fires(self, state: dict, t: int) -> int | None:
         """The time to stamp an emission with, or None."""
         if self.kind == "event":
@@ -360,6 +381,30 @@ class Rolling(Step):
     def start(self):
         return {"buffers": {}}
 
+    def narrowed(self, df, order):
+        """The columns that are read; where all keys share a clock, only rows that some report can see, and the
+        first of each key and cell in each batch of Arrow: the clock and the keys' list need no others."""
+        df = df.select(*dict.fromkeys([*self.by, self.time, *([order] if order else []), *self.sources]))
+        widths = [w for w, _ in self.plan]
+        if self.marked or not self.synced or self.trigger is None or self.trigger.kind != "clock" or None in widths:
+            return df
+        time, by, n, reach = self.time, self.by, self.trigger.n, max(widths)
+
+        def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t = batch.column(time).cast(pa.timestamp("us", batch.schema.field(time).type.tz)).cast(pa.int64()).to_pandas().to_numpy()
+                keep = t >= (t // n + 1) * n - reach
+                rest = np.flatnonzero(~keep)
+                keys = pd.DataFrame({"cell": t[rest] // n, "t": t[rest], "at": rest} | {f"k{i}": batch.column(c).to_pandas().to_numpy()[rest] for i, c in enumerate(by)})
+                if order:
+                    keys["o"] = batch.column(order).to_pandas().to_numpy()[rest]
+                keys = keys.sort_values(["t", *(["o"] if order else [])], kind="stable")
+                firsts = keys.drop_duplicates(["cell", *[f"k{i}" for i in range(len(by))]])
+                keep[firsts["at"].to_numpy()] = True
+                yield batch.filter(pa.array(keep))
+
+        return df.mapInArrow(seen, df.schema)
+
     def _emit(self, key, stamp, buf) -> dict:
         now = stamp
         row = dict(zip(self.by, key, strict=True)) | {self.time: pd.Timestamp(stamp * 1000)}
@@ -381,24 +426,57 @@ class Rolling(Step):
             buf[:] = [b for b in buf if b[0] >= now - max(widths)]
 
     def take(self, state, rows):
-        out = []
-        for r in rows.to_dict("records"):
-            key, t = tuple(r[c] for c in self.by), _at(r[self.time])
-            buf = state["buffers"].setdefault(key, [])
-            stamp = self.trigger.fires(state, t)
-            if self.trigger.kind == "clock" and stamp is not None:
+        times, out = _times(rows[self.time]), []
+        buffers = state["buffers"]
+        if self.trigger.kind == "clock":
+            at = 0
+            for i, stamp in self.trigger.crossings(state, times):
                 # the boundary is reported before the row that crossed it comes in
-                for k in sorted(state["buffers"], key=str) if self.synced else [key]:
-                    b = state["buffers"][k]
-                    self._evict(b, stamp)
-                    if b or self.synced:
-                        out.append(self._emit(k, stamp, b))
-            buf.append((t, [r[c] for c in self.sources]))
-            self._evict(buf, max(b[0] for b in buf))
-            if self.trigger.kind != "clock" and stamp is not None:
-                out.append(self._emit(key, stamp, buf))
+                self._come(state, rows.iloc[at:i], times[at:i])
+                at, key = i, self._keys(rows.iloc[i : i + 1])[0]
+                for k in sorted(buffers, key=str) if self.synced else [key] if key in buffers else []:
+                    self._evict(buffers[k], stamp)
+                    if buffers[k] or self.synced:
+                        out.append(self._emit(k, stamp, buffers[k]))
+            self._come(state, rows.iloc[at:], times[at:])
+        elif self.trigger.kind == "count" and self.trigger.n > len(rows) + state.get("__fired", 0):
+            state["__fired"] = state.get("__fired", 0) + len(rows)
+            self._come(state, rows, times)
+        else:
+            cells = list(zip(*[rows[c].tolist() for c in self.sources], strict=True))
+            for key, t, cell in zip(self._keys(rows), times.tolist(), cells, strict=True):
+                stamp = self.trigger.fires(state, t)
+                self._add(state, key, [(t, cell)])
+                if stamp is not None:
+                    out.append(self._emit(key, stamp, buffers[key]))
         return pd.DataFrame(out, columns=self.columns)
 
+    def _keys(self, rows) -> list[tuple]:
+        return list(zip(*[rows[c].tolist() for c in self.by], strict=True)) if self.by else [()] * len(rows)
+
+    def _come(self, state, rows, times):
+        come: dict[tuple, list] = {}
+        cells = list(zip(*[rows[c].tolist() for c in self.sources], strict=True))
+        for key, t, cell in zip(self._keys(rows), times.tolist(), cells, strict=True):
+            come.setdefault(key, []).append((t, cell))
+        for key, more in come.items():
+            self._add(state, key, more)
+
+    def _add(self, state, key, more):
+        """Rows come into a key's buffer and what is too old leaves it, which looks at the oldest only as long as rows come in order."""
+        buf, loose = state["buffers"].setdefault(key, []), state.setdefault("loose", set())
+        if (buf and buf[-1][0] > more[0][0]) or any(a[0] > b[0] for a, b in zip(more, more[1:], strict=False)):
+            loose.add(key)
+        buf += more
+        widths = [w for w, _ in self.plan]
+        if None in widths:
+            if self.count:
+                del buf[: -self.count]
+        elif key in loose:
+            self._evict(buf, max(b[0] for b in buf))
+        elif buf[0][0] < buf[-1][0] - max(widths):
+            del buf[: bisect_left(buf, buf[-1][0] - max(widths), key=lambda b: b[0])]
+
 
 @dataclass
 class Reduce(Rolling):
