@@ -60,7 +60,7 @@ def events(spark: SparkSession, d: str, *cols: str) -> Series:
 
 def gappy(spark: SparkSession, d: str) -> Series:
     s = events(spark, d)
-    return s.map({"value": F.when(F.col("event_id") % 7 >= 2, F.col("value")), "event_type": F.col("event_type"), "user_id": F.col("user_id")}).partition_by("event_type")
+    return s.map({"value": F.when(F.col("event_id") % 7 >= 2, F.col("value")), "event_type": F.col("event_type"), "user_id": F.col("user_id")}).partition_by("event_type").dealt("6h")  # few partitions, long ones
 
 
 def r6(*names: str) -> list:
