@@ -114,7 +114,7 @@ def align(s: Series, seq: Sequence, method: str = "hold", sample: str = "begin",
         data = data.withColumn("__p", F.lit(2))
     marks = grid.select(*s.by, "__t", F.lit(1).alias("__p"), F.lit(0).alias("__i"), F.lit(None).cast(data.schema["r"].dataType).alias("r"), "__b", "__e")
     run = data.withColumn("__b", F.lit(None).cast("bigint")).withColumn("__e", F.lit(None).cast("bigint")).unionByName(marks)
-    stretch = None if s.stretch is None else F.floor(F.col("__t") / F.lit(s.us(s.stretch)))
+    stretch = s.stretch_of(F.col("__t"))
     seen = {"prev": F.col("r")}, {"next": F.col("r")} if method == "linear" else {}
     run = in_order(run, s.by, [F.col(c) for c in ("__t", "__p", "__i")], stretch, *seen)
     at = run.filter("__p = 1 and __b is not null")

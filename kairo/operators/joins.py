@@ -65,7 +65,7 @@ def as_of(left: DataFrame, at: Column, right: Series, by: list[str] | None = Non
     run = r.select("__t", *by, "__s", F.lit(0).alias("__p"), F.lit(None).cast(l_.schema["l"].dataType).alias("l"), "r").unionByName(
         l_.select("__t", *by, F.lit(None).cast(r.schema["__s"].dataType).alias("__s"), F.lit(1).alias("__p"), "l", F.lit(None).cast(r.schema["r"].dataType).alias("r"))
     )
-    stretch = None if right.stretch is None else F.floor(F.col("__t") / F.lit(right.us(right.stretch)))
+    stretch = right.stretch_of(F.col("__t"), by)
     run = in_order(run, by, [F.col(c) for c in ("__t", "__p", "__s")], stretch, {"__seen": F.col("r")})
     return run.filter("__p = 1").select("l.*", *[F.col(f"__seen.{c}").alias(f"{prefix}_{c}" if c in both else c) for c in cols])
 

@@ -20,6 +20,8 @@ from .functions.time import duration_us, from_us, us
 
 #: Values of a column that may each become a series or a column of their own.
 MAX_GROUPS = 10_000
+#: How series without partitions are dealt if nothing is said: one task would have all their rows.
+STRETCH = "6h"
 KINDS = {"time": 1, "range": 2, "interval": 3, "value": 1}
 
 
@@ -56,7 +58,7 @@ class Series:
 
     def dealt(self, stretch: str | int | float | None) -> Series:
         """Lets operators that read rows in order deal each partition in stretches of this width (a
-        duration, or a number on a value axis), so that a long one, or none at all, isn't one task's."""
+        duration, or a number on a value axis), so that a long one isn't one task's."""
         return replace(self, stretch=stretch)
 
     def collect_series(self) -> Series:
@@ -129,8 +131,14 @@ class Series:
 
     def ordered(self, **reads) -> DataFrame:
         """The rows with what they see of their partition in key order: see functions.frames.in_order."""
-        stretch = None if self.stretch is None else F.floor(self.at / F.lit(self.us(self.stretch)))
-        return in_order(self.df, self.by, [self.at, *self.ties], stretch, **reads)
+        return in_order(self.df, self.by, [self.at, *self.ties], self.stretch_of(self.at), **reads)
+
+    def stretch_of(self, at: Column, by: tuple[str, ...] | list[str] | None = None) -> Column | None:
+        """The stretch that a place on the axis is dealt to; of a series without partitions STRETCH unless
+        ``dealt`` says another (a value axis has no width that would do for all)."""
+        alone = not (self.by if by is None else by) and self.kind != "value"
+        width = self.stretch if self.stretch is not None else STRETCH if alone else None
+        return None if width is None else F.floor(at / F.lit(self.us(width)))
 
     def us(self, d: str | int | float) -> int | float:
         return d if self.kind == "value" else duration_us(d)
