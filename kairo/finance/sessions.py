@@ -7,12 +7,15 @@ from dataclasses import dataclass, field
 from datetime import date, datetime, time, timedelta
 from zoneinfo import ZoneInfo
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import duration_us, from_us
 from ..operators.grid import Intervals, to_us
-from ..operators.joins import as_of, interval_join
+from ..operators.joins import interval_join
 from ..series import Series
 
 
@@ -81,19 +84,20 @@ class Axis:
     def compress(self, s: Series, output: str) -> Series:
         """Adds the open microseconds from the first open to each row: closed times are at the last close.
 
-        Rows meet the segment that holds or precedes them in one ordered read, never by a range join.
+        A row finds its segment by bisection where it lies: nothing is sorted or moved.
         """
         if not self.segments:
             return s.with_df(s.df.withColumn(output, s.at))
-        before, rows = 0, []
-        for a, b in self.segments:
-            rows.append((a, b, before))
-            before += b - a
-        spans = s.df.sparkSession.createDataFrame(rows, "__open bigint, __close bigint, __before bigint")
-        keyed = Series(spans.withColumn("__key", F.col("__open")), "value", ("__key",))
-        got = as_of(s.df, s.at, keyed, [])
-        at = F.col("__before") + F.least(s.at, F.col("__close")) - F.col("__open")
-        return s.with_df(got.withColumn(output, F.coalesce(at, F.lit(0).cast("bigint"))).drop("__open", "__close", "__before"))
+        opens, closes = (np.array(x, np.int64) for x in zip(*self.segments, strict=True))
+        before = np.cumsum(closes - opens) - (closes - opens)
+
+        @F.arrow_udf("bigint")
+        def open_time(at: pa.Array) -> pa.Array:
+            t = pc.fill_null(at, opens[0]).to_numpy(zero_copy_only=False)
+            i = np.searchsorted(opens, t, "right") - 1
+            return pa.array(np.where(i < 0, 0, before[i] + np.minimum(t, closes[i]) - opens[i]))
+
+        return s.with_df(s.df.withColumn(output, open_time(s.at)))
 
 
 def weekend_skip(first: datetime, last: datetime, zone: str = "UTC") -> Axis:
