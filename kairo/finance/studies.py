@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reducers import finite
 from ..operators.folds import ema as fold_ema
+from ..operators.windows import over_range
 from ..series import Series
 
 
@@ -23,6 +24,22 @@ def _add(s: Series, cols: dict[str, Column]) -> Series:
     return s.with_df(s.df.withColumns(cols))
 
 
+def _dealt(s: Series, period: int, how: dict[str, tuple[str, Column]]) -> Series | None:
+    """The same reductions of whole windows, for a series that is dealt in stretches or has no partitions: rows are
+    numbered and windows are ranges of numbers, so that no task has all rows.  None for others."""
+    numbers = s.stretch_of(s.at)
+    if numbers is None:
+        return None
+    if period < 1:
+        raise ValueError("a period is one bar at least")
+    taken = [c for c in how if c in s.df.columns]
+    if taken:
+        raise ValueError(f"columns are there already: {taken}")
+    wanted = {n: (reducer, x, "double") for n, (reducer, x) in how.items()} | {"__full": ("count", F.lit(True), "boolean")}
+    df = over_range(s.with_df(s.numbered()), max(period - 1, 0), 0, wanted, F.col("__n"))
+    return s.with_df(df.withColumns({n: F.when(F.col("__full") >= period, F.col(n)) for n in how}).select(*s.df.columns, *how))
+
+
 def _full(s: Series, period: int, agg: Column) -> Column:
     w = _window(s, period)
     return F.when(F.count(F.lit(1)).over(w) >= period, agg.over(w))
@@ -33,7 +50,7 @@ def _x(s: Series, c: str) -> Column:
 
 
 def sma(s: Series, period: int, source: str = "close", output: str = "sma") -> Series:
-    return _add(s, {output: _full(s, period, F.avg(_x(s, source)))})
+    return _dealt(s, period, {output: ("avg", _x(s, source))}) or _add(s, {output: _full(s, period, F.avg(_x(s, source)))})
 
 
 def ema(s: Series, period: int, source: str = "close", output: str = "ema") -> Series:
@@ -45,6 +62,10 @@ def ema(s: Series, period: int, source: str = "close", output: str = "ema") -> S
 
 def bollinger(s: Series, period: int = 20, k: float = 2.0, source: str = "close", names: tuple[str, str, str] = ("middle", "upper", "lower")) -> Series:
     """Mean and k population deviations either way; no bands where the deviation is zero."""
+    if dealt := _dealt(s, period, {"__mid": ("avg", _x(s, source)), "__sd": ("stdev", _x(s, source))}):
+        mid, sd = F.col("__mid"), F.col("__sd")
+        done = _add(dealt, {names[0]: mid, names[1]: F.when(sd > 0, mid + k * sd), names[2]: F.when(sd > 0, mid - k * sd)})
+        return done.with_df(done.df.drop("__mid", "__sd"))
     mid, sd = _full(s, period, F.avg(_x(s, source))), _full(s, period, F.stddev_pop(_x(s, source)))
     return _add(s, {names[0]: mid, names[1]: F.when(sd > 0, mid + k * sd), names[2]: F.when(sd > 0, mid - k * sd)})
 
@@ -57,6 +78,8 @@ def envelope(s: Series, period: int = 20, percent: float = 2.5, source: str = "c
 def rolling_stat(s: Series, period: int, stat: str, source: str = "close", output: str | None = None) -> Series:
     """stdev (population), min, max, or a percentile as pNN."""
     x = _x(s, source)
+    if dealt := _dealt(s, period, {output or stat: (stat, x)}):
+        return dealt
     agg = {"stdev": F.stddev_pop(x), "min": F.min(x), "max": F.max(x)}.get(stat)
     if agg is None:
         agg = F.percentile(x, F.lit(float(stat.removeprefix("p")) / 100))
@@ -85,6 +108,9 @@ def ranged_moments(s: Series, period: int, begin: int, end: int, source: str = "
 
 def z_score(s: Series, period: int = 20, source: str = "close", output: str = "z") -> Series:
     x = _x(s, source)
+    if dealt := _dealt(s, period, {"__mid": ("avg", x), "__sd": ("stdev", x)}):
+        done = _add(dealt, {output: F.when(F.col("__sd") > 0, (x - F.col("__mid")) / F.col("__sd"))})
+        return done.with_df(done.df.drop("__mid", "__sd"))
     sd = _full(s, period, F.stddev_pop(x))
     return _add(s, {output: F.when(sd > 0, (x - _full(s, period, F.avg(x))) / sd)})
 
