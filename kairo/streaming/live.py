@@ -3,6 +3,8 @@
 Stateless operators are DataFrame expressions.  Tumbling buckets are watermarked windows.
 Everything that remembers rows is a *step*: a small object that takes rows of one key in
 order of arrival and returns what to emit; its state is kept by applyInPandasWithState.
+Keys are dealt to shards that keep their states together: Spark takes some 10 ms a state and
+batch, whatever is in it, and a step takes all rows of a shard at once.
 Watermarks advance per micro-batch, not per row, and rows evicted upstream aren't retracted.
 """
 
@@ -11,7 +13,8 @@ from __future__ import annotations
 import pickle
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,13 @@ from ..functions.time import duration_us, parse_time
 from ..sources.tables import ddl
 
 
+#: States that keys are dealt to.  A batch writes those of its keys anew: fewer are quicker with many keys in a
+#: batch, more with many keys and few of them in a batch.
+SHARDS = 1024
+#: Kinds of keys that Python holds as they are, so that a dict keeps them apart as Spark does.
+KEYS = ("string", "tinyint", "smallint", "int", "bigint", "boolean", "date", "timestamp", "timestamp_ntz", "binary")
+
+
 @dataclass(frozen=True)
 class Live:
     """A streaming DataFrame with a timestamp, partition columns and a lateness bound."""
@@ -36,9 +46,10 @@ class Live:
     grace: str | None = None  #: how late a row may be; later ones are dropped
     groups: tuple | None = None  #: declared values of the first partition column
     expire: str | None = None  #: the state of a key goes when the watermark has passed its last row by so much
+    shards: int = SHARDS  #: 0: each key has a state of its own; a checkpoint goes on with what it began with
 
     def partition_by(self, *cols: str, groups: tuple | None = None) -> Live:
-        return Live(self.df, self.time, tuple(cols), self.grace, groups, self.expire)
+        return replace(self, by=tuple(cols), groups=groups)
 
     def _checked(self) -> DataFrame:
         if not self.groups:
@@ -50,16 +61,16 @@ class Live:
     # -- stateless ---------------------------------------------------------------
 
     def filter(self, cond: Column | str) -> Live:
-        return Live(self.df.filter(cond), self.time, self.by, self.grace, self.groups, self.expire)
+        return replace(self, df=self.df.filter(cond))
 
     def select(self, *names: str) -> Live:
-        return Live(self.df.select(self.time, *self.by, *[n for n in names if n not in (self.time, *self.by)]), self.time, self.by, self.grace, self.groups, self.expire)
+        return replace(self, df=self.df.select(self.time, *self.by, *[n for n in names if n not in (self.time, *self.by)]))
 
     def map(self, exprs: Mapping[str, Column]) -> Live:
-        return Live(self.df.select(self.time, *self.by, *[e.alias(n) for n, e in exprs.items()]), self.time, self.by, self.grace, self.groups, self.expire)
+        return replace(self, df=self.df.select(self.time, *self.by, *[e.alias(n) for n, e in exprs.items()]))
 
     def union(self, other: Live) -> Live:
-        return Live(self.df.unionByName(other.df), self.time, self.by, self.grace, self.groups, self.expire)
+        return replace(self, df=self.df.unionByName(other.df))
 
     # -- buckets -------------------------------------------------------------------
 
@@ -93,6 +104,11 @@ class Live:
         if keys == ["__all"]:
             src = src.withColumn("__all", F.lit(0))
         cols, time = src.columns, self.time
+        timeout = GroupStateTimeout.EventTimeTimeout if wait is not None else GroupStateTimeout.NoTimeout
+        types = dict(src.dtypes)
+        if self.shards and keys != ["__all"] and all(types[c] in KEYS for c in keys):
+            src, whole = _dealt(src, keys, self.shards)
+            return src.groupBy("__shard").applyInPandasWithState(_of_shard(step, time, order, keys, whole, wait), step.schema, "state binary", "append", timeout)
 
         def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
             if state.hasTimedOut:
@@ -108,7 +124,65 @@ class Live:
             if len(out):
                 yield out[step.columns]
 
-        return src.select(*cols).groupBy(*keys).applyInPandasWithState(run, step.schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout if wait is not None else GroupStateTimeout.NoTimeout)
+        return src.select(*cols).groupBy(*keys).applyInPandasWithState(run, step.schema, "state binary", "append", timeout)
+
+
+def _dealt(src: DataFrame, keys: list[str], shards: int) -> tuple[DataFrame, list[str]]:
+    """The rows with ``__shard``, and the columns of whole numbers whose nulls are marked beside them, as pandas would
+    make floats of all numbers of a column that lacks one.  Keys that lack a column have shards of their own."""
+    whole = [c for c, kind in src.dtypes if kind == "bigint" and c not in keys]
+    lacks = F.lit(0)
+    for i, c in enumerate(keys):
+        lacks = lacks + F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    shard = F.pmod(F.xxhash64(*keys), F.lit(shards)) + lacks * F.lit(shards)
+    marks = {f"__no_{c}": F.col(c).isNull() for c in whole} | {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in whole}
+    return src.withColumns({**marks, "__shard": shard}), whole
+
+
+def _of_shard(step: Step, time: str, order: str | None, keys: list[str], whole: list[str], wait: int | None):
+    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        out = None
+        if not state.hasTimedOut:
+            parts = list(frames)
+            rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            for c in whole:
+                no = rows.pop(f"__no_{c}").to_numpy(bool)
+                if no.any():
+                    rows[c] = rows[c].astype(object).mask(no, None)
+            known = [c for c in keys if not rows[c].isna().any()]  # a shard lacks a column in all rows or none
+            code = rows.groupby(known, sort=False).ngroup() if known else pd.Series(0, rows.index)
+            by = [code, *[rows[c] for c in (time, *([order] if order else []))]]
+            rows = rows.drop(columns=["__shard"], errors="ignore").iloc[_order_of(by)].reset_index(drop=True)
+            code = np.sort(code.to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(rows)]
+            at = [rows[c].iloc[cuts[:-1]].tolist() if c in known else [None] * (len(cuts) - 1) for c in keys]
+            mine = list(zip(*at, strict=True))
+            states = [held[k][0] if k in held else step.start() for k in mine]
+            out, _ = step.takes(states, rows, cuts)
+            last = _times(rows[time].iloc[[b - 1 for b in cuts[1:]]]) if wait is not None else None
+            for i, k in enumerate(mine):
+                held[k] = (states[i], None if wait is None else max(int(last[i]) // 1000, state.getCurrentWatermarkMs()) + wait)
+        if wait is not None:  # keys without rows in this batch that the watermark has left
+            here, mark = set() if state.hasTimedOut else set(mine), state.getCurrentWatermarkMs()
+            held = {k: v for k, v in held.items() if k in here or v[1] >= mark}
+        if held:
+            state.update((pickle.dumps(held),))
+            if wait is not None:
+                state.setTimeoutTimestamp(min(v[1] for v in held.values()))  # none is before the watermark
+        elif state.exists:
+            state.remove()
+        if out is not None and len(out):
+            yield out[step.columns]
+
+    return run
+
+
+def _order_of(by: list[pd.Series]) -> np.ndarray:
+    """The stable order by these columns, nulls last, as sort_values has it."""
+    codes = [pd.factorize(c, sort=True, use_na_sentinel=True)[0] if c.dtype == object else c for c in by]
+    frame = pd.DataFrame({i: np.where(c < 0, np.iinfo(np.int64).max, c) if isinstance(c, np.ndarray) else c.to_numpy() for i, c in enumerate(codes)})
+    return frame.sort_values(list(frame.columns), kind="stable").index.to_numpy()
 
 
 def _at(t) -> int:
@@ -153,7 +227,29 @@ class Step:
         return df
 
     def take(self, state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        raise NotImplementedError
+        """What the rows of one key give.  A step has this or ``takes``."""
+        return self.takes([state], rows, [0, len(rows)])[0] if len(rows) else rows
+
+    def takes(self, states: list[dict], rows: pd.DataFrame, cuts: list[int]) -> tuple[pd.DataFrame, list[int]]:
+        """The same for several keys at once, whose rows follow each other, cut at these places; none is empty.
+        Also how many rows each gives."""
+        if type(self).take is Step.take:
+            raise NotImplementedError
+        mixed = [c for c in rows.columns if rows[c].dtype == object and self.fields.get(c) == "bigint"]
+        outs = []
+        for state, (a, b) in zip(states, pairwise(cuts), strict=True):
+            part = rows.iloc[a:b].reset_index(drop=True)
+            for c in mixed:
+                part[c] = pd.to_numeric(part[c])
+            outs.append(self.take(state, part))
+        some = [o for o in outs if len(o)]
+        if len({tuple(o.dtypes) for o in some}) > 1:
+            some = [o.astype(object).where(o.notna(), None) for o in some]
+        return (pd.concat(some, ignore_index=True) if some else outs[0]), [len(o) for o in outs]
+
+
+def _kept(rows: pd.DataFrame, keep: np.ndarray, cuts: list[int]) -> tuple[pd.DataFrame, list[int]]:
+    return rows[keep], [int(keep[a:b].sum()) for a, b in pairwise(cuts)]
 
 
 @dataclass
@@ -164,17 +260,18 @@ class Ordered(Step):
     policy: str = "drop"
     within: str | None = None
 
-    def take(self, state, rows):
-        keep, latest = [], state.get("latest")
-        for t in rows[self.time]:
-            u = _at(t)
-            late = latest is not None and u < latest
-            if late and (self.policy == "strict" or (self.policy == "reorder" and latest - u > duration_us(self.within or "1ms"))):
-                raise ValueError(f"row at {t} is out of order")
-            keep.append(not late or self.policy == "reorder")
-            latest = u if latest is None else max(latest, u)
-        state["latest"] = latest
-        return rows[keep]
+    def takes(self, states, rows, cuts):
+        keep, times, within = [], _times(rows[self.time]).tolist(), duration_us(self.within or "1ms")
+        for state, (a, b) in zip(states, pairwise(cuts), strict=True):
+            latest = state.get("latest")
+            for u in times[a:b]:
+                late = latest is not None and u < latest
+                if late and (self.policy == "strict" or (self.policy == "reorder" and latest - u > within)):
+                    raise ValueError(f"row at {pd.Timestamp(u * 1000)} is out of order")
+                keep.append(not late or self.policy == "reorder")
+                latest = u if latest is None else max(latest, u)
+            state["latest"] = latest
+        return _kept(rows, np.array(keep, bool), cuts)
 
 
 @dataclass
@@ -183,10 +280,12 @@ class Sample(Step):
 
     stride: int
 
-    def take(self, state, rows):
-        n = state.get("n", 0) + 1 + np.arange(len(rows))
-        state["n"] = int(n[-1])
-        return rows[n % self.stride == 0]
+    def takes(self, states, rows, cuts):
+        n = 1 + np.arange(len(rows))
+        for state, (a, b) in zip(states, pairwise(cuts), strict=True):
+            n[a:b] += state.get("n", 0) - a
+            state["n"] = int(n[b - 1])
+        return _kept(rows, n % self.stride == 0, cuts)
 
 
 @dataclass
@@ -200,14 +299,21 @@ class Change(Step):
     def made(self):
         return {c: "double" for c in self.names}
 
-    def take(self, state, rows):
-        t = np.array([_at(x) for x in rows[self.time]], float)
-        prev_t = np.concatenate([[state.get("t", np.nan)], t[:-1]])
+    def takes(self, states, rows, cuts):
+        begins, ends = cuts[:-1], [b - 1 for b in cuts[1:]]
+
+        def before(x, name):
+            p = np.concatenate([[np.nan], x[:-1]])
+            p[begins] = [s.get(name, np.nan) for s in states]
+            return p
+
+        t = _times(rows[self.time]).astype(float)
+        prev_t = before(t, "t")
         first = np.isnan(prev_t)
         rows = rows.copy()
         for c in self.names:
             x = rows[c].astype(float).to_numpy()
-            p = np.concatenate([[state.get(c, np.nan)], x[:-1]])
+            p = before(x, c)
             with np.errstate(all="ignore"):
                 y = x - p
                 if self.how == "rate":
@@ -215,10 +321,12 @@ class Change(Step):
                     y = np.where(dt != 0, y / dt, np.nan)
                 elif self.how == "pct":
                     y = np.where(p != 0, y / p, np.nan)
-            state[c] = x[-1]
+            for s, last in zip(states, x[ends].tolist(), strict=True):
+                s[c] = last
             rows[c] = pd.Series(y, index=rows.index).astype(object).where(~np.isnan(y), None)
-        state["t"] = t[-1]
-        return rows[~first] if self.drop else rows
+        for s, last in zip(states, t[ends].tolist(), strict=True):
+            s["t"] = last
+        return _kept(rows, ~first if self.drop else np.ones(len(rows), bool), cuts)
 
 
 @dataclass
@@ -228,21 +336,23 @@ class Fill(Step):
     how: Mapping[str, object]
     limit: int | None = None
 
-    def take(self, state, rows):
+    def takes(self, states, rows, cuts):
         rows = rows.copy()
         for c, mode in self.how.items():
-            last, run, out = state.get(c, (None, 0))[0], state.get(c, (None, 0))[1], []
-            for v in rows[c].tolist():
-                if v is not None and v == v:
-                    last, run = v, 0
-                    out.append(v)
-                    continue
-                run += 1
-                ok = self.limit is None or run <= self.limit
-                out.append((last if mode == "hold" else 0 if mode == "zero" else mode["literal"]) if ok else None)
-            state[c] = (last, run)
+            cells, out = rows[c].tolist(), []
+            for state, (a, b) in zip(states, pairwise(cuts), strict=True):
+                last, run = state.get(c, (None, 0))
+                for v in cells[a:b]:
+                    if v is not None and v == v:
+                        last, run = v, 0
+                        out.append(v)
+                        continue
+                    run += 1
+                    ok = self.limit is None or run <= self.limit
+                    out.append((last if mode == "hold" else 0 if mode == "zero" else mode["literal"]) if ok else None)
+                state[c] = (last, run)
             rows[c] = pd.Series(out, index=rows.index, dtype=object)
-        return rows
+        return rows, np.diff(cuts).tolist()
 
 
 @dataclass
@@ -252,18 +362,20 @@ class Cumulative(Step):
     def made(self):
         return {c: "double" for c in self.how}
 
-    def take(self, state, rows):
+    def takes(self, states, rows, cuts):
         fns = {"sum": lambda a, v: a + v, "max": max, "min": min, "count": lambda a, v: a + 1}
         rows = rows.copy()
         for c, how in self.how.items():
-            acc, out = state.get(c), []
-            for v in rows[c].astype(float).tolist():
-                if v == v:
-                    acc = (1.0 if how == "count" else v) if acc is None else (how if callable(how) else fns[how])(acc, v)
-                out.append(acc)
-            state[c] = acc
+            fn, cells, out = how if callable(how) else fns[how], rows[c].astype(float).tolist(), []
+            for state, (a, b) in zip(states, pairwise(cuts), strict=True):
+                acc = state.get(c)
+                for v in cells[a:b]:
+                    if v == v:
+                        acc = (1.0 if how == "count" else v) if acc is None else fn(acc, v)
+                    out.append(acc)
+                state[c] = acc
             rows[c] = pd.Series(out, index=rows.index, dtype=object)
-        return rows
+        return rows, np.diff(cuts).tolist()
 
 
 def reduce_values(how, values: list):
@@ -425,7 +537,11 @@ class Rolling(Step):
         else:
             buf[:] = [b for b in buf if b[0] >= now - max(widths)]
 
-    def take(self, state, rows):
+    def takes(self, states, rows, cuts):
+        outs = [self._reports(s, rows.iloc[a:b]) for s, (a, b) in zip(states, pairwise(cuts), strict=True)]
+        return pd.DataFrame([r for o in outs for r in o], columns=self.columns), [len(o) for o in outs]
+
+    def _reports(self, state, rows) -> list[dict]:
         times, out = _times(rows[self.time]), []
         buffers = state["buffers"]
         if self.trigger.kind == "clock":
@@ -449,10 +565,11 @@ class Rolling(Step):
                 self._add(state, key, [(t, cell)])
                 if stamp is not None:
                     out.append(self._emit(key, stamp, buffers[key]))
-        return pd.DataFrame(out, columns=self.columns)
+        return out
 
     def _keys(self, rows) -> list[tuple]:
-        return list(zip(*[rows[c].tolist() for c in self.by], strict=True)) if self.by else [()] * len(rows)
+        none = lambda c: [None if lacks else x for x, lacks in zip(c.tolist(), c.isna(), strict=True)] if c.isna().any() else c.tolist()
+        return list(zip(*[none(rows[c]) for c in self.by], strict=True)) if self.by else [()] * len(rows)
 
     def _come(self, state, rows, times):
         come: dict[tuple, list] = {}
@@ -485,19 +602,19 @@ class Reduce(Rolling):
 
     trigger: Trigger | None = None
 
-    def take(self, state, rows):
+    def _reports(self, state, rows):
         if self.trigger is not None:
-            return super().take(state, rows)
+            return super()._reports(state, rows)
         trigger, self.trigger = self.trigger, Trigger("count", 1 << 62)
         try:
-            super().take(state, rows)
+            super()._reports(state, rows)
         finally:
             self.trigger = trigger
         out = []
-        for key in dict.fromkeys(tuple(r) for r in rows[self.by].itertuples(index=False)) if self.by else [()]:
+        for key in dict.fromkeys(self._keys(rows)):
             buf = state["buffers"][key]
             out.append(self._emit(key, max(b[0] for b in buf), buf))
-        return pd.DataFrame(out, columns=self.columns)
+        return out
 
 
 @dataclass
@@ -534,30 +651,37 @@ class Retain(Step):
     def start(self):
         return {"rows": [], "seen": 0, "gone": 0, "batch": -1}
 
-    def take(self, state, rows):
-        held, at = state["rows"], self.held.index(self.time)
-        gone: list[tuple] = []
-        age = duration_us(self.max_age) if self.max_age else None
-        held += list(rows[self.held].astype(object).where(rows[self.held].notna(), None).itertuples(index=False, name=None))
-        held.sort(key=lambda r: r[at])  # stable: late rows of one time keep their order of arrival
-        out = max(0, len(held) - self.max_events) if self.max_events is not None else 0
-        if age is not None:
-            cutoff = _at(held[-1][at]) - age
-            while out < len(held) and _at(held[out][at]) < cutoff:
-                out += 1
-        gone = held[:out]
-        del held[:out]
-        state["seen"] += len(rows)
-        state["gone"] += out
-        state["batch"] += 1
-        if self.emit == "evicted":
-            return pd.DataFrame(gone, columns=self.held)
-        if self.emit == "kept":
-            return pd.DataFrame(held, columns=self.held).assign(__batch=state["batch"])
-        key = {c: rows[c].iloc[0] for c in self.by}
-        first, last = (held[0][at], held[-1][at]) if held else (None, None)
-        span = (_at(last) - _at(first)) / 1e6 if held else 0.0
-        return pd.DataFrame([key | {"rows": state["seen"], "evicted": state["gone"], "kept": len(held), "first": first, "last": last, "rate": len(held) / span if span > 0 else None}], columns=self.columns)
+    def takes(self, states, rows, cuts):
+        at, age = self.held.index(self.time), duration_us(self.max_age) if self.max_age else None
+        cells = rows[self.held].astype(object)
+        cells = list(cells.where(cells.notna(), None).itertuples(index=False, name=None))
+        keys = list(zip(*[rows[c].iloc[cuts[:-1]].tolist() for c in self.by], strict=True)) if self.by else [()] * len(states)
+        lists, counts, batch = [], [], []
+        for state, key, (a, b) in zip(states, keys, pairwise(cuts), strict=True):
+            held = state["rows"]
+            held += cells[a:b]
+            held.sort(key=lambda r: r[at])  # stable: late rows of one time keep their order of arrival
+            out = max(0, len(held) - self.max_events) if self.max_events is not None else 0
+            if age is not None:
+                cutoff = _at(held[-1][at]) - age
+                while out < len(held) and _at(held[out][at]) < cutoff:
+                    out += 1
+            gone = held[:out]
+            del held[:out]
+            state["seen"] += b - a
+            state["gone"] += out
+            state["batch"] += 1
+            if self.emit == "stats":
+                first, last = (held[0][at], held[-1][at]) if held else (None, None)
+                span = (_at(last) - _at(first)) / 1e6 if held else 0.0
+                gives = [dict(zip(self.by, key, strict=True)) | {"rows": state["seen"], "evicted": state["gone"], "kept": len(held), "first": first, "last": last, "rate": len(held) / span if span > 0 else None}]
+            else:
+                gives = gone if self.emit == "evicted" else held
+                batch += [state["batch"]] * len(gives)
+            lists += gives
+            counts.append(len(gives))
+        out = pd.DataFrame(lists, columns=self.columns if self.emit == "stats" else self.held)
+        return (out.assign(__batch=batch) if self.emit == "kept" else out), counts
 
 
 @dataclass
@@ -580,12 +704,17 @@ class Chain(Step):
     def start(self):
         return {i: s.start() for i, s in enumerate(self.steps)}
 
-    def take(self, state, rows):
+    def takes(self, states, rows, cuts):
+        some, counts = list(range(len(states))), np.diff(cuts).tolist()
         for i, s in enumerate(self.steps):
-            if not len(rows):
-                return rows
-            rows = s.take(state[i], rows.reset_index(drop=True))
-        return rows
+            some = [k for k, n in zip(some, counts, strict=True) if n]
+            if not some:
+                break
+            rows, counts = s.takes([states[k][i] for k in some], rows.reset_index(drop=True), np.cumsum([0, *[n for n in counts if n]]).tolist())
+        all_ = [0] * len(states)
+        for k, n in zip(some, counts, strict=False):
+            all_[k] = n
+        return rows, all_
 
 
 def window_view(spark, path: str, live: Live, size: int | str, order: str | None = None) -> DataFrame:
